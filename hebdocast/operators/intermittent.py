@@ -143,3 +143,12 @@ def horizon_violations(fc: DataFrame, horizon: int, id_col: str = "unique_id") -
     """Ids (per model) without exactly ``horizon`` rows."""
     return (fc.groupBy(id_col, "model").agg(F.count(F.lit(1)).alias("rows"))
             .where(F.col("rows") != horizon))
+
+
+def keep_last(fc: DataFrame, priority: str | None = None) -> DataFrame:
+    """One row per (unique_id, ds, model): the highest ``priority`` row wins
+    (fallback rows carry the higher priority), ties broken by value."""
+    pr = F.col(priority) if priority else F.lit(0)
+    w = Window.partitionBy("unique_id", "ds", "model").orderBy(pr.desc(), F.col("y_pred").desc())
+    out = fc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    return out.drop(priority) if priority else out
