@@ -29,10 +29,15 @@ def stack_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
-                    key: str = "column", value: str = "value",
+def rank_within_key(long_df: DataFrame, key: str = "k", value: str = "v",
                     partitions: int | None = None) -> DataFrame:
-    """(key, prob, quantile) for every key of a long (key, value) frame."""
+    """Rows of a (key, value) frame with their 0-based rank by value within key.
+
+    Range partitioning sorts across the cluster; a row's rank is its index in
+    its partition plus the sizes of earlier partitions holding the same key
+    (a table of partitions x keys rows, broadcast). No task sees more than its
+    range partition, whatever the key distribution.
+    """
     spark = long_df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = (long_df.select(F.col(key).alias("k"), F.col(value).alias("v"))
@@ -42,8 +47,6 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
               .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
               .persist(StorageLevel.MEMORY_AND_DISK))
-
-    # one row per (partition, key): bounded by partitions x keys
     blocks = ranked.groupBy("_pid", "k").agg(F.count(F.lit(1)).alias("n_block"),
                                              F.min("_local").alias("first_local"))
     w = Window.partitionBy("k").orderBy("_pid")
@@ -51,25 +54,32 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
               .withColumn("offset", F.coalesce(F.sum("n_block").over(
                   w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("n", F.sum("n_block").over(Window.partitionBy("k"))))
+    out = (ranked.join(F.broadcast(blocks.select("_pid", "k", "offset", "first_local", "n")),
+                       ["_pid", "k"])
+           .select(F.col("k").alias(key), F.col("v").alias(value),
+                   (F.col("offset") + F.col("_local") - F.col("first_local")).alias("rank"),
+                   F.col("n")))
+    return out
+
 
+def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
+                    key: str = "column", value: str = "value",
+                    partitions: int | None = None) -> DataFrame:
+    """(key, prob, quantile) for every key of a long (key, value) frame."""
+    ranked = rank_within_key(long_df, key, value, partitions).select(
+        F.col(key).alias("k"), F.col(value).alias("v"), "rank", "n")
+    counts = ranked.select("k", "n").distinct()
     prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    # wanted ranks per key: floor and ceil of q*(n-1)
-    targets = (blocks.select("k", "n").distinct()
-               .select("k", "n", F.explode(prob_arr).alias("prob"))
+    targets = (counts.select("k", "n", F.explode(prob_arr).alias("prob"))
                .withColumn("h", F.col("prob") * (F.col("n") - 1))
                .withColumn("lo", F.floor("h"))
                .withColumn("hi", F.ceil("h")))
+    # wanted ranks: keys x probs x 2 rows, a bounded table
     wanted = targets.select("k", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-
-    located = (ranked.join(F.broadcast(blocks.select("_pid", "k", "offset", "first_local")),
-                           ["_pid", "k"])
-               .withColumn("rank", F.col("offset") + F.col("_local") - F.col("first_local"))
-               .join(F.broadcast(wanted), ["k", "rank"])
-               .select("k", "rank", "v"))
+    located = ranked.join(F.broadcast(wanted), ["k", "rank"]).select("k", "rank", "v")
     lo = located.select("k", F.col("rank").alias("lo"), F.col("v").alias("v_lo"))
     hi = located.select("k", F.col("rank").alias("hi"), F.col("v").alias("v_hi"))
-    out = (targets.join(lo, ["k", "lo"]).join(hi, ["k", "hi"])
-           .select(F.col("k").alias(key), "prob",
-                   (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
-                   .alias("quantile")))
-    return out
+    return (targets.join(lo, ["k", "lo"]).join(hi, ["k", "hi"])
+            .select(F.col("k").alias(key), "prob",
+                    (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
+                    .alias("quantile")))

@@ -133,3 +133,92 @@ class Flow:
     @cached_property
     def hv_ids(self) -> DataFrame:
         return self.tier_ids(HIGH_VOLUME)
+
+    # -- high-volume tier ------------------------------------------------------
+    @cached_property
+    def hv(self) -> DataFrame:
+        from ..operators import regression
+        return regression.hv_frame(self.featured_full, self.tiers)
+
+    @cached_property
+    def cat_dictionary(self) -> DataFrame:
+        from ..operators import regression
+        return regression.category_dictionary(self.hv)
+
+    @cached_property
+    def hv_encoded(self) -> DataFrame:
+        from ..operators import regression
+        return regression.apply_dictionary(self.hv, self.cat_dictionary,
+                                           broadcast_limit=self.params.broadcast_row_limit)
+
+    @cached_property
+    def hv_seasonal_valid(self) -> DataFrame:
+        from ..operators import regression
+        _, valid = regression.split(self.hv, self.cutoffs)
+        return regression.seasonal_naive_valid(valid)
+
+    @cached_property
+    def hv_state(self) -> DataFrame:
+        from ..operators import regression
+        return regression.recursive_state(self.hv_encoded, self.cutoffs.valid_end)
+
+    @cached_property
+    def hv_seasonal_forecast(self) -> DataFrame:
+        from ..operators import regression
+        return regression.seasonal_naive_forecast(self.hv_state, self.cutoffs.origin,
+                                                  self.params.horizon)
+
+    @cached_property
+    def holiday_week_list(self) -> list:
+        # calendar-sized (holidays x years): a bounded list
+        return [r["WeekStart"] for r in self.holiday_weeks.collect()]
+
+    @cached_property
+    def hv_fits(self) -> dict:
+        """Fits both boosted-tree models: early stopping inside training weeks,
+        validation predictions, refit on the full history, recursive forecast.
+        Returns per-model results and timings (eager: this is model training)."""
+        import time
+
+        from ..operators import regression
+        from ..session import cut_lineage
+        p, cut = self.params, self.cutoffs
+        train, valid = regression.split(self.hv_encoded, cut)
+        enc_train = regression.product_encoding(train)
+        enc_full = regression.product_encoding(self.hv_encoded)
+        train_m = cut_lineage(regression.model_matrix(train, p, enc_train))
+        valid_m = regression.model_matrix(valid, p, enc_train)
+        full_m = cut_lineage(regression.model_matrix(self.hv_encoded, p, enc_full))
+        out = {}
+        for name, depth in regression.hv_models(p).items():
+            model, rounds, secs = regression.fit_with_early_stopping(train_m, p, depth, cut)
+            vpred = cut_lineage(regression.predict_valid(model, valid_m, name))
+            final, fsecs = regression.refit(full_m, p, depth, rounds)
+            t = time.perf_counter()
+            fc = cut_lineage(regression.recursive_forecast(
+                final, self.hv_state, p, cut.origin, self.holiday_week_list, name, enc_full))
+            isecs = time.perf_counter() - t
+            out[name] = dict(model=model, final=final, rounds=rounds, train_seconds=secs,
+                             final_train_seconds=fsecs, inference_seconds=isecs,
+                             valid=vpred, forecast=fc, valid_m=valid_m)
+        return out
+
+    @cached_property
+    def hv_validation(self) -> DataFrame:
+        out = self.hv_seasonal_valid
+        for r in self.hv_fits.values():
+            out = out.unionByName(r["valid"])
+        return out
+
+    @cached_property
+    def hv_forecast(self) -> DataFrame:
+        out = self.hv_seasonal_forecast
+        for r in self.hv_fits.values():
+            out = out.unionByName(r["forecast"])
+        return out
+
+    def hv_timings(self) -> DataFrame:
+        rows = [(n, float(r["train_seconds"]), float(r["inference_seconds"]))
+                for n, r in self.hv_fits.items()]
+        return self.spark.createDataFrame(
+            rows, "model string, train_seconds double, inference_seconds double")

@@ -298,3 +298,128 @@ def build(select: str, *deps: str) -> str:
         visit(d)
     parts = [body for name, (_, body) in CTES.items() if name in need]
     return "WITH " + ",\n".join(parts) + "\n" + select
+
+
+# --- high-volume tier -----------------------------------------------------------
+cte("hv", ("featured", "tiers"), """hv AS (
+  SELECT f.* REPLACE (CAST(is_year_end AS BIGINT) AS is_year_end,
+                      CAST(is_lk_holiday_week AS BIGINT) AS is_lk_holiday_week,
+                      CAST(returns_exceeded_sales AS BIGINT) AS returns_exceeded_sales)
+  FROM featured f WHERE "ProductID" IN (SELECT "ProductID" FROM tiers WHERE tier = 'high_volume'))""")
+MODEL_CATS = ("ProductID",) + CATS
+cte("cat_dictionary", ("hv",), "cat_dictionary AS (\n" + "\n  UNION ALL\n".join(
+    f"""  SELECT '{c}' AS column_name, v AS value, CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS code
+  FROM (SELECT DISTINCT CAST({q(c)} AS VARCHAR) AS v FROM hv WHERE {q(c)} IS NOT NULL) d{i}"""
+    for i, c in enumerate(MODEL_CATS)) + ")")
+cte("hv_last", ("hv",), """hv_last AS (
+  SELECT "ProductID", "Sales_Qty",
+         row_number() OVER (PARTITION BY "ProductID" ORDER BY "WeekStart" DESC) AS r FROM hv)""")
+cte("hv_state", ("hv", "hv_last"), """hv_state AS (
+  SELECT i."ProductID", CAST(s.slot AS BIGINT) AS slot, l."Sales_Qty" AS value
+  FROM (SELECT DISTINCT "ProductID" FROM hv) i
+  CROSS JOIN (SELECT unnest(range(1, 13)) AS slot) s
+  LEFT JOIN hv_last l ON l."ProductID" = i."ProductID" AND l.r = 13 - s.slot)""")
+cte("hv_snf", ("hv_state", "cut"), """hv_snf AS (
+  SELECT s."ProductID", s.slot AS forecast_week,
+         CAST(c.origin + CAST(7 * (s.slot - 1) AS INTEGER) AS DATE) AS "WeekStart",
+         greatest(coalesce(s.value, last.value, 0), 0)::DOUBLE AS "predicted_Sales_Qty",
+         'seasonal_naive' AS model
+  FROM hv_state s JOIN hv_state last ON last."ProductID" = s."ProductID" AND last.slot = 12
+  CROSS JOIN cut c)""")
+
+# --- country drill-down -----------------------------------------------------------
+cte("country_weekly", ("tx_w",), """country_weekly AS (
+  SELECT "ProductID", "Country", "WeekStart",
+         greatest(coalesce(sum("Sales Qty"), 0), 0)::DOUBLE AS "Sales_Qty"
+  FROM tx_w GROUP BY "ProductID", "Country", "WeekStart")""")
+cte("country_level", ("country_weekly",), f"""country_level AS (
+  SELECT "ProductID", "Country", greatest(avg("Sales_Qty"), 0)::DOUBLE AS level, count(*) AS weeks_used
+  FROM (SELECT *, row_number() OVER (PARTITION BY "ProductID", "Country" ORDER BY "WeekStart" DESC) AS rn
+        FROM country_weekly) t
+  WHERE rn <= {P.country_window} GROUP BY "ProductID", "Country")""")
+cte("country_forecast", ("country_level", "cut"), f"""country_forecast AS (
+  SELECT "ProductID", "Country", CAST(h AS BIGINT) AS forecast_week,
+         CAST(cut.origin + CAST(7 * (h - 1) AS INTEGER) AS DATE) AS "WeekStart",
+         level AS "predicted_Sales_Qty", 'rolling_mean_last_{P.country_window}_weeks' AS method
+  FROM country_level CROSS JOIN (SELECT unnest(range(1, {P.horizon} + 1)) AS h) hh CROSS JOIN cut)""")
+
+# --- metrics ------------------------------------------------------------------------
+cte("hv_valid_sn", ("hv", "cut"), """hv_valid_sn AS (
+  SELECT "ProductID", "WeekStart", "Sales_Qty" AS y_true, 'seasonal_naive' AS model,
+         coalesce("Sales_Qty_lag_12", "Sales_Qty_lag_1", 0)::DOUBLE AS y_pred
+  FROM hv, cut WHERE "WeekStart" >= cut.valid_start AND "WeekStart" <= cut.valid_end)""")
+cte("scored_all", ("hv_valid_sn", "sparse_validation"), """scored_all AS (
+  SELECT 'high_volume' AS tier, model, y_true AS y, y_pred FROM hv_valid_sn
+  UNION ALL SELECT 'sparse', model, y, y_pred FROM sparse_validation WHERE y IS NOT NULL)""")
+cte("s_scale", ("slong", "cut"), """s_scale AS (
+  SELECT unique_id, coalesce(avg(d), 0)::DOUBLE AS scale FROM (
+    SELECT s.unique_id, abs(s.y - lag(s.y) OVER (PARTITION BY s.unique_id ORDER BY s.ds)) AS d
+    FROM slong s, cut WHERE s.ds <= cut.train_end) t GROUP BY unique_id)""")
+cte("s_mase", ("sparse_validation", "s_scale"), """s_mase AS (
+  SELECT n.unique_id, n.model,
+         CASE WHEN coalesce(sc.scale, 0) = 0 THEN n.num ELSE n.num / sc.scale END AS mase
+  FROM (SELECT unique_id, model, avg(abs(y - y_pred)) AS num FROM sparse_validation
+        WHERE y IS NOT NULL GROUP BY unique_id, model) n
+  LEFT JOIN s_scale sc ON sc.unique_id = n.unique_id)""")
+cte("score_sparse", ("sparse_validation", "s_mase"), """score_sparse AS (
+  SELECT 'sparse' AS tier, w.model, w.model IN ('Naive') AS is_baseline, w.wmape,
+         coalesce(m.mase, 0)::DOUBLE AS mase
+  FROM (SELECT model, coalesce(sum(abs(y - y_pred)) / nullif(sum(abs(y)), 0), 0)::DOUBLE AS wmape
+        FROM sparse_validation WHERE y IS NOT NULL GROUP BY model) w
+  LEFT JOIN (SELECT model, avg(mase) AS mase FROM s_mase GROUP BY model) m ON m.model = w.model)""")
+
+# --- assembly -----------------------------------------------------------------------
+cte("sel_sparse", ("sparse_forecast",), f"""sel_sparse AS (
+  SELECT unique_id AS "ProductID",
+         CAST(row_number() OVER (PARTITION BY unique_id ORDER BY ds) AS BIGINT) AS forecast_week,
+         ds AS "WeekStart", y_pred AS "predicted_Sales_Qty", 'sparse' AS tier, model
+  FROM sparse_forecast WHERE model = '{P.sparse_model_choice}')""")
+cte("sel_hv", ("hv_snf",), """sel_hv AS (
+  SELECT "ProductID", forecast_week, "WeekStart", "predicted_Sales_Qty", 'high_volume' AS tier, model
+  FROM hv_snf WHERE model = 'seasonal_naive')""")
+cte("forecast_12wk", ("sel_hv", "sel_sparse"),
+    "forecast_12wk AS (SELECT * FROM sel_hv UNION ALL SELECT * FROM sel_sparse)")
+
+# --- reports -------------------------------------------------------------------------
+cte("top_products", ("featured",), f"""top_products AS (
+  SELECT "ProductID", total_sales_qty,
+         CAST(row_number() OVER (ORDER BY total_sales_qty DESC, "ProductID") AS BIGINT) AS rank
+  FROM (SELECT "ProductID", sum("Sales_Qty") AS total_sales_qty FROM featured GROUP BY 1) t
+  ORDER BY total_sales_qty DESC, "ProductID" LIMIT {P.top_volume_candidates})""")
+cte("decomp_eligible", ("top_products", "featured"), f"""decomp_eligible AS (
+  SELECT "ProductID", rank, total_sales_qty, n_weeks, eligible,
+         eligible AND sum(CAST(eligible AS BIGINT)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)
+                      <= {P.top_volume_target} AS selected,
+         CASE WHEN NOT eligible THEN 'skipped ' || "ProductID" || ': ' || CAST(n_weeks AS VARCHAR)
+              || ' weeks of history < {P.decomposition_min_weeks} required for period={P.season_length} decomposition'
+         END AS reason
+  FROM (SELECT t.*, w.n_weeks, w.n_weeks >= {P.decomposition_min_weeks} AS eligible
+        FROM top_products t LEFT JOIN (SELECT "ProductID", count(*) AS n_weeks FROM featured
+                                       GROUP BY 1) w ON w."ProductID" = t."ProductID") x)""")
+_half = P.season_length // 2
+cte("decomp_base", ("featured",), f"""decomp_base AS (
+  SELECT "ProductID", "WeekStart", "Sales_Qty" AS observed,
+         row_number() OVER (PARTITION BY "ProductID" ORDER BY "WeekStart") - 1 AS pos,
+         count(*) OVER (PARTITION BY "ProductID") AS n
+  FROM featured)""")
+cte("decomp_trend", ("decomp_base",), f"""decomp_trend AS (
+  SELECT *, CASE WHEN pos >= {_half} AND pos < n - {_half} THEN
+      (sum(observed) OVER (PARTITION BY "ProductID" ORDER BY "WeekStart"
+                           ROWS BETWEEN {_half - 1} PRECEDING AND {_half - 1} FOLLOWING)
+       + 0.5 * (lag(observed, {_half}) OVER (PARTITION BY "ProductID" ORDER BY "WeekStart")
+                + lead(observed, {_half}) OVER (PARTITION BY "ProductID" ORDER BY "WeekStart")))
+      / {P.season_length} END AS trend
+  FROM decomp_base WHERE n >= {P.decomposition_min_weeks})""")
+cte("decomp", ("decomp_trend",), f"""decomp AS (
+  SELECT p."ProductID", p."WeekStart", p.observed, p.trend, pa.avg_d - c.centre AS seasonal,
+         p.observed - p.trend - (pa.avg_d - c.centre) AS resid
+  FROM decomp_trend p
+  JOIN (SELECT "ProductID", pos % {P.season_length} AS phase, avg(observed - trend) AS avg_d
+        FROM decomp_trend GROUP BY 1, 2) pa
+    ON pa."ProductID" = p."ProductID" AND pa.phase = p.pos % {P.season_length}
+  JOIN (SELECT "ProductID", avg(avg_d) AS centre FROM (
+          SELECT "ProductID", pos % {P.season_length} AS phase, avg(observed - trend) AS avg_d
+          FROM decomp_trend GROUP BY 1, 2) z GROUP BY 1) c ON c."ProductID" = p."ProductID")""")
+
+# --- profiling ----------------------------------------------------------------------
+_F = _in_list(P.excluded_ranges)
