@@ -125,14 +125,12 @@ def feature_names(params: Params) -> list[str]:
 
 def gbt(params: Params, depth: int, max_iter: int | None = None,
         validation: bool = True) -> GBTRegressor:
-    g = GBTRegressor(featuresCol="features", labelCol="Sales_Qty", predictionCol="prediction",
-                     maxDepth=depth, stepSize=params.gbt_step,
-                     maxIter=max_iter or params.gbt_max_iter,
-                     minInstancesPerNode=params.gbt_min_instances, maxBins=params.gbt_max_bins,
-                     seed=params.gbt_seed, lossType="squared")
-    if validation:
-        g = g.setValidationIndicatorCol("_is_es").setValidationTol(0.0)
-    return g
+    kw = dict(validationIndicatorCol="_is_es", validationTol=1e-4) if validation else {}
+    return GBTRegressor(featuresCol="features", labelCol="Sales_Qty", predictionCol="prediction",
+                        maxDepth=depth, stepSize=params.gbt_step,
+                        maxIter=max_iter or params.gbt_max_iter,
+                        minInstancesPerNode=params.gbt_min_instances, maxBins=params.gbt_max_bins,
+                        seed=params.gbt_seed, lossType="squared", **kw)
 
 
 def fit_with_early_stopping(train_m: DataFrame, params: Params, depth: int, cut):

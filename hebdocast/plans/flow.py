@@ -33,6 +33,15 @@ class Flow:
                     params: Params = FIXTURE_PARAMS) -> "Flow":
         return cls(spark, adapter.raw_transactions(spark, sf_dir), params)
 
+    def keep(self, *stages: str) -> "Flow":
+        """Persist stage outputs shared by several consumers (keeps their
+        ProductID clustering, unlike a re-read from files)."""
+        from pyspark import StorageLevel
+        for name in stages:
+            df = getattr(self, name)
+            self.__dict__[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
     # -- stage 2 -----------------------------------------------------------
     @cached_property
     def prepared(self) -> DataFrame:
