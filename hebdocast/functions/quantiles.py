@@ -29,6 +29,33 @@ def stack_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
+def _ranked(long_df: DataFrame, key: str, value: str, partitions: int | None):
+    """(ranked rows k, v, rank — persisted) and (k, n) per key (small)."""
+    spark = long_df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = (long_df.select(F.col(key).alias("k"), F.col(value).alias("v"))
+               .repartitionByRange(n_parts, "k", "v")
+               .sortWithinPartitions("k", "v")
+               .withColumn("_mid", F.monotonically_increasing_id())
+               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
+               .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    # one row per (partition, key): bounded by partitions x keys
+    blocks = sorted_.groupBy("_pid", "k").agg(F.count(F.lit(1)).alias("n_block"),
+                                              F.min("_local").alias("first_local"))
+    w = Window.partitionBy("k").orderBy("_pid")
+    blocks = (blocks
+              .withColumn("offset", F.coalesce(F.sum("n_block").over(
+                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn("n", F.sum("n_block").over(Window.partitionBy("k")))
+              .persist(StorageLevel.MEMORY_AND_DISK))
+    ranked = (sorted_.join(F.broadcast(blocks.select("_pid", "k", "offset", "first_local")),
+                           ["_pid", "k"])
+              .select("k", "v", (F.col("offset") + F.col("_local") - F.col("first_local"))
+                      .alias("rank")))
+    return ranked, blocks.select("k", "n").distinct()
+
+
 def rank_within_key(long_df: DataFrame, key: str = "k", value: str = "v",
                     partitions: int | None = None) -> DataFrame:
     """Rows of a (key, value) frame with their 0-based rank by value within key.
@@ -38,48 +65,80 @@ def rank_within_key(long_df: DataFrame, key: str = "k", value: str = "v",
     (a table of partitions x keys rows, broadcast). No task sees more than its
     range partition, whatever the key distribution.
     """
-    spark = long_df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (long_df.select(F.col(key).alias("k"), F.col(value).alias("v"))
-              .repartitionByRange(n_parts, "k", "v")
-              .sortWithinPartitions("k", "v")
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-              .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    blocks = ranked.groupBy("_pid", "k").agg(F.count(F.lit(1)).alias("n_block"),
-                                             F.min("_local").alias("first_local"))
-    w = Window.partitionBy("k").orderBy("_pid")
-    blocks = (blocks
-              .withColumn("offset", F.coalesce(F.sum("n_block").over(
-                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("n", F.sum("n_block").over(Window.partitionBy("k"))))
-    out = (ranked.join(F.broadcast(blocks.select("_pid", "k", "offset", "first_local", "n")),
-                       ["_pid", "k"])
-           .select(F.col("k").alias(key), F.col("v").alias(value),
-                   (F.col("offset") + F.col("_local") - F.col("first_local")).alias("rank"),
-                   F.col("n")))
-    return out
+    ranked, _ = _ranked(long_df, key, value, partitions)
+    return ranked.select(F.col("k").alias(key), F.col("v").alias(value), "rank")
+
+
+_CUM_SCHEMA = "k string, v double, w long, pid int, cum long"
+
+
+def _running_weights(batches):
+    """Per partition (already sorted by k, v): running weight per key."""
+    import pandas as pd
+    from pyspark import TaskContext
+    pid = TaskContext.get().partitionId()
+    carry_k, carry = None, 0
+    for pdf in batches:
+        if pdf.empty:
+            continue
+        k = pdf["k"].to_numpy()
+        w = pdf["w"].to_numpy(dtype="int64")
+        new_key = pd.Series(k).ne(pd.Series(k).shift()).to_numpy()
+        new_key[0] = k[0] != carry_k
+        grp = new_key.cumsum()
+        cum = pd.Series(w).groupby(grp).cumsum().to_numpy()
+        if not new_key[0]:
+            cum[grp == grp[0]] += carry
+        carry_k, carry = k[-1], int(cum[-1])
+        yield pd.DataFrame({"k": k, "v": pdf["v"].to_numpy(dtype="float64"), "w": w,
+                            "pid": pid, "cum": cum})
 
 
 def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
                     key: str = "column", value: str = "value",
                     partitions: int | None = None) -> DataFrame:
-    """(key, prob, quantile) for every key of a long (key, value) frame."""
-    ranked = rank_within_key(long_df, key, value, partitions).select(
-        F.col(key).alias("k"), F.col(value).alias("v"), "rank", "n")
-    counts = ranked.select("k", "n").distinct()
+    """(key, prob, quantile) for every key of a long (key, value) frame, with
+    linear interpolation between the ranks floor/ceil(q * (n - 1)).
+
+    Values are first counted per distinct (key, value) — a map-side combined
+    aggregate, so repeated values never travel twice — then the distinct
+    values are range-partitioned and sorted; each partition computes running
+    counts per key and the per-(partition, key) totals (a bounded table)
+    give every value its global rank interval.
+    """
+    spark = long_df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hist = (long_df.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"))
+            .groupBy("k", "v").agg(F.count(F.lit(1)).alias("w")))
+    cum = (hist.repartitionByRange(n_parts, "k", "v").sortWithinPartitions("k", "v")
+           .mapInPandas(_running_weights, _CUM_SCHEMA)
+           .persist(StorageLevel.MEMORY_AND_DISK))
+    blocks = cum.groupBy("pid", "k").agg(F.sum("w").alias("n_block"))
+    w = Window.partitionBy("k").orderBy("pid")
+    blocks = (blocks.withColumn("offset", F.coalesce(F.sum("n_block").over(
+                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .withColumn("n", F.sum("n_block").over(Window.partitionBy("k"))))
     prob_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (counts.select("k", "n", F.explode(prob_arr).alias("prob"))
+    targets = (blocks.select("k", "n").distinct()
+               .select("k", "n", F.explode(prob_arr).alias("prob"))
                .withColumn("h", F.col("prob") * (F.col("n") - 1))
-               .withColumn("lo", F.floor("h"))
-               .withColumn("hi", F.ceil("h")))
-    # wanted ranks: keys x probs x 2 rows, a bounded table
-    wanted = targets.select("k", F.explode(F.array("lo", "hi")).alias("rank")).distinct()
-    located = ranked.join(F.broadcast(wanted), ["k", "rank"]).select("k", "rank", "v")
-    lo = located.select("k", F.col("rank").alias("lo"), F.col("v").alias("v_lo"))
-    hi = located.select("k", F.col("rank").alias("hi"), F.col("v").alias("v_hi"))
-    return (targets.join(lo, ["k", "lo"]).join(hi, ["k", "hi"])
+               .withColumn("lo", F.floor("h").cast("long"))
+               .withColumn("hi", F.ceil("h").cast("long")))
+    wanted = targets.select(F.col("k").alias("wk"), "prob", "h", "lo", "hi",
+                            F.explode(F.array("lo", "hi")).alias("r"))
+    # rank interval of a distinct value: [end - w + 1, end], end = offset + cum - 1
+    ranked = (cum.join(F.broadcast(blocks.select("pid", "k", "offset")), ["pid", "k"])
+              .withColumn("end", F.col("offset") + F.col("cum") - 1)
+              .withColumn("start", F.col("end") - F.col("w") + 1))
+    # keys x probs x 2 rows: bounded, broadcast; equi-join on key plus range test
+    hit = ranked.join(F.broadcast(wanted),
+                      (F.col("k") == F.col("wk")) & (F.col("r") >= F.col("start"))
+                      & (F.col("r") <= F.col("end")))
+    hit = hit.select("k", "prob", "h", "lo", "hi", "r", "v")
+    return (hit.groupBy("k", "prob")
+            .agg(F.max(F.when(F.col("r") == F.col("lo"), F.col("v"))).alias("v_lo"),
+                 F.max(F.when(F.col("r") == F.col("hi"), F.col("v"))).alias("v_hi"),
+                 F.first("h").alias("h"), F.first("lo").alias("lo"))
             .select(F.col("k").alias(key), "prob",
                     (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
                     .alias("quantile")))
