@@ -111,7 +111,7 @@ def model_matrix(df: DataFrame, params: Params, encoding: DataFrame) -> DataFram
     nulls replaced by the -1 sentinel (all real inputs are >= 0)."""
     cols = numeric_inputs(params) + [f"{c}_code" for c in CATEGORICAL_MODE_COLUMNS] + \
         ["product_mean_qty"]
-    x = df.join(encoding, "ProductID", "left")
+    x = df if "product_mean_qty" in df.columns else df.join(encoding, "ProductID", "left")
     x = x.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"_x_{c}")
                         for c in cols])
     va = VectorAssembler(inputCols=[f"_x_{c}" for c in cols], outputCol="features")
@@ -125,7 +125,7 @@ def feature_names(params: Params) -> list[str]:
 
 def gbt(params: Params, depth: int, max_iter: int | None = None,
         validation: bool = True) -> GBTRegressor:
-    kw = dict(validationIndicatorCol="_is_es", validationTol=1e-4) if validation else {}
+    kw = dict(validationIndicatorCol="_is_es", validationTol=0.0) if validation else {}
     return GBTRegressor(featuresCol="features", labelCol="Sales_Qty", predictionCol="prediction",
                         maxDepth=depth, stepSize=params.gbt_step,
                         maxIter=max_iter or params.gbt_max_iter,
@@ -216,7 +216,9 @@ def recursive_forecast(model, state_m: DataFrame, params: Params, origin: _dt.da
     predictions ride in an array column, so the chain is linear (no step is
     recomputed) and the output is one ``posexplode`` at the end."""
     st = state_m.withColumn("_preds", F.array().cast("array<double>"))
-    base_cols = [c for c in st.columns if c not in ("features", "product_mean_qty")]
+    if "product_mean_qty" not in st.columns:
+        st = st.join(encoding, "ProductID", "left")
+    base_cols = [c for c in st.columns if c not in ("features", "prediction")]
     st = st.select(*base_cols)
     for step in range(params.horizon):
         week = origin + _dt.timedelta(days=7 * step)

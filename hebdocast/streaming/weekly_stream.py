@@ -1,0 +1,38 @@
+"""The weekly aggregation over a stream of transaction files.
+
+The same (ProductID, Monday week) sums and counts as ``operators.weekly``,
+computed incrementally by Structured Streaming: a watermark on the order time
+bounds the state, and Monday-aligned tumbling windows (the epoch is a Thursday,
+hence the 4-day start offset) give the week. Modes are left to the batch path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def read_transaction_stream(spark: SparkSession, path: str, schema: T.StructType,
+                            fmt: str = "parquet") -> DataFrame:
+    return spark.readStream.format(fmt).schema(schema).load(path)
+
+
+def weekly_stream(tx: DataFrame, watermark: str = "14 days") -> DataFrame:
+    ts = F.col("Order Date").cast("timestamp")
+    return (tx.withColumn("_ts", ts).withWatermark("_ts", watermark)
+            .withColumn("ProductID", F.substring("Product Code", 1, 9))
+            .groupBy("ProductID", F.window("_ts", "7 days", startTime="4 days").alias("w"))
+            .agg(F.coalesce(F.sum("Sales Qty"), F.lit(0.0)).alias("_qty_raw"),
+                 F.coalesce(F.sum("Sales USD"), F.lit(0.0)).alias("Sales_USD"),
+                 F.count(F.lit(1)).alias("transaction_count"))
+            .select("ProductID", F.col("w.start").cast("date").alias("WeekStart"),
+                    F.greatest("_qty_raw", F.lit(0.0)).alias("Sales_Qty"), "Sales_USD",
+                    (F.col("_qty_raw") < 0).alias("returns_exceeded_sales"), "transaction_count"))
+
+
+def run_to_table(weekly: DataFrame, name: str, checkpoint: str):
+    """Append finished weeks to an in-memory table (tests) — use a file or
+    table sink with a shared checkpoint location on a cluster."""
+    return (weekly.writeStream.outputMode("append").format("memory").queryName(name)
+            .option("checkpointLocation", checkpoint).start())
