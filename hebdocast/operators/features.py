@@ -24,7 +24,9 @@ from ..functions.columns import mode_lowest, safe_div, week_of_month
 
 
 def _by_product():
-    return Window.partitionBy("ProductID")
+    # whole-series frame, ordered like the other windows so they share one sort
+    return (Window.partitionBy("ProductID").orderBy("WeekStart")
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
 def _w():

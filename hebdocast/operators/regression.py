@@ -167,7 +167,11 @@ def recursive_state(df: DataFrame, last_week: _dt.date, window: int = 12) -> Dat
     tail = F.collect_list("Sales_Qty").over(_w().rowsBetween(-(window - 1), 0))
     x = df.withColumn("_tail", tail).where(F.col("WeekStart") == F.lit(last_week))
     pad = F.array_repeat(F.lit(None).cast("double"), F.lit(window) - F.size("_tail"))
-    return x.withColumn("history", F.concat(pad, F.col("_tail"))).drop("_tail")
+    x = x.withColumn("history", F.concat(pad, F.col("_tail"))).drop("_tail")
+    # for the week after the last one, "last week's" same-week values are the
+    # last observed row's own values; they stay frozen over the horizon
+    prev = {c[:-5]: c for c in x.columns if c.endswith("_prev") and c[:-5] in x.columns}
+    return x.withColumns({p: F.col(c) for c, p in prev.items()})
 
 
 def _nn(arr: Column) -> Column:

@@ -175,8 +175,17 @@ class Flow:
 
     @cached_property
     def hv_state(self) -> DataFrame:
+        """One row per high-volume product at the last week with its history."""
         from ..operators import regression
-        return regression.recursive_state(self.hv_encoded, self.cutoffs.valid_end)
+        return regression.recursive_state(self.hv, self.cutoffs.valid_end)
+
+    @cached_property
+    def hv_state_encoded(self) -> DataFrame:
+        """The state with category codes (model inputs); codes are joined on the
+        one-row-per-product state, not on the whole panel."""
+        from ..operators import regression
+        return regression.apply_dictionary(self.hv_state, self.cat_dictionary,
+                                           broadcast_limit=self.params.broadcast_row_limit)
 
     @cached_property
     def hv_seasonal_forecast(self) -> DataFrame:
@@ -226,7 +235,8 @@ class Flow:
             final, fsecs = regression.refit(full_m, p, depth, rounds)
             t = time.perf_counter()
             fc = cut_lineage(regression.recursive_forecast(
-                final, self.hv_state, p, cut.origin, self.holiday_week_list, name, enc_full))
+                final, self.hv_state_encoded, p, cut.origin, self.holiday_week_list, name,
+                enc_full))
             isecs = time.perf_counter() - t
             out[name] = dict(model=model, final=final, rounds=rounds, train_seconds=secs,
                              final_train_seconds=fsecs, inference_seconds=isecs,
