@@ -46,11 +46,19 @@ def any_true(preds: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, [F.coalesce(p, F.lit(False)) for p in preds])
 
 
+def _second_of_day(ts: Column) -> Column:
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def days_between(later: Column | str, earlier: Column | str) -> Column:
-    """Whole days from earlier to later, floored (negative leads floor down)."""
-    secs = (F.unix_seconds(col_or(later).cast("timestamp"))
-            - F.unix_seconds(col_or(earlier).cast("timestamp")))
-    return F.floor(secs / 86400).cast("long")
+    """Whole days from earlier to later, floored (negative leads floor down).
+
+    Calendar-day difference plus a time-of-day correction, so the result does
+    not depend on the session time zone (no DST shifts on wall-clock values).
+    """
+    a, b = col_or(later), col_or(earlier)
+    days = F.datediff(F.to_date(a), F.to_date(b))
+    return (days + F.floor((_second_of_day(a) - _second_of_day(b)) / 86400)).cast("long")
 
 
 def ses_weight(alpha: float, position: Column, count: Column) -> Column:

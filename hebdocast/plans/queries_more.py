@@ -303,11 +303,15 @@ def corr_matrix(spark, sf):
 def feature_importance(spark, sf):
     f = flow(spark, sf)
     names = regression.feature_names(f.params)
-    rows = []
+    out = None
     for model_name, r in f.hv_fits.items():
         imp = r["model"].featureImportances.toArray()
-        rows += [(model_name, n, float(v)) for n, v in zip(names, imp)]
-    return spark.createDataFrame(rows, "model string, feature string, importance double")
+        gain = spark.createDataFrame([(model_name, n, float(v)) for n, v in zip(names, imp)],
+                                     "model string, feature string, gain_importance double")
+        perm = regression.permutation_importance(r["model"], r["valid_m"], f.params)
+        part = gain.join(perm, "feature", "left")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @register("loss_curve")

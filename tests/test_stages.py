@@ -136,3 +136,13 @@ def test_missing_columns_raise(spark):
     from hebdocast.sources.tables import MissingColumnsError, require_columns
     with pytest.raises(MissingColumnsError, match="Region"):
         require_columns(spark.createDataFrame([(1,)], "x long"), ["Region"])
+
+
+def test_lead_days_floor_with_times(spark):
+    from hebdocast.functions.columns import days_between
+    df = spark.createDataFrame([
+        (dt.datetime(2024, 1, 3, 18), dt.datetime(2024, 1, 4, 6)),
+        (dt.datetime(2024, 1, 3, 18), dt.datetime(2024, 1, 3, 6)),
+        (dt.datetime(2024, 3, 1, 0), dt.datetime(2024, 4, 1, 0))], "o timestamp_ntz, i timestamp_ntz")
+    got = [r[0] for r in df.select(days_between("i", "o")).collect()]
+    assert got == [0, -1, 31]
