@@ -49,6 +49,7 @@ def main() -> None:
     f.keep("featured_full")
     run("featured", lambda: f.featured)
     run("tiers", lambda: f.tiers)
+    f.keep("sparse_validation")  # scored below and by the reports: written once
     run("sparse_validation", lambda: f.sparse_validation)
     run("sparse_forecast", lambda: f.sparse_forecast)
     run("hv_seasonal_naive_valid", lambda: f.hv_seasonal_valid)

@@ -226,7 +226,7 @@ class Flow:
         # core (round-robin, so no key skew) and cut its lineage first
         par = self.spark.sparkContext.defaultParallelism
         train_m = cut_lineage(regression.model_matrix(train, p, enc_train).repartition(par))
-        valid_m = regression.model_matrix(valid, p, enc_train)
+        valid_m = cut_lineage(regression.model_matrix(valid, p, enc_train))
         full_m = cut_lineage(regression.model_matrix(self.hv_encoded, p, enc_full).repartition(par))
         out = {}
         for name, depth in regression.hv_models(p).items():
