@@ -410,3 +410,15 @@ def sparse_validation(spark, sf):
 @register("sparse_forecast", b("SELECT * FROM sparse_forecast", "sparse_forecast"))
 def sparse_forecast(spark, sf):
     return flow(spark, sf).sparse_forecast
+
+
+# --- guards ---------------------------------------------------------------------
+@register("clean_artifact_violations", b("""SELECT count(*) AS artifact_rows FROM flagged
+WHERE is_artifact HAVING count(*) <> 3""", "flagged"))
+def clean_artifact_violations(spark, sf):
+    return clean.artifact_violations(flow(spark, sf).raw)
+
+
+@register("week_floor_violations", b('SELECT * FROM scoped WHERE "Order Date" IS NULL', "scoped"))
+def week_floor_violations(spark, sf):
+    return weekly.week_floor_violations(flow(spark, sf).scoped)
