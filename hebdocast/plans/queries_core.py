@@ -17,8 +17,20 @@ b = O.build
 CATS_SQL = '"Region", "Country", "Sales Channel", "Brand Category", "Product Range"'
 
 
+# One Flow per (application, data folder): registered queries share the stage
+# plans, the scalar jobs (median lead, cutoffs) and the persisted shared stages
+# (deduplicated transactions, weekly table, feature panel) within a session.
+_SESSION_FLOWS: dict = {}
+
+
 def flow(spark, sf):
-    return Flow.from_tables(spark, sf)
+    key = (spark.sparkContext.applicationId, sf)
+    f = _SESSION_FLOWS.get(key)
+    if f is None:
+        f = Flow.from_tables(spark, sf)
+        f.keep("prepared", "weekly_ext", "featured_full")
+        _SESSION_FLOWS[key] = f
+    return f
 
 
 # --- 2.1 sources ------------------------------------------------------------
