@@ -65,24 +65,21 @@ def product_modes(weekly_df: DataFrame, as_of: _dt.date | None = None) -> DataFr
 
 
 def dense_panel(weekly_ext: DataFrame, last_week: _dt.date,
-                as_of: _dt.date | None = None) -> DataFrame:
+                as_of: _dt.date | None = None, with_modes: bool = True) -> DataFrame:
     """Each product from its own first week to ``last_week``, gaps filled with 0.
 
     Keeps the day-of-week columns when present (null / 0.0 in filled weeks).
-    Categoricals are replaced by the product-level modes, computed over the
-    same clustering as a whole-partition window, so no join is needed.
+    Categoricals are the product-level modes; with ``with_modes=False`` they are
+    left out so the caller can attach them after the row-heavy windows
+    (``attach_modes``) instead of carrying five strings through the sort.
     """
     has_dow = "dominant_dow" in weekly_ext.columns
     nxt = F.lead("WeekStart").over(_w())
     end = F.coalesce(F.date_sub(nxt, 7), F.lit(last_week))
     x = weekly_ext.where(F.col("WeekStart") <= F.lit(last_week))
-    modes = []
-    for c in CATEGORICAL_MODE_COLUMNS:
-        v = F.col(c) if as_of is None else F.when(F.col("WeekStart") <= F.lit(as_of), F.col(c))
-        modes.append(mode_lowest(v).over(_by_product()).alias(c))
     x = x.select(
         "ProductID", "WeekStart", "Sales_Qty", "Sales_USD", "returns_exceeded_sales",
-        "transaction_count", *modes,
+        "transaction_count",
         *([F.col("dominant_dow"), F.col("pct_weekend_orders")] if has_dow else []),
         F.sequence(F.col("WeekStart"), end, F.expr("INTERVAL 7 DAYS")).alias("_weeks"),
     )
@@ -97,13 +94,24 @@ def dense_panel(weekly_ext: DataFrame, last_week: _dt.date,
         .alias("returns_exceeded_sales"),
         F.when(first, F.col("transaction_count")).otherwise(F.lit(0)).cast("long")
         .alias("transaction_count"),
-        *CATEGORICAL_MODE_COLUMNS,
     ]
     if has_dow:
         out += [F.when(first, F.col("dominant_dow")).alias("dominant_dow"),
                 F.when(first, F.col("pct_weekend_orders")).otherwise(F.lit(0.0))
                 .alias("pct_weekend_orders")]
-    return x.select(*out)
+    panel = x.select(*out)
+    if with_modes:
+        panel = attach_modes(panel, weekly_ext, last_week, as_of)
+    return panel
+
+
+def attach_modes(df: DataFrame, weekly_ext: DataFrame, last_week: _dt.date,
+                 as_of: _dt.date | None = None) -> DataFrame:
+    """Join the product-level modes (one row per product). The panel side is
+    already clustered and sorted by ProductID, so only the small mode table
+    moves."""
+    modes = product_modes(weekly_ext.where(F.col("WeekStart") <= F.lit(last_week)), as_of)
+    return df.join(modes, "ProductID", "left")
 
 
 def holiday_weeks(holidays: DataFrame) -> DataFrame:

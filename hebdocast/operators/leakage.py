@@ -31,9 +31,10 @@ def leakage_violations(flow, position: int = 12, delta: float = 999_999.0) -> Da
     """(ProductID, WeekStart, column) for every model input that changed."""
     params = flow.params
     cols = model_input_columns(params)
-    mutated_panel = features.mutate_rows(flow.panel, position, delta)
-    mutated = (features.add_features(mutated_panel, flow.holiday_weeks, params, model_lags=True)
-               .where(F.col("_mutated")))
+    mutated_panel = features.mutate_rows(flow.panel_base, position, delta)
+    mutated = flow.with_modes(
+        features.add_features(mutated_panel, flow.holiday_weeks, params, model_lags=True)
+        .where(F.col("_mutated")))
     base = flow.featured_full.select("ProductID", "WeekStart",
                                      *[F.col(c).alias(f"_b_{c}") for c in cols])
     j = mutated.select("ProductID", "WeekStart", *cols).join(base, ["ProductID", "WeekStart"])

@@ -108,15 +108,26 @@ class Flow:
     def holiday_weeks(self) -> DataFrame:
         return features.holiday_weeks(self.holidays)
 
+    @cached_property
+    def panel_base(self) -> DataFrame:
+        """The densified panel without the categorical columns."""
+        return features.dense_panel(self.weekly_ext, self.cutoffs.valid_end, self.params.as_of,
+                                    with_modes=False)
+
+    def with_modes(self, df: DataFrame) -> DataFrame:
+        return features.attach_modes(df, self.weekly_ext, self.cutoffs.valid_end,
+                                     self.params.as_of)
+
     @cached_property
     def panel(self) -> DataFrame:
-        return features.dense_panel(self.weekly_ext, self.cutoffs.valid_end, self.params.as_of)
+        return self.with_modes(self.panel_base)
 
     @cached_property
     def featured_full(self) -> DataFrame:
-        """Published features plus last-week copies of same-week inputs."""
-        return features.add_features(self.panel, self.holiday_weeks, self.params,
-                                     model_lags=True)
+        """Published features plus last-week copies of same-week inputs; the
+        modes are attached after the windows."""
+        return self.with_modes(features.add_features(self.panel_base, self.holiday_weeks,
+                                                     self.params, model_lags=True))
 
     @cached_property
     def featured(self) -> DataFrame:
