@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, token_counts
+from . import bpe, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,3 +42,11 @@ def op2_token_counts(spark, sf_dir):
 @query
 def op3_bpe_round_trip(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+@query
+def op5_quality_rules(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op5_quality_rules"] = quality.ORACLE
