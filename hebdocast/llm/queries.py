@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality, token_counts
+from . import bpe, near_dup, packing, quality, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op5_quality_rules(spark, sf_dir):
 
 
 ORACLE["op5_quality_rules"] = quality.ORACLE
+
+
+@query
+def op8_minhash_near_dup(spark, sf_dir):
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
