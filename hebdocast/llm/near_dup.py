@@ -7,11 +7,12 @@ costs one signature. Each class has ``BANDS`` x ``ROWS`` minima under fixed univ
 sets of similarity 0.75 miss each other with probability 2.5e-7.
 
 Within buckets, pairs are not listed. First every member is held against the bucket's smallest class
-only; pairs whose signatures agree well are confirmed on the full sets, and components are built.
-Buckets that still hold two components are then searched: members are compared by signature, at most
-``few`` best partners in other components are confirmed, components are rebuilt, and what is left is
-searched without that limit, so every candidate between different components is confirmed or refused
-on full sets. Buckets beyond ``CHUNK`` members are dealt into chunks that meet one chunk a round.
+only; pairs whose signatures agree well are confirmed on the full sets, and components are built. In
+buckets that still hold two components, members of different components whose signatures agree are
+held together as clusters. A cluster is dealt into chunks of ``CHUNK`` members, and each chunk
+confirms its candidates between different components on full sets inside one task, which returns one
+link a member at most. In larger clusters the members outside the largest component then meet every
+chunk. So every candidate between different components is confirmed or refused on full sets.
 
 Scale: one pass makes signatures; one shuffle of texts fetches the full sets of the classes that
 have a bucket partner. Counts and minima are aggregated before shuffles and written before joins, so
@@ -103,45 +104,173 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("c") >= percent * (F.col("t") - F.col("c"))).select("u", "v")
 
 
-def searched(members: DataFrame, least: int, limit: int | None) -> DataFrame:
-    """Pairs ``u < v`` of members of one bucket chunk that lie in different components and whose
-    signatures agree in ``least`` places, at most ``limit`` best ones a member. ``members``: ``cell``
-    (a bounded set of buckets), ``key, chunk, node, root, sig``."""
+class Sets:
+    """Disjoint sets of node numbers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _ordered(table, *keys: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Columns, row order and group bounds of an Arrow table sorted by ``keys``."""
+    cols = [table.column(k).to_numpy() for k in keys]
+    order = np.lexsort(cols[::-1])
+    cols = [c[order] for c in cols]
+    change = np.zeros(max(len(order) - 1, 0), bool)
+    for c in cols[:-1]:
+        change |= c[1:] != c[:-1]
+    return cols, order, np.concatenate([[0], np.flatnonzero(change) + 1, [len(order)]])
+
+
+def _matrix(table, name: str, order: np.ndarray) -> np.ndarray:
+    return np.asarray(table.column(name).combine_chunks().flatten()).reshape(len(order), -1)[order]
+
+
+def _edges(us: list[int], vs: list[int]) -> pa.Table:
+    return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
+
+
+def open_groups(members: DataFrame, least: int) -> DataFrame:
+    """Links ``u, v`` that hold together the members of a bucket that lie in different components
+    and whose signatures agree in ``least`` places, at most one a member. ``members``: ``cell`` (a
+    bounded set of buckets), ``key, node, root, sig``."""
 
     def run(table):
-        key = table.column("key").to_numpy()
-        chunk, node = table.column("chunk").to_numpy(), table.column("node").to_numpy()
-        order = np.lexsort((node, chunk, key))
-        key, chunk, node = key[order], chunk[order], node[order]
-        root = table.column("root").to_numpy()[order]
-        flat = table.column("sig").combine_chunks()
-        sig = np.asarray(flat.flatten()).reshape(len(key), -1)[order]
-        edge = np.flatnonzero((np.diff(key) != 0) | (np.diff(chunk) != 0)) + 1
-        bounds = np.concatenate([[0], edge, [len(key)]])
+        (key, node), order, bounds = _ordered(table, "key", "node")
+        root, sig = table.column("root").to_numpy()[order], _matrix(table, "sig", order)
         us, vs = [], []
         for s, e in zip(bounds[:-1], bounds[1:]):
-            if e - s < 2 or (root[s:e] == root[s]).all():
-                continue
+            sets = Sets()
             for i in range(s + 1, e):
-                other = np.flatnonzero((root[s:i] != root[i]))
-                if not len(other):
-                    continue
-                same = (sig[s + other] == sig[i]).sum(1)
-                good = same >= least
-                other, same = other[good], same[good]
-                if limit is not None and len(other) > limit:
-                    other = other[np.argsort(-same, kind="stable")[:limit]]
-                us.append(node[s + other])
-                vs.append(np.full(len(other), node[i]))
-        none = np.empty(0, np.int64)
-        return pa.table({"u": np.concatenate(us or [none]), "v": np.concatenate(vs or [none])})
-
-    return members.groupBy("cell").applyInArrow(run, "u bigint, v bigint").filter("u <> v").select(
-        F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+                other = np.flatnonzero(root[s:i] != root[i])
+                if len(other):
+                    for j in other[(sig[s + other] == sig[i]).sum(1) >= least].tolist():
+                        if sets.join(int(node[s + j]), int(node[i])):
+                            us.append(int(node[s + j]))
+                            vs.append(int(node[i]))
+        return _edges(us, vs)
+
+    return members.groupBy("cell").applyInArrow(run, "u bigint, v bigint").distinct()
+
+
+def common_items(items: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Size of the intersection of ``items[i]`` and ``items[j]`` for every ``i, j`` of the lists."""
+    if len(left) < 8 * len(items):
+        return np.array([len(np.intersect1d(items[i], items[j], assume_unique=True))
+                         for i, j in zip(left.tolist(), right.tolist())], np.int64)
+    flat = np.concatenate(items)
+    row = np.repeat(np.arange(len(items)), [len(x) for x in items])
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], row[order]
+    first = np.concatenate([[True], flat[1:] != flat[:-1]])
+    column = np.cumsum(first) - 1
+    shared = np.bincount(column)[column] > 1
+    column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+    total = np.zeros((len(items), len(items)))
+    step = 4096  # columns of the incidence matrix held at once
+    for at in range(0, int(column.max(initial=-1)) + 1, step):
+        lo, hi = np.searchsorted(column, [at, at + step])
+        part = np.zeros((len(items), step), np.float32)
+        part[row[lo:hi], column[lo:hi] - at] = 1
+        total += part @ part.T
+    return total[left, right].astype(np.int64)
+
+
+def linked(members: DataFrame, least: int, percent: int) -> DataFrame:
+    """Links between members of one block, confirmed on full sets, at most one a member: a pair that
+    earlier links already connect needs none. ``members``: ``cell`` (a bounded set of blocks),
+    ``block, node, root, hub, sig, items``; of two members one must be a hub."""
+
+    def run(table):
+        (block, node), order, bounds = _ordered(table, "block", "node")
+        root, sig = table.column("root").to_numpy()[order], _matrix(table, "sig", order)
+        hub = np.array(table.column("hub").to_pylist(), bool)[order]
+        items = table.column("items").combine_chunks()
+        lists = items.flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy())])
+        us, vs = [], []
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            left, right, same = [], [], []
+            for i in range(s + 1, e):
+                other = np.flatnonzero((root[s:i] != root[i]) & (hub[s:i] | hub[i]) & (node[s:i] != node[i]))
+                if len(other):
+                    agree = (sig[s + other] == sig[i]).sum(1)
+                    other, agree = other[agree >= least], agree[agree >= least]
+                    left.append(other)
+                    right.append(np.full(len(other), i - s))
+                    same.append(agree)
+            if not left:
+                continue
+            left, right, same = map(np.concatenate, (left, right, same))
+            best = np.argsort(-same, kind="stable")
+            left, right = left[best], right[best]
+            own = [lists[ends[k]:ends[k + 1]] for k in order[s:e].tolist()]
+            size = np.array([len(x) for x in own])
+            common = common_items(own, left, right)
+            good = 100 * common >= percent * (size[left] + size[right] - common)
+            sets = Sets()
+            for i, j in zip((left[good] + s).tolist(), (right[good] + s).tolist()):
+                if sets.join(int(root[i]), int(root[j])):
+                    us.append(int(node[i]))
+                    vs.append(int(node[j]))
+        return _edges(us, vs)
+
+    return members.groupBy("cell").applyInArrow(run, "u bigint, v bigint").distinct()
+
+
+def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFrame, least: int, percent: int,
+             chunk: int) -> DataFrame:
+    """``links`` and those that it misses between nodes that ``seeds`` hold together. Such a cluster is
+    dealt into chunks that are searched each for itself; then the nodes outside a cluster's largest
+    component, the hubs, are held against all of its chunks."""
+
+    def placed(found, parts):
+        return written(clusters.join(parts.hint("merge"), "cluster").join(found.hint("merge"), "node", "left")
+                       .withColumn("root", F.coalesce("root", "node")), "placed")
+
+    def of_blocks(rows):
+        n = rows.count()
+        cells = F.pmod(F.xxhash64("block"), F.lit(max(1, n // 1000)))
+        return linked(rows.withColumn("cell", cells).join(nodes.hint("merge"), "node"), least, percent)
+
+    clusters = written(components(seeds).withColumnRenamed("root", "cluster").distinct(), "clusters")
+    parts = written(clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")), "parts")
+    at = F.pmod(F.xxhash64("node"), F.col("parts"))
+    now = placed(found, parts)
+    own = now.select(F.xxhash64("cluster", at).alias("block"), "node", "root", F.lit(True).alias("hub"))
+    links = written(links.union(of_blocks(own)), "links")
+    large = written(parts.filter("parts > 1"), "large")
+    if large.isEmpty():
+        return links
+    now = placed(written(components(links), "components"), large)
+    sizes = now.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
+    most = written(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "most")
+    hubs = written(now.join(most.hint("merge"), "cluster").filter("root <> main").drop("main"), "hubs")
+    turns = written(hubs.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("turns")), "turns")
+    block = F.xxhash64("cluster", "at", "turn").alias("block")
+    range_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    members = now.join(turns.hint("merge"), "cluster").withColumn("at", at).withColumn("turn", range_of("turns"))
+    guests = hubs.join(turns.hint("merge"), "cluster").withColumn(
+        "turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns"))).withColumn("at", range_of("parts"))
+    both = members.select(block, "node", "root", F.lit(False).alias("hub")).union(
+        guests.select(block, "node", "root", F.lit(True).alias("hub")))
+    return written(links.union(of_blocks(written(both, "blocks"))), "links")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, few: int = 4, id_col: str = "doc_id",
+                    rows: int = ROWS, chunk: int = CHUNK, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row. Two documents are linked when
     100 x intersection >= ``percent`` x union of their sets; ``component_id`` is the smallest id that
@@ -180,38 +309,23 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     links = written(confirmed(stars, sets, percent), "links")
     found = written(components(links), "components")
 
-    turn, turns = 0, 1
-    while turn < turns:
-        for limit in (few, None):
-            rooted = members.select("key", "node", "n").join(found.hint("merge"), "node", "left").withColumn(
-                "root", F.coalesce("root", "node"))
-            rooted = written(rooted, "rooted")
-            split = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                            .filter("low <> high").select("key"), "split")
-            todo = written(rooted.join(split.hint("merge"), "key", "left_semi"), "todo")
-            size_of = todo.agg(F.count(F.lit(1)), F.max("n")).first()
-            if not size_of[0]:
-                turns = 0
-                break
-            turns = -(-size_of[1] // CHUNK)
-            chunks = F.ceil(F.col("n") / CHUNK).cast("bigint")
-            own = todo.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
-            if turn:  # buckets of fewer chunks have met all of theirs
-                own = own.filter(chunks > turn)
-            met = own.filter((F.col("chunk") == turn) & (chunks > 1)).withColumn("at", F.explode(
-                F.sequence(F.lit(0).cast("bigint"), chunks - 1))).filter("at <> chunk")
-            dealt = own.select("key", "chunk", "node", "root").union(
-                met.select("key", F.col("at").alias("chunk"), "node", "root"))
-            cells = max(1, size_of[0] // 10_000)
-            dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("key", "chunk"), F.lit(cells)))
-            pairs = written(searched(dealt.join(sig.hint("merge"), "node"), least, limit), "pairs")
-            if not pairs.isEmpty():
-                more = written(links.union(confirmed(pairs, sets, percent)), "links")
-                if more.count() > links.count():
-                    found = written(components(more), "components")
-                links = more
-            discard(rooted, split, todo)
-        turn += 1
+    # Buckets that still hold two components.
+    rooted = written(members.select("key", "node", "n", "hub").join(found.hint("merge"), "node", "left").withColumn(
+        "root", F.coalesce("root", "node")), "rooted")
+    split = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+                    .filter("low <> high").select("key"), "split")
+    todo = written(rooted.join(split.hint("merge"), "key", "left_semi"), "todo")
+    discard(rooted, split)
+    n_rows = todo.count()
+    if n_rows:
+        cell = F.pmod(F.xxhash64("key"), F.lit(max(1, n_rows // 10_000)))
+        small = todo.filter(F.col("n") <= chunk).select("key", "node", "root", cell.alias("cell"))
+        seeds = open_groups(small.join(sig.hint("merge"), "node"), least).union(
+            todo.filter((F.col("n") > chunk) & (F.col("hub") != F.col("node")))
+            .select(F.col("hub").alias("u"), F.col("node").alias("v")))
+        links = searched(written(seeds, "seeds"), links, found, sig.join(sets.hint("merge"), "node"), least,
+                         percent, chunk)
+        found = written(components(links), "components")
 
     rooted = classes.join(found.hint("merge"), "node", "left").select(
         "digest", "least_id", F.coalesce("root", "node").alias("root"))
