@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, quality, token_counts
+from . import bpe, near_dup, packing, quality, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,3 +55,8 @@ ORACLE["op5_quality_rules"] = quality.ORACLE
 @query
 def op8_minhash_near_dup(spark, sf_dir):
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=75)
+
+
+@query
+def op4_substring_dedup(spark, sf_dir):
+    return substring.substring_dedup(table(spark, sf_dir, "documents"), size=35)
