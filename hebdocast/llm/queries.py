@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, quality, substring, token_counts
+from . import bpe, near_dup, packing, quality, secrets, substring, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op8_minhash_near_dup(spark, sf_dir):
 @query
 def op4_substring_dedup(spark, sf_dir):
     return substring.substring_dedup(table(spark, sf_dir, "documents"), size=35)
+
+
+@query
+def op9_secret_scan(spark, sf_dir):
+    return secrets.secret_findings(table(spark, sf_dir, "documents"))
