@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, quality, secrets, substring, token_counts
+from . import bpe, near_dup, packing, quality, secrets, substring, token_counts, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -65,3 +65,8 @@ def op4_substring_dedup(spark, sf_dir):
 @query
 def op9_secret_scan(spark, sf_dir):
     return secrets.secret_findings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_huffman_token_files(spark, sf_dir):
+    return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
