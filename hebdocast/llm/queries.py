@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, near_dup, packing, quality, secrets, substring, token_counts, token_file
+from . import bpe, near_dup, packing, pages, quality, secrets, substring, token_counts, token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -70,3 +70,8 @@ def op9_secret_scan(spark, sf_dir):
 @query
 def op10_huffman_token_files(spark, sf_dir):
     return token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
+@query
+def op6_tag_path_text(spark, sf_dir):
+    return pages.main_texts(table(spark, sf_dir, "pages"))
