@@ -6,8 +6,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, near_dup, packing, pages, quality, secrets, substring, token_counts, token_file
+from . import (bpe, near_dup, packing, pages, quality, secrets, substring, token_counts, token_file,
+               top_k)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -75,3 +77,11 @@ def op10_huffman_token_files(spark, sf_dir):
 @query
 def op6_tag_path_text(spark, sf_dir):
     return pages.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query
+def op7_impact_ordered_top_k(spark, sf_dir):
+    return top_k.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+ORACLE["op7_impact_ordered_top_k"] = top_k.ORACLE
