@@ -23,10 +23,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/hebdocast-llm/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str, **options) -> DataFrame:
+def tasks_for(rows: int, each: int = 50_000) -> int:
+    """Tasks for a step whose rows have been counted."""
+    return max(4, -(-rows // each))
+
+
+def written(df: DataFrame, label: str, tasks: int | None = None, **options) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: a lineage cut that
-    outlives any executor."""
+    outlives any executor. ``tasks`` (see :func:`tasks_for`) joins partitions of small tables."""
     spark = df.sparkSession
+    if tasks is not None:
+        df = df.coalesce(tasks)
     path = new_path(spark, label)
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

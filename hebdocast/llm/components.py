@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, tasks_for, written
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+def _least(edges: DataFrame, tasks: int) -> DataFrame:
+    return written(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least", tasks)
 
 
 def _state(edges: DataFrame):
@@ -35,13 +35,14 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while (now := _state(edges)) != before:
         before = now
+        tasks = tasks_for(now[0])
         both = _both(edges)
-        least = _least(both)  # large star: larger neighbours move to the smallest neighbour
+        least = _least(both, tasks)  # large star: larger neighbours move to the smallest neighbour
         star = written(both.filter("v > u").join(least.hint("merge"), "u")
-                       .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        low = _least(star)  # small star: every link points down; smaller neighbours move as well
+                       .select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large", tasks)
+        low = _least(star, tasks)  # small star: every link points down; smaller neighbours move as well
         small = star.join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        fresh = written(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small")
+        fresh = written(small.union(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "small", tasks)
         discard(edges, least, star, low)
         edges = fresh
     ends = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

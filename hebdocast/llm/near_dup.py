@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_type, pick, written
+from .common import discard, id_type, pick, tasks_for, written
 from .components import components
 from .words import multipliers, runs, text_words
 
@@ -236,29 +236,31 @@ def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFr
     dealt into chunks that are searched each for itself; then the nodes outside a cluster's largest
     component, the hubs, are held against all of its chunks."""
 
+    tasks = tasks_for(seeds.count())
+
     def placed(found, parts):
         return written(clusters.join(parts.hint("merge"), "cluster").join(found.hint("merge"), "node", "left")
-                       .withColumn("root", F.coalesce("root", "node")), "placed")
+                       .withColumn("root", F.coalesce("root", "node")), "placed", tasks)
 
     def of_blocks(rows):
-        n = rows.count()
-        cells = F.pmod(F.xxhash64("block"), F.lit(max(1, n // 1000)))
-        return linked(rows.withColumn("cell", cells).join(nodes.hint("merge"), "node"), least, percent)
+        cells = max(1, rows.count() // 1000)
+        dealt = rows.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)))
+        return linked(dealt.join(nodes.hint("merge"), "node"), least, percent).coalesce(max(12, cells))
 
-    clusters = written(components(seeds).withColumnRenamed("root", "cluster").distinct(), "clusters")
-    parts = written(clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")), "parts")
+    clusters = written(components(seeds).withColumnRenamed("root", "cluster").distinct(), "clusters", tasks)
+    parts = written(clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")), "parts", tasks)
     at = F.pmod(F.xxhash64("node"), F.col("parts"))
     now = placed(found, parts)
     own = now.select(F.xxhash64("cluster", at).alias("block"), "node", "root", F.lit(True).alias("hub"))
     links = written(links.union(of_blocks(own)), "links")
-    large = written(parts.filter("parts > 1"), "large")
+    large = written(parts.filter("parts > 1"), "large", tasks)
     if large.isEmpty():
         return links
     now = placed(written(components(links), "components"), large)
     sizes = now.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
-    most = written(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "most")
-    hubs = written(now.join(most.hint("merge"), "cluster").filter("root <> main").drop("main"), "hubs")
-    turns = written(hubs.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("turns")), "turns")
+    most = written(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "most", tasks)
+    hubs = written(now.join(most.hint("merge"), "cluster").filter("root <> main").drop("main"), "hubs", tasks)
+    turns = written(hubs.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("turns")), "turns", tasks)
     block = F.xxhash64("cluster", "at", "turn").alias("block")
     range_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     members = now.join(turns.hint("merge"), "cluster").withColumn("at", at).withColumn("turn", range_of("turns"))
@@ -266,7 +268,7 @@ def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFr
         "turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns"))).withColumn("at", range_of("parts"))
     both = members.select(block, "node", "root", F.lit(False).alias("hub")).union(
         guests.select(block, "node", "root", F.lit(True).alias("hub")))
-    return written(links.union(of_blocks(written(both, "blocks"))), "links")
+    return written(links.union(of_blocks(written(both, "blocks", tasks))), "links")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS,
@@ -310,20 +312,22 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
     found = written(components(links), "components")
 
     # Buckets that still hold two components.
+    tasks = tasks_for(members.count(), 200_000)
     rooted = written(members.select("key", "node", "n", "hub").join(found.hint("merge"), "node", "left").withColumn(
-        "root", F.coalesce("root", "node")), "rooted")
+        "root", F.coalesce("root", "node")), "rooted", tasks)
     split = written(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-                    .filter("low <> high").select("key"), "split")
-    todo = written(rooted.join(split.hint("merge"), "key", "left_semi"), "todo")
+                    .filter("low <> high").select("key"), "split", tasks)
+    todo = written(rooted.join(split.hint("merge"), "key", "left_semi"), "todo", tasks)
     discard(rooted, split)
     n_rows = todo.count()
     if n_rows:
-        cell = F.pmod(F.xxhash64("key"), F.lit(max(1, n_rows // 10_000)))
+        cells = max(1, n_rows // 5_000)
+        cell = F.pmod(F.xxhash64("key"), F.lit(cells))
         small = todo.filter(F.col("n") <= chunk).select("key", "node", "root", cell.alias("cell"))
         seeds = open_groups(small.join(sig.hint("merge"), "node"), least).union(
             todo.filter((F.col("n") > chunk) & (F.col("hub") != F.col("node")))
             .select(F.col("hub").alias("u"), F.col("node").alias("v")))
-        links = searched(written(seeds, "seeds"), links, found, sig.join(sets.hint("merge"), "node"), least,
+        links = searched(written(seeds, "seeds", max(12, cells)), links, found, sig.join(sets.hint("merge"), "node"), least,
                          percent, chunk)
         found = written(components(links), "components")
 
