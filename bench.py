@@ -25,7 +25,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     from hebdocast.operators import assemble, country, report, scoring
-    from hebdocast.config import NUMERIC_FEATURE_COLUMNS, SEASONAL_NAIVE
+    from hebdocast.config import FIXTURE_PARAMS, NUMERIC_FEATURE_COLUMNS, SEASONAL_NAIVE
     from hebdocast.plans.flow import Flow
     from hebdocast.session import get_spark
 
@@ -39,7 +39,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t, 3)
 
     t0 = time.perf_counter()
-    f = Flow.from_tables(spark, sf_dir)
+    f = Flow.from_tables(spark, sf_dir, FIXTURE_PARAMS)
     # deduplicated transactions feed the lead-time statistics and the cleaned
     # table; keep them once instead of re-running the source joins
     f.keep("prepared")

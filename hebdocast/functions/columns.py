@@ -47,7 +47,8 @@ def any_true(preds: list[Column]) -> Column:
 
 
 def _second_of_day(ts: Column) -> Column:
-    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    """Seconds since midnight with their fraction (decimal)."""
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.date_part(F.lit("SECOND"), ts)
 
 
 def days_between(later: Column | str, earlier: Column | str) -> Column:

@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from ..config import ARTIFACT_FOOTER_PREFIX, ARTIFACT_TOTAL_REGION, REQUIRED_COLUMNS
 from ..functions.columns import all_null, any_true, days_between
-from ..functions.quantiles import exact_quantiles
 
 PRODUCT_ID_LENGTH = 9
 DATE_COLUMNS = ("Order Date", "Invoice Date")
@@ -89,13 +88,11 @@ def lead_days(df: DataFrame) -> DataFrame:
 
 def lead_stats(df: DataFrame) -> DataFrame:
     """One row: median lead days (exact, truncated toward 0) and negative share."""
-    leads = lead_days(df)
-    med = (exact_quantiles(leads.select(F.lit("lead").alias("column"),
-                                        F.col("lead_days").cast("double").alias("value")),
-                           [0.5])
-           .select(F.col("quantile").cast("int").alias("median_lead_days")))
-    neg = leads.agg(F.avg((F.col("lead_days") < 0).cast("double")).alias("negative_lead_rate"))
-    return _one_row_pair(med, neg)
+    days = lead_days(df).groupBy("lead_days").agg(F.count(F.lit(1)).alias("n"))  # a few thousand days
+    return days.agg(
+        F.percentile("lead_days", 0.5, F.col("n")).cast("int").alias("median_lead_days"),
+        F.try_divide(F.sum(F.when(F.col("lead_days") < 0, F.col("n")).otherwise(0)).cast("double"),
+                     F.sum("n")).alias("negative_lead_rate"))
 
 
 def _one_row_pair(a: DataFrame, b: DataFrame) -> DataFrame:

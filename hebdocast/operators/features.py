@@ -148,11 +148,7 @@ def add_features(panel: DataFrame, hol_weeks: DataFrame, params: Params,
         df = df.withColumn("dominant_dow", F.lit(None).cast("double")) \
                .withColumn("pct_weekend_orders", F.lit(0.0))
     wk = F.col("WeekStart")
-    # holiday weeks: a calendar-sized dimension (holidays x years), size-checked
-    n_hol = hol_weeks.count()
-    if n_hol > params.broadcast_row_limit:
-        raise ValueError(f"holiday table too large to broadcast: {n_hol} rows")
-    hw = F.broadcast(hol_weeks.select("WeekStart", F.lit(True).alias("_hol")))
+    hw = hol_weeks.select("WeekStart", F.lit(True).alias("_hol"))
     df = df.join(hw, "WeekStart", "left")
     df = df.select(
         "*",

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,16 +141,18 @@ def final_forecast(long_df: DataFrame, ids: DataFrame, params: Params, cut) -> D
                    cut.origin, params.horizon)
 
 
-def horizon_violations(fc: DataFrame, horizon: int, id_col: str = "unique_id") -> DataFrame:
-    """Ids (per model) without exactly ``horizon`` rows."""
-    return (fc.groupBy(id_col, "model").agg(F.count(F.lit(1)).alias("rows"))
-            .where(F.col("rows") != horizon))
+def horizon_violations(fc: DataFrame, horizon: int, ids: DataFrame,
+                       models: Sequence[str] = (CROSTON, SBA, TSB, NAIVE)) -> DataFrame:
+    """Ids x models without exactly ``horizon`` rows; an id or model without any row has 0."""
+    counts = fc.groupBy("unique_id", "model").agg(F.count(F.lit(1)).alias("rows"))
+    wanted = ids.select(F.col(ids.columns[0]).alias("unique_id")).distinct().select(
+        "unique_id", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    return (wanted.join(counts, ["unique_id", "model"], "left")
+            .withColumn("rows", F.coalesce("rows", F.lit(0).cast("bigint"))).where(F.col("rows") != horizon))
 
 
-def keep_last(fc: DataFrame, priority: str | None = None) -> DataFrame:
-    """One row per (unique_id, ds, model): the highest ``priority`` row wins
-    (fallback rows carry the higher priority), ties broken by value."""
-    pr = F.col(priority) if priority else F.lit(0)
-    w = Window.partitionBy("unique_id", "ds", "model").orderBy(pr.desc(), F.col("y_pred").desc())
-    out = fc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-    return out.drop(priority) if priority else out
+def keep_last(fc: DataFrame, priority: str) -> DataFrame:
+    """One row per (unique_id, ds, model): that of the highest ``priority``, the column that tells
+    later rows (fallback over library) from earlier ones; equal priorities keep the lower value."""
+    w = Window.partitionBy("unique_id", "ds", "model").orderBy(F.col(priority).desc(), F.col("y_pred"))
+    return fc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn", priority)

@@ -1,16 +1,23 @@
 """Leakage guard by mutation: a model input of week t must not move when the
-quantity of week t changes. Every product's 13th week is raised by 999,999 at
-once (products are independent), the features are recomputed, and every model
-input of the mutated rows is compared null-safely with the unmutated run."""
+quantity of week t changes.
+
+Every product is copied ``reach + 1`` times, ``reach`` being the longest lag or window. Copy c raises
+the weeks c, c + reach + 1, and so on, so every week of every product is raised in one copy and no
+raised week lies within reach of the next: its lags and windows must be those of the unmutated
+run, null-safely. Inputs that run over the whole history (zero counts, streaks, the target mean)
+rightly see earlier raised weeks, so they are compared at the first raised week of each copy. The
+number of passes is fixed, whatever the input."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL_MODE_COLUMNS, Params
 from . import features
 
+TARGET_MEAN = "product_mean_qty"  # the product's mean over earlier weeks, its target encoding
+
 
 def model_input_columns(params: Params) -> list[str]:
     """Model inputs for the configured feature mode (categoricals included)."""
@@ -27,19 +34,41 @@ def model_input_columns(params: Params) -> list[str]:
     return [*CATEGORICAL_MODE_COLUMNS, *lags, *roll, *same_week, *cal]
 
 
-def leakage_violations(flow, position: int = 12, delta: float = 999_999.0) -> DataFrame:
+def running_columns(params: Params) -> list[str]:
+    """Model inputs that run over all earlier weeks."""
+    if params.feature_mode == "contemporaneous":
+        return ["zero_streak_length", "cumulative_zero_weeks", TARGET_MEAN]
+    return ["zero_streak_length_prev", "cumulative_zero_weeks_prev", TARGET_MEAN]
+
+
+def _with_target_mean(df: DataFrame) -> DataFrame:
+    earlier = Window.partitionBy("ProductID").orderBy("WeekStart").rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(TARGET_MEAN, F.avg("Sales_Qty").over(earlier))
+
+
+def leakage_violations(flow, delta: float = 999_999.0) -> DataFrame:
     """(ProductID, WeekStart, column) for every model input that changed."""
     params = flow.params
-    cols = model_input_columns(params)
-    mutated_panel = features.mutate_rows(flow.panel_base, position, delta)
-    mutated = flow.with_modes(
-        features.add_features(mutated_panel, flow.holiday_weeks, params, model_lags=True)
-        .where(F.col("_mutated")))
-    base = flow.featured_full.select("ProductID", "WeekStart",
-                                     *[F.col(c).alias(f"_b_{c}") for c in cols])
-    j = mutated.select("ProductID", "WeekStart", *cols).join(base, ["ProductID", "WeekStart"])
+    cols = [c for c in model_input_columns(params) if c not in CATEGORICAL_MODE_COLUMNS] + [TARGET_MEAN]
+    running = running_columns(params)
+    reach = max(*params.lags, *params.windows) + 1
+    order = Window.partitionBy("ProductID").orderBy("WeekStart")
+    place = F.row_number().over(order) - 1
+    raised = F.col("_place") % reach == F.col("_copy")
+    # copies are products of their own; their ids carry the copy's number
+    copies = (flow.panel_base.withColumn("_place", place)
+              .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))))
+              .withColumn("_id", F.col("ProductID"))
+              .withColumn("ProductID", F.concat_ws("#", "ProductID", "_copy"))
+              .withColumn("Sales_Qty", F.when(raised, F.col("Sales_Qty") + delta).otherwise(F.col("Sales_Qty"))))
+    mutated = _with_target_mean(features.add_features(copies, flow.holiday_weeks, params, model_lags=True)).where(raised)
+    base = _with_target_mean(flow.featured_full).select(
+        F.col("ProductID").alias("_id"), "WeekStart", *[F.col(c).alias(f"_b_{c}") for c in cols])
+    j = mutated.select("_id", "WeekStart", "_place", "_copy", *cols).join(base, ["_id", "WeekStart"])
     checks = F.array(*[
-        F.struct(F.lit(c).alias("column"), (~F.col(c).eqNullSafe(F.col(f"_b_{c}"))).alias("changed"))
+        F.struct(F.lit(c).alias("column"),
+                 (~F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+                  & (F.lit(c not in running) | (F.col("_place") == F.col("_copy")))).alias("changed"))
         for c in cols])
-    return (j.select("ProductID", "WeekStart", F.explode(checks).alias("chk"))
+    return (j.select(F.col("_id").alias("ProductID"), "WeekStart", F.explode(checks).alias("chk"))
             .where(F.col("chk.changed")).select("ProductID", "WeekStart", "chk.column"))

@@ -4,14 +4,15 @@ Everything before the fit is DataFrame work on the ProductID clustering of the
 featured panel. The recursive 12-week forecast keeps one row per product as
 state (history array + predictions array); each step derives the lag/rolling
 inputs from the array with higher-order functions, scores with the fitted
-model and appends the clipped prediction. Lineage is cut with reliable
-checkpoints into the cluster's checkpoint folder every few steps.
+model and appends the clipped prediction. The state carries nothing but the
+model's inputs, and every step is cut with a reliable checkpoint.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import time
+from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -24,8 +25,9 @@ from ..functions.columns import week_of_month
 from ..functions.quantiles import rank_within_key
 from ..session import cut_lineage
 from .features import lag_name
-from .leakage import model_input_columns
+from .leakage import TARGET_MEAN, model_input_columns
 
+SEASON = 12  # weeks of the seasonal-naive season
 BOOL_COLUMNS = ("is_year_end", "is_lk_holiday_week", "returns_exceeded_sales")
 
 
@@ -34,9 +36,12 @@ def _w():
 
 
 def hv_frame(featured: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Featured rows of high-volume products; booleans as 0/1, dow as double."""
+    """Featured rows of high-volume products; booleans as 0/1, dow as double, and the
+    product's mean quantity over the weeks before each row (its target encoding)."""
     ids = tiers.where(F.col("tier") == HIGH_VOLUME).select("ProductID")
     df = featured.join(ids, "ProductID", "left_semi")
+    earlier = _w().rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn(TARGET_MEAN, F.avg("Sales_Qty").over(earlier))
     for c in BOOL_COLUMNS:
         if c in df.columns:
             df = df.withColumn(c, F.col(c).cast("long"))
@@ -60,22 +65,14 @@ def category_dictionary(df: DataFrame, columns=MODEL_CATEGORICAL_COLUMNS) -> Dat
                     F.col("rank").cast("long").alias("code")))
 
 
-def apply_dictionary(df: DataFrame, dictionary: DataFrame, columns=MODEL_CATEGORICAL_COLUMNS,
-                     broadcast_limit: int = 1_000_000) -> DataFrame:
-    """Adds ``<col>_code``; values missing from the dictionary get null.
-
-    Per column the dictionary slice is broadcast only when its measured size is
-    below ``broadcast_limit``; larger ones (ProductID at scale) use a shuffle
-    join. Sizes come from one small aggregate over the dictionary.
-    """
-    sizes = {r["column_name"]: r["n"] for r in
-             dictionary.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()}
+def apply_dictionary(df: DataFrame, dictionary: DataFrame,
+                     columns=MODEL_CATEGORICAL_COLUMNS) -> DataFrame:
+    """Adds ``<col>_code``; values missing from the dictionary get null. How each slice of the
+    dictionary is joined is the planner's choice, by its measured bytes."""
     out = df
     for c in columns:
         d = dictionary.where(F.col("column_name") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
-        if sizes.get(c, 0) <= broadcast_limit:
-            d = F.broadcast(d)
         out = out.join(d, out[c].cast("string") == d[f"_v_{c}"], "left").drop(f"_v_{c}")
     return out
 
@@ -101,55 +98,82 @@ def numeric_inputs(params: Params) -> list[str]:
     return [c for c in model_input_columns(params) if c not in CATEGORICAL_MODE_COLUMNS]
 
 
-def product_encoding(train: DataFrame) -> DataFrame:
-    """Mean training quantity per product (target encoding fitted on train only)."""
-    return train.groupBy("ProductID").agg(F.avg("Sales_Qty").alias("product_mean_qty"))
+def nullable_inputs(params: Params) -> list[str]:
+    """Numeric inputs that are unknown in a product's first weeks."""
+    return [c for c in numeric_inputs(params) + [TARGET_MEAN]
+            if c.startswith("Sales_Qty_") or c.endswith("_prev") or c in ("unit_price", TARGET_MEAN)]
+
 
+def category_sizes(dictionary: DataFrame) -> dict[str, int]:
+    """Number of values of each categorical input (one row per column)."""
+    rows = dictionary.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {r["column_name"]: r["n"] for r in rows}
+    return {c: found.get(c, 0) for c in CATEGORICAL_MODE_COLUMNS}
 
-def model_matrix(df: DataFrame, params: Params, encoding: DataFrame) -> DataFrame:
-    """Adds ``features``: numeric inputs, category codes and the product encoding,
-    nulls replaced by the -1 sentinel (all real inputs are >= 0)."""
-    cols = numeric_inputs(params) + [f"{c}_code" for c in CATEGORICAL_MODE_COLUMNS] + \
-        ["product_mean_qty"]
-    x = df if "product_mean_qty" in df.columns else df.join(encoding, "ProductID", "left")
-    x = x.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"_x_{c}")
-                        for c in cols])
-    va = VectorAssembler(inputCols=[f"_x_{c}" for c in cols], outputCol="features")
-    return va.transform(x).drop(*[f"_x_{c}" for c in cols])
+
+def model_matrix(df: DataFrame, params: Params, sizes: dict[str, int]) -> DataFrame:
+    """Adds ``features``: numeric inputs (0 where unknown, with an indicator beside it) and the
+    categories as nominal attributes, the missing or unknown value as a category of its own."""
+    numeric = numeric_inputs(params) + [TARGET_MEAN]
+    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x_{c}") for c in numeric]
+    cols += [F.col(c).isNull().cast("double").alias(f"_x_{c}_missing") for c in nullable_inputs(params)]
+    for c in CATEGORICAL_MODE_COLUMNS:
+        nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c] + 1}}
+        cols.append(F.coalesce(F.col(f"{c}_code").cast("double"), F.lit(float(sizes[c])))
+                    .alias(f"_x_{c}", metadata=nominal))
+    va = VectorAssembler(inputCols=[f"_x_{c}" for c in feature_names(params)], outputCol="features")
+    return va.transform(df.select("*", *cols)).drop(*[f"_x_{c}" for c in feature_names(params)])
 
 
 def feature_names(params: Params) -> list[str]:
-    return numeric_inputs(params) + [f"{c}_code" for c in CATEGORICAL_MODE_COLUMNS] + \
-        ["product_mean_qty"]
+    return (numeric_inputs(params) + [TARGET_MEAN] + [f"{c}_missing" for c in nullable_inputs(params)]
+            + list(CATEGORICAL_MODE_COLUMNS))
 
 
-def gbt(params: Params, depth: int, max_iter: int | None = None,
-        validation: bool = True) -> GBTRegressor:
-    kw = dict(validationIndicatorCol="_is_es", validationTol=0.0) if validation else {}
+def gbt(params: Params, depth: int, rounds: int, sizes: dict[str, int]) -> GBTRegressor:
+    bins = max(params.gbt_max_bins, 1 + max(sizes.values()))  # a nominal input needs a bin per value
     return GBTRegressor(featuresCol="features", labelCol="Sales_Qty", predictionCol="prediction",
-                        maxDepth=depth, stepSize=params.gbt_step,
-                        maxIter=max_iter or params.gbt_max_iter,
-                        minInstancesPerNode=params.gbt_min_instances, maxBins=params.gbt_max_bins,
-                        seed=params.gbt_seed, lossType="squared", **kw)
+                        maxDepth=depth, stepSize=params.gbt_step, maxIter=rounds,
+                        minInstancesPerNode=params.gbt_min_instances, maxBins=bins,
+                        seed=params.gbt_seed, lossType="squared")
 
 
-def fit_with_early_stopping(train_m: DataFrame, params: Params, depth: int, cut):
-    """Fits on training weeks with the last ``horizon`` training weeks as the
-    early-stopping set (inside the training period, not the scoring fold).
-    Returns (model, best_rounds, seconds)."""
-    es_start = cut.train_end - _dt.timedelta(days=7 * (params.horizon - 1))
-    data = train_m.withColumn("_is_es", F.col("WeekStart") >= F.lit(es_start))
-    if params.gbt_history_weeks:
-        first = cut.train_end - _dt.timedelta(days=7 * params.gbt_history_weeks)
-        data = data.where(F.col("WeekStart") > F.lit(first))
-    t = time.perf_counter()
-    model = gbt(params, depth).fit(data)
-    return model, model.getNumTrees, time.perf_counter() - t
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Round of the smallest loss before ``patience`` rounds passed without a better one, and whether
+    that stop was reached."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
 
 
-def refit(full_m: DataFrame, params: Params, depth: int, rounds: int):
+def fit_with_early_stopping(train_m: DataFrame, params: Params, depth: int, cut, sizes: dict[str, int]):
+    """Number of rounds from the last ``horizon`` training weeks, then a fit on all training weeks.
+
+    The ensemble grows (doubling its rounds) on the earlier training weeks until ``gbt_patience``
+    rounds in a row bring no better loss on the held-back ones, or to ``gbt_max_iter`` rounds. The
+    scoring fold takes no part. Returns (model, rounds, seconds, held-back loss of every round)."""
+    es_start = cut.train_end - _dt.timedelta(days=7 * (params.horizon - 1))
+    early = train_m.where(F.col("WeekStart") < F.lit(es_start))
+    held = train_m.where(F.col("WeekStart") >= F.lit(es_start))
+    t = time.perf_counter()
+    grown = min(params.gbt_first_rounds, params.gbt_max_iter)
+    while True:
+        losses = gbt(params, depth, grown, sizes).fit(early).evaluateEachIteration(held, "squared")
+        rounds, stopped = best_round(losses, params.gbt_patience)
+        if stopped or grown >= params.gbt_max_iter:
+            break
+        grown = min(2 * grown, params.gbt_max_iter)
+    model = gbt(params, depth, rounds, sizes).fit(train_m)
+    return model, rounds, time.perf_counter() - t, losses
+
+
+def refit(full_m: DataFrame, params: Params, depth: int, rounds: int, sizes: dict[str, int]):
     t = time.perf_counter()
-    model = gbt(params, depth, max_iter=max(rounds, 1), validation=False).fit(full_m)
+    model = gbt(params, depth, rounds, sizes).fit(full_m)
     return model, time.perf_counter() - t
 
 
@@ -160,12 +184,20 @@ def predict_valid(model, valid_m: DataFrame, name: str) -> DataFrame:
 
 
 # --- recursion state ----------------------------------------------------------
-def recursive_state(df: DataFrame, last_week: _dt.date, window: int = 12) -> DataFrame:
+def state_window(params: Params) -> int:
+    """Weeks of history that the recursion needs."""
+    return max(SEASON, *params.lags, *params.windows)
+
+
+def recursive_state(df: DataFrame, last_week: _dt.date, window: int = SEASON) -> DataFrame:
     """Last row per product with ``history``: its last ``window`` quantities,
     oldest first, left-padded with nulls. A bounded window over the existing
     clustering; no grouping of whole series."""
     tail = F.collect_list("Sales_Qty").over(_w().rowsBetween(-(window - 1), 0))
-    x = df.withColumn("_tail", tail).where(F.col("WeekStart") == F.lit(last_week))
+    x = df.withColumn("_tail", tail)
+    if TARGET_MEAN in df.columns:  # the coming week looks back on all observed weeks
+        x = x.withColumn(TARGET_MEAN, F.avg("Sales_Qty").over(_w().rowsBetween(Window.unboundedPreceding, 0)))
+    x = x.where(F.col("WeekStart") == F.lit(last_week))
     pad = F.array_repeat(F.lit(None).cast("double"), F.lit(window) - F.size("_tail"))
     x = x.withColumn("history", F.concat(pad, F.col("_tail"))).drop("_tail")
     # for the week after the last one, "last week's" same-week values are the
@@ -192,10 +224,10 @@ def _std(arr: Column) -> Column:
 
 
 def step_features(state: DataFrame, week: _dt.date, hol_weeks: list[_dt.date],
-                  params: Params, window: int = 12) -> DataFrame:
+                  params: Params) -> DataFrame:
     """Lag/rolling inputs of ``week`` from the history array, its calendar and
     holiday flags; every other input stays at the product's last value."""
-    h = F.col("history")
+    h, window = F.col("history"), state_window(params)
     cols = {lag_name(k): F.element_at(h, window - k + 1) for k in params.lags}
     for w in params.windows:
         part = F.slice(h, window - w + 1, w)
@@ -214,50 +246,50 @@ def step_features(state: DataFrame, week: _dt.date, hol_weeks: list[_dt.date],
     return state.withColumns(cols)
 
 
-def recursive_forecast(model, state_m: DataFrame, params: Params, origin: _dt.date,
-                       hol_weeks: list[_dt.date], name: str, encoding: DataFrame) -> DataFrame:
+def recursive_forecast(model, state: DataFrame, params: Params, origin: _dt.date,
+                       hol_weeks: list[_dt.date], name: str, sizes: dict[str, int],
+                       steps: int | None = None) -> DataFrame:
     """Predict, clip at 0, append to history, repeat ``horizon`` times. The
     predictions ride in an array column, so the chain is linear (no step is
-    recomputed) and the output is one ``posexplode`` at the end."""
-    st = state_m.withColumn("_preds", F.array().cast("array<double>"))
-    if "product_mean_qty" not in st.columns:
-        st = st.join(encoding, "ProductID", "left")
-    base_cols = [c for c in st.columns if c not in ("features", "prediction")]
-    st = st.select(*base_cols)
-    for step in range(params.horizon):
+    recomputed) and the output is one ``posexplode`` at the end. The state is one
+    row per product; each step is checkpointed, so plans and lineage stay short."""
+    kept = [c for c in dict.fromkeys([*numeric_inputs(params), TARGET_MEAN,
+                                      *[f"{c}_code" for c in CATEGORICAL_MODE_COLUMNS]]) if c in state.columns]
+    window = state_window(params)
+    st = cut_lineage(state.select("ProductID", "history", *kept, F.array().cast("array<double>").alias("_preds")))
+    for step in range(steps or params.horizon):
         week = origin + _dt.timedelta(days=7 * step)
-        x = model_matrix(step_features(st, week, hol_weeks, params), params, encoding)
+        x = model_matrix(step_features(st, week, hol_weeks, params), params, sizes)
         p = F.greatest(F.col("prediction"), F.lit(0.0))
-        st = (model.transform(x)
-              .withColumn("history", F.concat(F.slice("history", 2, 11), F.array(p)))
-              .withColumn("_preds", F.concat("_preds", F.array(p)))
-              .select(*base_cols))
-        if params.recursion_checkpoint_every and (step + 1) % params.recursion_checkpoint_every == 0 \
-                and step + 1 < params.horizon:
-            st = cut_lineage(st)
+        st = cut_lineage(model.transform(x).select(
+            "ProductID", F.concat(F.slice("history", 2, window - 1), F.array(p)).alias("history"), *kept,
+            F.concat("_preds", F.array(p)).alias("_preds")))
     return st.select("ProductID", F.posexplode("_preds").alias("_i", "predicted_Sales_Qty")).select(
         "ProductID", (F.col("_i") + 1).cast("long").alias("forecast_week"),
         F.date_add(F.lit(origin), (F.col("_i") * 7).cast("int")).alias("WeekStart"),
         "predicted_Sales_Qty", F.lit(name).alias("model"))
 
 
-def seasonal_naive_forecast(state: DataFrame, origin: _dt.date, horizon: int,
-                            window: int = 12) -> DataFrame:
-    """Week h takes history slot h (12 weeks earlier), else the last value,
-    else 0, clipped at 0. Horizon <= window keeps every slot inside history."""
-    x = state.select("ProductID", "history",
-                     F.posexplode(F.slice("history", 1, horizon)).alias("_i", "_v"))
-    pred = F.greatest(F.coalesce(F.col("_v"), F.element_at("history", window), F.lit(0.0)),
-                      F.lit(0.0))
+def seasonal_naive_forecast(state: DataFrame, origin: _dt.date, horizon: int) -> DataFrame:
+    """Week h takes the value of the same place in the last season of 12 weeks (repeated beyond one
+    season), else the last value, else 0, clipped at 0."""
+    season = F.slice("history", F.size("history") - SEASON + 1, SEASON)
+    steps = F.transform(F.sequence(F.lit(0), F.lit(horizon - 1)),
+                        lambda i: F.element_at(season, (i % SEASON + 1).cast("int")))
+    x = state.select("ProductID", F.element_at("history", -1).alias("_last"), F.posexplode(steps).alias("_i", "_v"))
+    pred = F.greatest(F.coalesce(F.col("_v"), F.col("_last"), F.lit(0.0)), F.lit(0.0))
     return x.select("ProductID", (F.col("_i") + 1).cast("long").alias("forecast_week"),
                     F.date_add(F.lit(origin), (F.col("_i") * 7).cast("int")).alias("WeekStart"),
                     pred.alias("predicted_Sales_Qty"), F.lit(SEASONAL_NAIVE).alias("model"))
 
 
-def forecast_violations(fc: DataFrame, ids: DataFrame, horizon: int) -> DataFrame:
-    """Products x models without exactly ``horizon`` rows, and negative values."""
+def forecast_violations(fc: DataFrame, ids: DataFrame, horizon: int,
+                        models: Sequence[str] = (SEASONAL_NAIVE, GBT, GBT_DEEP)) -> DataFrame:
+    """Products x models without exactly ``horizon`` rows (none at all included), and negative values."""
     counts = fc.groupBy("ProductID", "model").agg(F.count(F.lit(1)).alias("rows"))
-    per = (ids.select("ProductID").join(counts, "ProductID", "left")
+    wanted = ids.select("ProductID").distinct().select(
+        "ProductID", F.explode(F.array(*[F.lit(m) for m in models])).alias("model"))
+    per = (wanted.join(counts, ["ProductID", "model"], "left")
            .where(F.coalesce(F.col("rows"), F.lit(0)) != horizon)
            .select("ProductID", "model", F.lit("horizon").alias("violation")))
     neg = (fc.where(F.col("predicted_Sales_Qty") < 0)
@@ -269,33 +301,28 @@ def hv_models(params: Params) -> dict[str, int]:
     return {GBT: params.gbt_depth, GBT_DEEP: params.gbt_deep_depth}
 
 
-def permutation_importance(model, valid_m: DataFrame, params: Params, seed: int = 42,
-                           bucket_rows: int = 100_000) -> DataFrame:
+def permutation_importance(model, valid_m: DataFrame, params: Params, seed: int = 42) -> DataFrame:
     """Increase of validation RMSE when one input is permuted, per input.
 
-    Rows are spread over random buckets of about ``bucket_rows`` rows; inside a
-    bucket each row takes the value of the next row in a random order (a cyclic
-    shift), i.e. a random permutation within random subsets. One donor pass
-    serves every feature; each feature then costs one scoring pass.
-    """
+    Rows are ranked by a random key (a range-partitioned sort, no row order in one task) and every row
+    takes the inputs of the row ranked after it, the last those of the first: one random cyclic
+    permutation of all rows. Each row is then scored once as it is and once per input with that input
+    exchanged, in one pass."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     names = feature_names(params)
-    base = valid_m.drop("features", "prediction")
-    n = base.count()
-    buckets = max(1, -(-n // bucket_rows))
-    x = (base.withColumn("_r", F.rand(seed))
-         .withColumn("_b", F.pmod(F.xxhash64("_r"), F.lit(buckets))))
-    w = Window.partitionBy("_b").orderBy("_r")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    x = x.select("*", *[F.coalesce(F.lead(c).over(w), F.first(c).over(whole)).alias(f"_d_{c}")
-                        for c in names]).persist()
-
-    def score(df):
-        pred = model.transform(model_matrix(df.drop("features"), params, None))
-        return pred.agg(F.sqrt(F.avg(F.pow(F.col("Sales_Qty") - F.col("prediction"), 2)))).first()[0]
-
-    ref = score(x)
-    rows = []
-    for c in names:
-        rows.append((c, float(score(x.withColumn(c, F.col(f"_d_{c}")))) - float(ref)))
-    x.unpersist()
-    return valid_m.sparkSession.createDataFrame(rows, "feature string, permutation_rmse_increase double")
+    x = cut_lineage(valid_m.select("Sales_Qty", vector_to_array("features").alias("x"), F.rand(seed).alias("r")))
+    ranked = rank_within_key(x.select(F.lit("all").alias("k"), "r"), "k", "r")
+    n = x.count()
+    place = ranked.select(F.col("r"), F.col("rank").alias("at"))
+    placed = cut_lineage(x.join(place, "r"))
+    donors = placed.select(((F.col("at") + n - 1) % n).alias("at"), F.col("x").alias("d"))
+    both = placed.join(donors, "at")
+    i = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("i")
+    swapped = F.zip_with("x", F.transform("d", lambda v, j: F.struct(v.alias("v"), j.alias("j"))),
+                         lambda a, b: F.when(b["j"] == F.col("i"), b["v"]).otherwise(a))
+    rows = both.select("Sales_Qty", "x", "d", i).select("Sales_Qty", "i", array_to_vector(swapped).alias("features"))
+    err = (model.transform(rows).groupBy("i")
+           .agg(F.sqrt(F.avg(F.pow(F.col("Sales_Qty") - F.col("prediction"), 2))).alias("rmse")).collect())
+    found = {r["i"]: r["rmse"] for r in err}  # one row per input
+    out = [(c, float(found[k] - found[-1])) for k, c in enumerate(names)] if found else []
+    return valid_m.sparkSession.createDataFrame(out, "feature string, permutation_rmse_increase double")

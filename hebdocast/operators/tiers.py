@@ -15,14 +15,13 @@ def tier_products(weekly_or_featured: DataFrame, threshold: int = 10,
     """Per-product transaction and quantity totals and the tier label.
 
     The panel's filled weeks add zeros only, so the weekly table gives the same
-    totals as the featured panel with far fewer rows.
+    totals as the featured panel with far fewer rows. With ``as_of`` only weeks up
+    to it count; a product that starts later has totals of 0.
     """
-    src = weekly_or_featured
-    if as_of is not None:
-        src = src.where(F.col("WeekStart") <= F.lit(as_of))
-    agg = src.groupBy("ProductID").agg(
-        F.sum("transaction_count").cast("long").alias("transaction_count"),
-        F.sum("Sales_Qty").alias("total_sales_qty"))
+    seen = F.lit(True) if as_of is None else F.col("WeekStart") <= F.lit(as_of)
+    agg = weekly_or_featured.groupBy("ProductID").agg(
+        F.sum(F.when(seen, F.col("transaction_count")).otherwise(0)).cast("long").alias("transaction_count"),
+        F.sum(F.when(seen, F.col("Sales_Qty")).otherwise(0.0)).alias("total_sales_qty"))
     return agg.withColumn(
         "tier", F.when(F.col("transaction_count") >= threshold, F.lit(HIGH_VOLUME))
         .otherwise(F.lit(SPARSE)))

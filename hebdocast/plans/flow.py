@@ -15,30 +15,38 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import FIXTURE_PARAMS, HIGH_VOLUME, SPARSE, Cutoffs, Params
+from ..config import (CATEGORICAL_MODE_COLUMNS, CROSTON, HIGH_VOLUME, NAIVE, SBA, SEASONAL_NAIVE, SPARSE, TSB,
+                      Cutoffs, Params)
 from ..operators import clean, features, intermittent, scope, tiers, weekly
 from ..session import tune_session
 from ..sources import adapter, calendar
-
-
-# fitted models per (application, source, parameters): several report queries
-# read the same fits, which are expensive and deterministic for a given input
-_FIT_CACHE: dict = {}
+from ..sources.tables import read_transactions
 
 
 class Flow:
-    def __init__(self, spark: SparkSession, raw: DataFrame, params: Params = FIXTURE_PARAMS,
-                 source_key: str | None = None):
+    """Stages of one input. ``holidays`` (a table with a date column ``day``) replaces the month/day
+    rules of the parameters. The caller owns its lifetime: :meth:`close` frees what it keeps."""
+
+    def __init__(self, spark: SparkSession, raw: DataFrame, params: Params = Params(),
+                 holidays: DataFrame | None = None):
         self.spark = spark
         tune_session(spark)
         self.raw = raw
         self.params = params
-        self.source_key = source_key
+        self._holidays = holidays
+        self._kept: list[DataFrame] = []
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str,
-                    params: Params = FIXTURE_PARAMS) -> "Flow":
-        return cls(spark, adapter.raw_transactions(spark, sf_dir), params, source_key=sf_dir)
+                    params: Params = Params()) -> "Flow":
+        return cls(spark, adapter.raw_transactions(spark, sf_dir), params)
+
+    @classmethod
+    def from_transactions(cls, spark: SparkSession, path: str, params: Params = Params(), *, fmt: str = "parquet",
+                          holidays: DataFrame | None = None) -> "Flow":
+        """A flow over the user's own transactions (Parquet, CSV or JSON with the required columns)."""
+        schema = adapter.TRANSACTION_SCHEMA if fmt != "parquet" else None
+        return cls(spark, read_transactions(spark, path, fmt, schema), params, holidays)
 
     def keep(self, *stages: str) -> "Flow":
         """Persist stage outputs shared by several consumers (keeps their
@@ -47,8 +55,14 @@ class Flow:
         for name in stages:
             df = getattr(self, name)
             self.__dict__[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._kept.append(self.__dict__[name])
         return self
 
+    def close(self) -> None:
+        """Free the persisted stages."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
     # -- stage 2 -----------------------------------------------------------
     @cached_property
     def prepared(self) -> DataFrame:
@@ -99,6 +113,8 @@ class Flow:
     @cached_property
     def holidays(self) -> DataFrame:
         p = self.params
+        if self._holidays is not None:
+            return self._holidays.select(F.col("day").cast("date").alias("day"))
         # years of the history plus two more: the forecast horizon (up to a
         # year) and the days a late-December week reaches into January
         return calendar.holiday_dim(self.spark, self.first_week.year,
@@ -175,8 +191,7 @@ class Flow:
     @cached_property
     def hv_encoded(self) -> DataFrame:
         from ..operators import regression
-        return regression.apply_dictionary(self.hv, self.cat_dictionary,
-                                           broadcast_limit=self.params.broadcast_row_limit)
+        return regression.apply_dictionary(self.hv, self.cat_dictionary, CATEGORICAL_MODE_COLUMNS)
 
     @cached_property
     def hv_seasonal_valid(self) -> DataFrame:
@@ -188,15 +203,15 @@ class Flow:
     def hv_state(self) -> DataFrame:
         """One row per high-volume product at the last week with its history."""
         from ..operators import regression
-        return regression.recursive_state(self.hv, self.cutoffs.valid_end)
+        return regression.recursive_state(self.hv, self.cutoffs.valid_end,
+                                          regression.state_window(self.params))
 
     @cached_property
     def hv_state_encoded(self) -> DataFrame:
         """The state with category codes (model inputs); codes are joined on the
         one-row-per-product state, not on the whole panel."""
         from ..operators import regression
-        return regression.apply_dictionary(self.hv_state, self.cat_dictionary,
-                                           broadcast_limit=self.params.broadcast_row_limit)
+        return regression.apply_dictionary(self.hv_state, self.cat_dictionary, CATEGORICAL_MODE_COLUMNS)
 
     @cached_property
     def hv_seasonal_forecast(self) -> DataFrame:
@@ -214,15 +229,7 @@ class Flow:
         """Fits both boosted-tree models: early stopping inside training weeks,
         validation predictions, refit on the full history, recursive forecast.
         Returns per-model results and timings (eager: this is model training)."""
-        key = None
-        if self.source_key is not None:
-            key = (self.spark.sparkContext.applicationId, self.source_key, self.params)
-            if key in _FIT_CACHE:
-                return _FIT_CACHE[key]
-        out = self._fit_models()
-        if key is not None:
-            _FIT_CACHE[key] = out
-        return out
+        return self._fit_models()
 
     def _fit_models(self) -> dict:
         import time
@@ -230,35 +237,41 @@ class Flow:
         from ..operators import regression
         from ..session import cut_lineage
         p, cut = self.params, self.cutoffs
-        train, valid = regression.split(self.hv_encoded, cut)
-        enc_train = regression.product_encoding(train)
-        enc_full = regression.product_encoding(self.hv_encoded)
-        # tree training scans the matrix once per level: spread it over every
-        # core (round-robin, so no key skew) and cut its lineage first
-        par = self.spark.sparkContext.defaultParallelism
-        train_m = cut_lineage(regression.model_matrix(train, p, enc_train).repartition(par))
-        valid_m = cut_lineage(regression.model_matrix(valid, p, enc_train))
-        full_m = cut_lineage(regression.model_matrix(self.hv_encoded, p, enc_full).repartition(par))
+        sizes = regression.category_sizes(self.cat_dictionary)
+        # tree training scans the matrix once per level: only what the fit reads, lineage cut first
+        matrix = cut_lineage(regression.model_matrix(self.hv_encoded, p, sizes)
+                             .select("ProductID", "WeekStart", "Sales_Qty", "features"))
+        train_m, valid_m = regression.split(matrix, cut)
+        # states at the end of training and of the history, for the recursive score and the forecast
+        train_state = regression.apply_dictionary(
+            regression.recursive_state(self.hv, cut.train_end, regression.state_window(p)),
+            self.cat_dictionary, CATEGORICAL_MODE_COLUMNS)
+        actual = valid_m.select("ProductID", "WeekStart", F.col("Sales_Qty").alias("y_true"))
         out = {}
         for name, depth in regression.hv_models(p).items():
-            model, rounds, secs = regression.fit_with_early_stopping(train_m, p, depth, cut)
+            model, rounds, secs, losses = regression.fit_with_early_stopping(train_m, p, depth, cut, sizes)
             vpred = cut_lineage(regression.predict_valid(model, valid_m, name))
-            final, fsecs = regression.refit(full_m, p, depth, rounds)
+            vrec = regression.recursive_forecast(model, train_state, p, cut.valid_start,
+                                                 self.holiday_week_list, name, sizes)
+            vrec = actual.join(vrec, ["ProductID", "WeekStart"]).select(
+                "ProductID", "WeekStart", "y_true", F.lit(f"{name}_recursive").alias("model"),
+                F.col("predicted_Sales_Qty").alias("y_pred"))
+            final, fsecs = regression.refit(matrix, p, depth, rounds, sizes)
             t = time.perf_counter()
             fc = cut_lineage(regression.recursive_forecast(
-                final, self.hv_state_encoded, p, cut.origin, self.holiday_week_list, name,
-                enc_full))
+                final, self.hv_state_encoded, p, cut.origin, self.holiday_week_list, name, sizes))
             isecs = time.perf_counter() - t
-            out[name] = dict(model=model, final=final, rounds=rounds, train_seconds=secs,
+            out[name] = dict(model=model, final=final, rounds=rounds, train_seconds=secs, losses=losses,
                              final_train_seconds=fsecs, inference_seconds=isecs,
-                             valid=vpred, forecast=fc, valid_m=valid_m)
+                             valid=vpred, valid_recursive=vrec, forecast=fc, valid_m=valid_m)
         return out
 
     @cached_property
     def hv_validation(self) -> DataFrame:
+        """Validation predictions: one-step, and recursive from the end of training."""
         out = self.hv_seasonal_valid
         for r in self.hv_fits.values():
-            out = out.unionByName(r["valid"])
+            out = out.unionByName(r["valid"]).unionByName(r["valid_recursive"])
         return out
 
     @cached_property
@@ -269,7 +282,23 @@ class Flow:
         return out
 
     def hv_timings(self) -> DataFrame:
-        rows = [(n, float(r["train_seconds"]), float(r["inference_seconds"]))
-                for n, r in self.hv_fits.items()]
+        rows = [(m, float(r["train_seconds"]), float(r["inference_seconds"]))
+                for n, r in self.hv_fits.items() for m in (n, f"{n}_recursive")]
+        rows.append((SEASONAL_NAIVE, 0.0, self.timed(self.hv_seasonal_forecast)))
         return self.spark.createDataFrame(
             rows, "model string, train_seconds double, inference_seconds double")
+
+    @staticmethod
+    def timed(df: DataFrame) -> float:
+        """Seconds that a stage takes, its rows not kept."""
+        import time
+        t = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - t
+
+    def sparse_timings(self) -> DataFrame:
+        """Seconds of the four sparse models. They have no separate training (closed form over ranked
+        rows, one pass for all four), so the pass is inference and each model's share of it is equal."""
+        share = self.timed(self.sparse_forecast) / 4
+        rows = [(m, 0.0, share) for m in (CROSTON, SBA, TSB, NAIVE)]
+        return self.spark.createDataFrame(rows, "model string, train_seconds double, inference_seconds double")

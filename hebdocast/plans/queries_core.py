@@ -5,9 +5,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import CROSTON, NAIVE, SBA, SPARSE, TSB
+from ..config import CROSTON, FIXTURE_PARAMS, NAIVE, SBA, SPARSE, TSB
 from ..operators import clean, features, intermittent, scope, tiers, weekly
-from ..sources import calendar
+from ..sources import adapter, calendar
 from ..sources.tables import read_table
 from . import oracle as O
 from .flow import Flow
@@ -17,20 +17,34 @@ b = O.build
 CATS_SQL = '"Region", "Country", "Sales Channel", "Brand Category", "Product Range"'
 
 
-# One Flow per (application, data folder): registered queries share the stage
-# plans, the scalar jobs (median lead, cutoffs) and the persisted shared stages
-# (deduplicated transactions, weekly table, feature panel) within a session.
+# Registered queries of one session share one Flow per data folder, with its persisted stages and
+# scalar jobs, for as long as the folder's files stay the same (names, sizes, times); a change closes it.
 _SESSION_FLOWS: dict = {}
 
 
+def _files(spark, sf) -> tuple:
+    """Names, sizes and times of the files of the source tables."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    found = []
+    for name in adapter.SOURCE_TABLES:
+        path = hadoop(f"{sf}/{name}.parquet")
+        for status in path.getFileSystem(conf).listStatus(path):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(found)
+
+
 def flow(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    f = _SESSION_FLOWS.get(key)
-    if f is None:
-        f = Flow.from_tables(spark, sf)
+    key, files = (spark.sparkContext.applicationId, sf), _files(spark, sf)
+    held = _SESSION_FLOWS.get(key)
+    if held is not None and held[0] != files:
+        held[1].close()
+        held = None
+    if held is None:
+        f = Flow.from_tables(spark, sf, FIXTURE_PARAMS)
         f.keep("prepared", "weekly_ext", "featured_full")
-        _SESSION_FLOWS[key] = f
-    return f
+        held = _SESSION_FLOWS[key] = (files, f)
+    return held[1]
 
 
 # --- 2.1 sources ------------------------------------------------------------
@@ -400,18 +414,25 @@ def fc_sparse_long(spark, sf):
     return intermittent.wide_model_frame(wide)
 
 
-@register("fc_dedup", b("SELECT DISTINCT unique_id, ds, model, y_pred FROM sparse_forecast",
+@register("fc_dedup", b(f"""SELECT unique_id, ds, model, y_pred FROM sparse_forecast WHERE model <> '{CROSTON}'
+UNION ALL SELECT unique_id, ds, '{CROSTON}', y_pred FROM sparse_forecast WHERE model = '{NAIVE}'""",
                         "sparse_forecast"))
 def fc_dedup(spark, sf):
-    from ..operators.intermittent import keep_last
-    return keep_last(flow(spark, sf).sparse_forecast)
-
-
-@register("fc_horizon_violations", b(f"""SELECT unique_id, model, count(*) AS "rows"
-FROM sparse_forecast GROUP BY 1, 2 HAVING count(*) <> {O.P.horizon}""", "sparse_forecast"))
+    """Every Croston row collides with a fallback row (the naive value), which wins."""
+    fc = flow(spark, sf).sparse_forecast.select("unique_id", "ds", "model", "y_pred")
+    fallback = fc.where(F.col("model") == NAIVE).withColumn("model", F.lit(CROSTON))
+    both = fc.withColumn("priority", F.lit(0)).unionByName(fallback.withColumn("priority", F.lit(1)))
+    return intermittent.keep_last(both, "priority")
+
+
+@register("fc_horizon_violations", b(f"""SELECT i."ProductID" AS unique_id, m.model,
+  count(f.ds) AS "rows" FROM (SELECT "ProductID" FROM tiers WHERE tier = '{SPARSE}') i
+CROSS JOIN (VALUES ('{CROSTON}'), ('{SBA}'), ('{TSB}'), ('{NAIVE}')) m(model)
+LEFT JOIN sparse_forecast f ON f.unique_id = i."ProductID" AND f.model = m.model
+GROUP BY 1, 2 HAVING count(f.ds) <> {O.P.horizon}""", "tiers", "sparse_forecast"))
 def fc_horizon_violations(spark, sf):
     f = flow(spark, sf)
-    return intermittent.horizon_violations(f.sparse_forecast, f.params.horizon)
+    return intermittent.horizon_violations(f.sparse_forecast, f.params.horizon, f.tier_ids(SPARSE))
 
 
 @register("sparse_validation", b("SELECT * FROM sparse_validation", "sparse_validation"))

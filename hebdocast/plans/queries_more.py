@@ -40,7 +40,8 @@ _CODE_JOIN = " ".join(
 @register("cat_encoded", b(f'SELECT h."ProductID", h."WeekStart", {_CODE_SQL} FROM hv h {_CODE_JOIN}',
                            "hv", "cat_dictionary"))
 def cat_encoded(spark, sf):
-    return flow(spark, sf).hv_encoded.select(
+    f = flow(spark, sf)
+    return regression.apply_dictionary(f.hv, f.cat_dictionary).select(
         "ProductID", "WeekStart", *[f"{c}_code" for c in MODEL_CATEGORICAL_COLUMNS])
 
 
@@ -211,7 +212,8 @@ def model_comparison(spark, sf):
     f = flow(spark, sf)
     hist = scoring.train_history(f.sparse_long, f.cutoffs.train_end)
     hv = scoring.with_timings(scoring.score_high_volume(f.hv_validation), f.hv_timings())
-    return scoring.model_comparison(hv, scoring.score_sparse(f.sparse_validation, hist))
+    sparse = scoring.with_timings(scoring.score_sparse(f.sparse_validation, hist), f.sparse_timings())
+    return scoring.model_comparison(hv, sparse)
 
 
 @register("baseline_check", b("""SELECT 'sparse' AS tier, 'wmape' AS metric,
@@ -319,12 +321,18 @@ def loss_curve(spark, sf):
     f = flow(spark, sf)
     rows = []
     for model_name, r in f.hv_fits.items():
-        losses = r["model"].evaluateEachIteration(r["valid_m"], "squared")
-        rows += [(model_name, i + 1, float(v) ** 0.5 if v is not None else None)
-                 for i, v in enumerate(losses)]
+        rows += [(model_name, i + 1, float(v) ** 0.5) for i, v in enumerate(r["losses"])]
     return spark.createDataFrame(rows, "model string, round long, valid_rmse double")
 
 
+@register("actual_vs_predicted_gbt")
+def actual_vs_predicted_gbt(spark, sf):
+    """The high-volume product of the largest sales: boosted trees, one-step and recursive, beside the
+    actual values."""
+    return report.top_series(flow(spark, sf).hv_validation, "ProductID", "y_true").select(
+        F.lit(HIGH_VOLUME).alias("tier"), "ProductID", "WeekStart", "y_true", "y_pred", "model")
+
+
 @register("actual_vs_predicted", b(f"""SELECT 'high_volume' AS tier, "ProductID", "WeekStart", y_true,
   y_pred, model FROM hv_valid_sn WHERE "ProductID" = (
     SELECT "ProductID" FROM hv_valid_sn GROUP BY 1 ORDER BY sum(y_true) DESC, "ProductID" LIMIT 1)

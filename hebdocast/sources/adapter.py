@@ -110,6 +110,9 @@ def artifact_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, TRANSACTION_SCHEMA)
 
 
+SOURCE_TABLES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw transaction table: base rows, exact duplicates, artifact rows.
 

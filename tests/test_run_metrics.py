@@ -4,7 +4,8 @@ import os
 def test_write_stages_records_observed_rows(spark, tmp_path):
     from hebdocast.plans.flow import Flow
     from hebdocast.plans.run import write_stages
-    f = Flow.from_tables(spark, "/root/testdata/sf0.001")
+    from hebdocast.config import FIXTURE_PARAMS
+    f = Flow.from_tables(spark, "/root/testdata/sf0.001", FIXTURE_PARAMS)
     m = write_stages(f, str(tmp_path), stages=("weekly", "tiers"))
     got = {(r["stage"], r["key"]): r["value"] for r in m.collect()}
     assert got[("weekly", "rows")] == spark.read.parquet(os.path.join(tmp_path, "weekly")).count()

@@ -60,8 +60,18 @@ def test_horizon_guard_names_short_series(spark):
     good = [("GOOD", D0 + dt.timedelta(days=7 * i), "TSB", 1.0) for i in range(12)]
     bad = [("BAD", D0 + dt.timedelta(days=7 * i), "TSB", 1.0) for i in range(5)]
     fc = spark.createDataFrame(good + bad, "unique_id string, ds date, model string, y_pred double")
-    v = intermittent.horizon_violations(fc, 12).collect()
-    assert [r["unique_id"] for r in v] == ["BAD"]
+    ids = spark.createDataFrame([("GOOD",), ("BAD",), ("NONE",)], "unique_id string")
+    v = intermittent.horizon_violations(fc, 12, ids, ("TSB",)).collect()
+    assert {(r["unique_id"], r["rows"]) for r in v} == {("BAD", 5), ("NONE", 0)}
+    w = intermittent.horizon_violations(fc, 12, ids.limit(1), ("TSB", "SBA")).collect()
+    assert [(r["model"], r["rows"]) for r in w] == [("SBA", 0)]
+
+
+def test_fallback_rows_win_over_library_rows(spark):
+    rows = [("A", D0, "TSB", 9.0, 0), ("A", D0, "TSB", 1.0, 1), ("B", D0, "TSB", 3.0, 0)]
+    fc = spark.createDataFrame(rows, "unique_id string, ds date, model string, y_pred double, priority int")
+    got = {(r["unique_id"], r["y_pred"]) for r in intermittent.keep_last(fc, "priority").collect()}
+    assert got == {("A", 1.0), ("B", 3.0)}
 
 
 def test_long_frame_keeps_tier(spark):
