@@ -3,16 +3,14 @@
 Base rules look at one text: its words, symbols, repeated lines and repeated three-word windows.
 The method's rule looks across documents: every distinct line of a text is normalised (ASCII lower
 case, digits as 0, white space as one space, trimmed) and hashed, and a line counts, per host, the
-documents that hold it. Copies of one document must not make its lines look like boilerplate, so
-documents are told apart by their company: beside a line they are represented by the smallest other
-line hash of their text, and documents with the same company count once. Lines of more documents
-than both limits are removed, and a document that keeps less than ``min_left`` of its words is
-rejected.
+distinct documents that hold it. Copies of one document must not make its lines look like
+boilerplate, so documents with the same set of lines count once. Lines of more documents than both
+limits are removed, and a document that keeps less than ``min_left`` of its words is rejected.
 
 Scale: texts are read once, without a shuffle, into a table of counters and line hashes, which is
 what all later steps read. Line counts are grouped by (host, line), so a host with a third of all
 rows is spread over its lines, and a line of a third of all rows is counted before the shuffle; only
-(host, line, company) triples move. Lines above the limits come back by a join whose large side
+the line hashes of distinct documents move. Lines above the limits come back by a join whose large side
 Spark may split.
 
 Defined results: a null text has no words and fails the base rules; null hosts are one host; a null
@@ -74,18 +72,13 @@ def normalised(line: Column) -> Column:
 
 
 def profile(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Counters of every text, and per distinct normalised line its hash, words and company."""
+    """Counters of every text, the hashes of its distinct normalised lines and the hash of their set."""
     base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     parts = base.withColumn("words", words_of(F.col("text"))).withColumn(
         "lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     norm = F.transform("lines", normalised)
 
-    def companions(ordered: Column) -> Column:
-        first, second = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
-        return F.transform(ordered, lambda h: F.struct(
-            h.alias("line"), F.when(h == first, second).otherwise(first).alias("company")))
-
     return parts.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "host",
         F.size("words").cast("bigint").alias("n_words"),
@@ -93,16 +86,19 @@ def profile(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) -> Da
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
-        let(F.sort_array(F.array_distinct(F.transform(norm, F.md5))), companions).alias("distinct_lines"),
+        F.sort_array(F.array_distinct(F.transform(norm, lambda x: F.xxhash64(x)))).alias("distinct_lines"),
         # hash and words of every line, repeated ones too
         F.transform(norm, lambda x: F.struct(
-            F.md5(x).alias("line"), F.size(F.split(x, " ")).alias("words"))).alias("all_lines"))
+            F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))).alias("all_lines"))
 
 
 def frequent_lines(profiles: DataFrame, *, min_docs: int, min_share: float) -> DataFrame:
     """``host, line`` of the lines above both limits."""
-    lines = profiles.select("host", F.explode("distinct_lines").alias("x")).select("host", "x.line", "x.company")
-    counts = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Documents with one set of lines are one row, before their lines move.
+    sets = profiles.groupBy("host", F.xxhash64("distinct_lines").alias("document")).agg(
+        F.first("distinct_lines").alias("distinct_lines"))
+    lines = sets.select("host", F.explode("distinct_lines").alias("line"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     hosts = profiles.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     often = counts.filter(F.col("n_docs") > min_docs)
     return often.join(hosts, often.host.eqNullSafe(hosts.host)).filter(
@@ -145,10 +141,9 @@ l AS (SELECT r, host, line, md5(norm) AS h, len(string_split(norm, ' ')) AS word
             FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r),
 dl AS (SELECT DISTINCT r, host, h FROM l),
-ranked AS (SELECT r, host, h, row_number() OVER (PARTITION BY r ORDER BY h) AS k FROM dl),
-two AS (SELECT r, min(CASE WHEN k = 1 THEN h END) AS a, min(CASE WHEN k = 2 THEN h END) AS b FROM ranked GROUP BY r),
-comp AS (SELECT DISTINCT host, h, CASE WHEN h = a THEN b ELSE a END AS c FROM dl JOIN two USING (r)),
-cnt AS (SELECT host, h, count(*) AS n FROM comp GROUP BY host, h),
+doc AS (SELECT r, host, string_agg(h, ' ' ORDER BY h) AS lines FROM dl GROUP BY r, host),
+one AS (SELECT min(r) AS r FROM doc GROUP BY host, lines),
+cnt AS (SELECT host, h, count(*) AS n FROM dl JOIN one USING (r) GROUP BY host, h),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 often AS (SELECT c.host, c.h FROM cnt c JOIN hosts x ON c.host IS NOT DISTINCT FROM x.host
           WHERE c.n > 20 AND c.n > 0.05 * x.n),
