@@ -1,10 +1,10 @@
 """Token ids in files under a canonical, length-limited Huffman code.
 
-One pass counts the ids of all texts; the counts (one per entry of the vocabulary) give code lengths
-of at most ``max_bits``, and canonical codes follow from the lengths alone. A second pass writes the
-documents in ascending id order as independent blocks of whole documents: a block holds its
-documents' ids and lengths, the bits of their codes, and the bit offset of every ``STEP``-th token.
-Decoding looks up ``max_bits`` bits at a time in one table, for all checkpoints of many blocks at once.
+The texts are encoded once, in ascending id order, into blocks of whole documents. The counts of all
+ids (one per entry of the vocabulary) give code lengths of at most ``max_bits``, and canonical codes
+follow from the lengths alone. Each block is then coded for itself: it holds its documents' ids and
+lengths, the bits of their codes, and the bit offset of every ``STEP``-th token. Decoding looks up
+``max_bits`` bits at a time in one table, for all checkpoints of many blocks at once.
 
 File format (a folder of Parquet files, so any store that Spark writes to will do): one row a block
 with ``file`` (place of the file in the order of ids), ``block`` (place in the file), ``docs`` (array
@@ -12,8 +12,9 @@ of id and token count, in order), ``bits`` (codes, most significant bit first, p
 ``checkpoints`` (bit offset of every ``STEP``-th token). A second folder, ``code``, has the lengths:
 ``id, bits``.
 
-Scale: counting shuffles one row per used id and task; writing shuffles the texts once, by ranges of
-the document id. Nothing but the code table (bounded by the vocabulary) reaches the driver. The
+Scale: the texts are shuffled once, by ranges of the document id; the uncoded blocks are a table in
+the shared folder that goes when the files are written. Counting shuffles one row per used id and
+task. Nothing but the code table (bounded by the vocabulary) reaches the driver. The
 tokens before each file come from a running sum over one row a file.
 
 Defined results: a null text is empty and has only the end token; null ids come first; rows that
@@ -22,14 +23,13 @@ repeat an id follow each other in the order of a hash of their texts; an empty t
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_type, new_path, pick
+from .common import discard, id_type, new_path, pick, written
 from .tokens import crc, tokens
 
 MAX_BITS = 17
@@ -135,79 +135,27 @@ class Decoder:
         return np.split(out, first[1:-1])
 
 
-def id_counts(texts: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """``id, n`` over all texts and their end tokens."""
-
-    def count(batches):
-        table = tokens(tokenizer)
-        total = np.zeros(1 << 10, np.int64)
-
-        def add(found: dict[bytes, int]):
-            nonlocal total
-            if not found:
-                return
-            parts = [table[b] for b in found]
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            times = np.repeat(np.fromiter(found.values(), np.int64), [len(p) // 4 for p in parts])
-            sums = np.bincount(ids, weights=times, minlength=len(total))
-            total = np.pad(total, (0, len(sums) - len(total))) + sums.astype(np.int64)
-
-        for batch in batches:
-            found: Counter = Counter()
-            table.trim()
-            for text in batch.column("text"):
-                blocks = table.blocks(text.as_py())
-                if blocks is None:
-                    sums = np.bincount(np.frombuffer(table.whole(text.as_py()), "<u4"), minlength=len(total))
-                    total = np.pad(total, (0, len(sums) - len(total))) + sums
-                else:
-                    found.update(blocks)
-                if len(found) > 200_000:
-                    add(found)
-                    found = Counter()
-            add(found)
-            ends = np.bincount([end_id], minlength=len(total)) * batch.num_rows
-            total = np.pad(total, (0, len(ends) - len(total))) + ends
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
-
-    return texts.select("text").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, max_bits: int = MAX_BITS,
-                 id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the ids of every text, each with ``end_id`` behind it, to the folder ``path``."""
-    spark = docs.sparkSession
-    texts, kind = pick(docs, id_col, text_col), id_type(docs, id_col)
-    table = id_counts(texts, tokenizer, end_id).collect()  # one row per used id: bounded by the vocabulary
-    counts = np.zeros(max([end_id, *(r["id"] for r in table)]) + 1, np.int64)
-    for r in table:
-        counts[r["id"]] = r["n"]
-    lengths = code_lengths(counts, max_bits)
-    code = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
-    spark.createDataFrame(code, "id bigint, bits int").coalesce(1).write.parquet(f"{path}/code")
-    codes = canonical(lengths)
-    end = np.array([end_id], "<u4").tobytes()
+def plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of whole documents in ascending id order: ``file, block, docs, ids`` (little-endian
+    unsigned 32-bit)."""
+    kind, end = id_type(docs, id_col), np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
-        from pyspark import TaskContext
         words = tokens(tokenizer)
         file, block = TaskContext.get().partitionId(), 0
         keys, sizes, parts, size = [], [], [], 0
 
         def row():
-            bits, marks = pack_bits(np.frombuffer(b"".join(parts), "<u4"), codes, lengths)
             entries = pa.StructArray.from_arrays([pa.array(keys, key_type), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
             return pa.RecordBatch.from_arrays(
                 [pa.array([file], pa.int32()), pa.array([block], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), entries),
-                 pa.array([bits], pa.binary()), pa.array([marks], pa.list_(pa.int64()))],
-                ["file", "block", "docs", "bits", "checkpoints"])
+                 pa.array([b"".join(parts)], pa.binary())], ["file", "block", "docs", "ids"])
 
         for batch in batches:
             key_type = batch.column("doc_id").type
-            words.trim()
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                words.trim()
                 ids = words.ids(text.as_py()) + end
                 keys.append(key)
                 sizes.append(len(ids) // 4)
@@ -221,11 +169,57 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
             yield row()
 
     # The hash lets the rows of one much repeated id spread over several ranges.
-    keyed = texts.withColumn("hash", F.xxhash64("text"))
+    keyed = pick(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
+    return ordered.mapInArrow(blocks, f"file int, block bigint, docs array<struct<doc_id:{kind},n_tokens:bigint>>, ids binary")
+
+
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """``id, n`` over all blocks."""
+
+    def count(batches):
+        total = np.zeros(1, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                sums = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
+                sums[:len(total)] += total
+                total = sums
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
+
+    return blocks.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, max_bits: int = MAX_BITS,
+                 id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the ids of every text, each with ``end_id`` behind it, to the folder ``path``."""
+    spark = docs.sparkSession
+    blocks = written(plain_blocks(docs, tokenizer, end_id, id_col, text_col), "blocks", compression="zstd")
+    table = id_counts(blocks).collect()  # one row per used id: bounded by the vocabulary
+    counts = np.zeros(max([end_id, *(r["id"] for r in table)]) + 1, np.int64)
+    for r in table:
+        counts[r["id"]] = r["n"]
+    lengths = code_lengths(counts, max_bits)
+    codes = canonical(lengths)
+    code = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
+    spark.createDataFrame(code, "id bigint, bits int").coalesce(1).write.parquet(f"{path}/code")
+
+    def coded(batches):
+        for batch in batches:
+            bits, marks = [], []
+            for ids in batch.column("ids"):
+                b, m = pack_bits(np.frombuffer(ids.as_buffer(), "<u4"), codes, lengths)
+                bits.append(b)
+                marks.append(m)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("block"), batch.column("docs"), pa.array(bits, pa.binary()),
+                 pa.array(marks, pa.list_(pa.int64()))], ["file", "block", "docs", "bits", "checkpoints"])
+
+    kind = id_type(docs, id_col)
     schema = (f"file int, block bigint, docs array<struct<doc_id:{kind},n_tokens:bigint>>, bits binary, "
               "checkpoints array<bigint>")
-    ordered.mapInArrow(blocks, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks.mapInArrow(coded, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    discard(blocks)
 
 
 def read_tokens(spark: SparkSession, path: str, *, with_ids: bool = False) -> DataFrame:

@@ -21,6 +21,7 @@ import zlib
 
 LIMIT = 600_000
 BLOCK = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
+ODD_SPACE = re.compile(rb"[\t\x0b\f\r]")
 # UTF-8 forms of the Unicode white space beyond ASCII
 WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 # The two pre-token patterns of the tokenizer files.
@@ -28,6 +29,9 @@ WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+MARKS = frozenset(".,;:!?")
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of every byte: itself when printable Latin-1, else the next code
     point from 256 on."""
@@ -69,28 +73,44 @@ class Tokens(dict):
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = "word" if self.tok.normalizer is not None else "byte"
         self.find = regex.compile(WORD_PIECES if self.kind == "word" else BYTE_PIECES).findall
-        self.alphabet = byte_alphabet()
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.space = self.alphabet[32]
         self.pieces = _Pieces(self.tok.model)
+        self.behind_space = _BehindSpace(self)
         self.specials = re.compile(b"|".join(re.escape(s.encode()) for s in self.special) or b"(?!)")
 
     def pretokens(self, word: str) -> list[str] | None:
         """Pre-tokens of one block in the byte alphabet; None where only the library may tell
         (special strings, scripts beyond Latin)."""
-        if not word.isascii() and max(word) >= "ɐ" or "<|" in word:
+        plain = word.isascii()
+        if not plain and max(word) >= "ɐ" or "<|" in word:
             return None
         if self.kind == "word":
-            word = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-        letters = self.alphabet
-        return [p if p.isascii() and p.isprintable() and " " not in p
-                else "".join([letters[b] for b in p.encode()]) for p in self.find(word)]
+            word = (word if plain else unicodedata.normalize("NFC", word)).lower()
+            body = word
+        else:
+            body = word[1:] if word[0] == " " else word
+        # letters alone are one pre-token, and so is the mark behind them
+        if body.isalpha():
+            pieces = [word]
+        elif body[-1:] in MARKS and body[:-1].isalpha():
+            pieces = [word[:-1], body[-1]]
+        else:
+            pieces = self.find(word)
+        if plain and word.isprintable():
+            return pieces if " " not in word else [p.replace(" ", self.space) for p in pieces]
+        return [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __missing__(self, block: bytes) -> bytes:
+    def encoded(self, block: bytes) -> bytes:
         pieces = self.pretokens(block.decode("utf-8", "replace"))
-        out = self.whole(block) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
+        return self.whole(block) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
+
+    def __missing__(self, block: bytes) -> bytes:
+        out = self.encoded(block)
         if len(block) <= 64:
             self[block] = out
         return out
@@ -104,17 +124,43 @@ class Tokens(dict):
         return BLOCK.findall(text)
 
     def trim(self) -> None:
-        if len(self) > LIMIT:
-            self.clear()
+        for held in (self, self.behind_space):
+            if len(held) > LIMIT:
+                held.clear()
         if len(self.pieces) > LIMIT:
             self.pieces.clear()
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole text."""
-        blocks = self.blocks(text)
-        if blocks is None:
+        if self.kind == "word":
+            return b"".join(map(self.__getitem__, text.split()))
+        if WIDE_SPACE.search(text) or self.specials.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, blocks))
+        out, line_end, behind_space = [], b"", self.behind_space.__getitem__
+        for line in text.split(b"\n"):
+            words = line.split(b" ")
+            if b"" in words or ODD_SPACE.search(line):  # longer runs of white space
+                return b"".join(map(self.__getitem__, BLOCK.findall(text)))
+            if line_end:
+                out.append(self[line_end])
+            line_end = b"\n"
+            out.append(self[words[0]])
+            out.extend(map(behind_space, words[1:]))
+        return b"".join(out)
+
+
+class _BehindSpace(dict):
+    """Word (bytes) -> ids of the block that one space and the word are."""
+
+    def __init__(self, table: Tokens):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, word: bytes) -> bytes:
+        out = self.table.encoded(b" " + word)
+        if len(word) <= 64:
+            self[word] = out
+        return out
 
 
 _LOADED: dict[str, Tokens] = {}
