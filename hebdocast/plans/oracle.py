@@ -390,9 +390,8 @@ cte("decomp_eligible", ("top_products", "featured"), f"""decomp_eligible AS (
   SELECT "ProductID", rank, total_sales_qty, n_weeks, eligible,
          eligible AND sum(CAST(eligible AS BIGINT)) OVER (ORDER BY rank ROWS UNBOUNDED PRECEDING)
                       <= {P.top_volume_target} AS selected,
-         CASE WHEN NOT eligible THEN 'skipped ' || "ProductID" || ': ' || CAST(n_weeks AS VARCHAR)
-              || ' weeks of history < {P.decomposition_min_weeks} required for period={P.season_length} decomposition'
-         END AS reason
+         CASE WHEN NOT eligible THEN 'short_history' END AS reason,
+         CAST({P.decomposition_min_weeks} AS BIGINT) AS required_weeks
   FROM (SELECT t.*, w.n_weeks, w.n_weeks >= {P.decomposition_min_weeks} AS eligible
         FROM top_products t LEFT JOIN (SELECT "ProductID", count(*) AS n_weeks FROM featured
                                        GROUP BY 1) w ON w."ProductID" = t."ProductID") x)""")

@@ -341,7 +341,7 @@ UNION ALL SELECT "ProductID", 'gap' FROM (SELECT DISTINCT "ProductID" FROM featu
   WHERE "ProductID" NOT IN (SELECT "ProductID" FROM tiers)""", "tiers"))
 def tier_violations(spark, sf):
     f = flow(spark, sf)
-    return tiers.tier_violations(f.tiers, f.featured)
+    return tiers.tier_violations(f.tiers, f.weekly_ext)
 
 
 @register("tier_audit", b("""SELECT count(*) AS products,

@@ -395,14 +395,14 @@ def zero_histogram(spark, sf):
 @register("top_products", b("SELECT * FROM top_products", "top_products"))
 def top_products(spark, sf):
     f = flow(spark, sf)
-    return report.top_products(f.featured, f.params.top_volume_candidates)
+    return report.top_products(f.weekly_ext, f.params.top_volume_candidates)
 
 
 def _eligibility(f):
     p = f.params
     return report.decomposition_eligibility(
-        f.featured, report.top_products(f.featured, p.top_volume_candidates),
-        p.decomposition_min_weeks, p.top_volume_target, p.season_length)
+        f.featured, report.top_products(f.weekly_ext, p.top_volume_candidates),
+        p.decomposition_min_weeks, p.top_volume_target)
 
 
 @register("decomp_eligible", b("SELECT * FROM decomp_eligible", "decomp_eligible"))

@@ -1,33 +1,105 @@
-"""Writing stage outputs with run metrics.
+"""The production path: stages written, read back as the next one's input, and guarded.
 
-Each stage is written once (Parquet, overwrite) with a ``DataFrame.observe``
-riding on the write, so row counts and sums cost no extra pass; the observed
-values and wall times become rows of a ``run_metrics(run, stage, key, value)``
-table (stages x keys rows).
+Each stage is written once (Parquet, overwrite) with a ``DataFrame.observe`` riding on the write, so
+row counts and sums cost no extra pass; what is written replaces the stage inside the flow, so later
+stages read files instead of recomputing. A guard's offending rows stop the run. Observed values and
+wall times become rows of a ``run_metrics(run, stage, key, value)`` table (stages x keys rows).
 """
 
 from __future__ import annotations
 
-import os
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..config import NUMERIC_FEATURE_COLUMNS, SPARSE
+from ..operators import assemble, clean, country, intermittent, regression, report, scope, scoring, tiers, weekly
 from ..sources.tables import write_csv, write_parquet
 
-DEFAULT_STAGES = ("cleaned", "scoped", "weekly", "featured", "tiers", "sparse_validation",
+# A stage's written form; ``weekly`` and ``featured`` are kept with the columns that later stages need.
+DEFAULT_STAGES = ("prepared", "cleaned", "scoped", "weekly", "featured", "tiers", "sparse_validation",
                   "sparse_forecast")
+FULL_STAGES = DEFAULT_STAGES + ("hv_validation", "hv_forecast", "model_comparison", "forecast", "country_forecast",
+                                "correlation", "zero_profile", "decomposition")
+HELD = {"weekly": "weekly_ext", "featured": "featured_full"}
 
 
-def write_stages(flow, out_dir: str, stages: Sequence[str] = DEFAULT_STAGES,
-                 run_id: str | None = None) -> DataFrame:
+class GuardError(ValueError):
+    """A stage holds rows that its guard forbids."""
+
+
+def _comparison(flow) -> DataFrame:
+    history = scoring.train_history(flow.sparse_long, flow.cutoffs.train_end)
+    hv = scoring.with_timings(scoring.score_high_volume(flow.hv_validation), flow.hv_timings())
+    sparse = scoring.with_timings(scoring.score_sparse(flow.sparse_validation, history), flow.sparse_timings())
+    return scoring.model_comparison(hv, sparse)
+
+
+def _forecast(flow) -> DataFrame:
+    p = flow.params
+    return assemble.assemble(assemble.select_high_volume(flow.hv_forecast, p.hv_model_choice),
+                             assemble.select_sparse(flow.sparse_forecast, p.sparse_model_choice))
+
+
+def _country(flow) -> DataFrame:
+    levels = country.country_level(country.country_weekly(flow.scoped), flow.params.country_window)
+    return country.country_forecast(levels, flow.cutoffs.origin, flow.params.horizon)
+
+
+DERIVED: dict[str, Callable] = {
+    "model_comparison": _comparison, "forecast": _forecast, "country_forecast": _country,
+    "correlation": lambda f: report.correlation_matrix(f.featured, NUMERIC_FEATURE_COLUMNS),
+    "zero_profile": lambda f: report.zero_profile(f.featured, f.tier_ids(SPARSE)),
+    "decomposition": lambda f: report.seasonal_decompose(
+        f.featured.select("ProductID", "WeekStart", "Sales_Qty"), f.params.season_length,
+        f.params.decomposition_min_weeks),
+}
+
+
+def guards(flow, stage: str, written: DataFrame) -> dict[str, DataFrame]:
+    """Forbidden rows of a stage, by guard."""
+    p = flow.params
+    if stage == "prepared":
+        found = {"product id": clean.product_id_violations(written), "both dates missing": clean.impute_violations(written)}
+        if p.expected_artifacts is not None:
+            found["artifact rows"] = clean.artifact_violations(flow.raw, p.expected_artifacts)
+        return found
+    if stage == "cleaned" and p.split_product_ids:
+        return {"split products": scope.named_split_violations(written, p.excluded_ranges, p.split_product_ids)}
+    if stage == "scoped":
+        return {"excluded range": scope.scope_violations(written, p.excluded_ranges),
+                "no order date": weekly.week_floor_violations(written)}
+    if stage == "weekly":
+        return {"weekly table": weekly.weekly_violations(written)}
+    if stage == "tiers":
+        return {"tiers": tiers.tier_violations(written, flow.weekly_ext)}
+    if stage == "sparse_forecast":
+        return {"sparse horizon": intermittent.horizon_violations(written, p.horizon, flow.tier_ids(SPARSE))}
+    if stage == "hv_forecast":
+        return {"high-volume forecast": regression.forecast_violations(written, flow.hv_ids, p.horizon)}
+    if stage == "forecast":
+        return {"assembled forecast": assemble.forecast_violations(written, flow.tiers, p.horizon)}
+    if stage == "country_forecast":
+        return {"country forecast": country.country_violations(written, p.horizon)}
+    return {}
+
+
+def enforce(found: dict[str, DataFrame]) -> None:
+    """Raise on the first guard with offending rows, naming some of them."""
+    for name, rows in found.items():
+        if some := rows.limit(5).collect():
+            raise GuardError(f"{name}: " + "; ".join(str(r.asDict()) for r in some))
+
+
+def write_stages(flow, out_dir: str, stages: Sequence[str] = DEFAULT_STAGES, run_id: str | None = None) -> DataFrame:
     run_id = run_id or uuid.uuid4().hex[:12]
     rows = []
     for name in stages:
-        df: DataFrame = getattr(flow, name)
+        held = HELD.get(name, name)
+        df: DataFrame = DERIVED[name](flow) if name in DERIVED else getattr(flow, held)
         obs = Observation(f"{name}_{run_id}")
         numeric = [f.name for f in df.schema.fields
                    if f.dataType.simpleString() in ("double", "bigint", "int")]
@@ -35,14 +107,26 @@ def write_stages(flow, out_dir: str, stages: Sequence[str] = DEFAULT_STAGES,
         if "Sales_Qty" in numeric:
             aggs.append(F.sum("Sales_Qty").alias("sum_Sales_Qty"))
         t = time.perf_counter()
-        write_parquet(df.observe(obs, *aggs), os.path.join(out_dir, name))
+        path = f"{out_dir.rstrip('/')}/{name}"
+        write_parquet(df.observe(obs, *aggs), path)
         secs = time.perf_counter() - t
         for k, v in obs.get.items():
             rows.append((run_id, name, k, float(v) if v is not None else None))
         rows.append((run_id, name, "seconds", float(secs)))
+        written = flow.spark.read.schema(df.schema).parquet(path)
+        enforce(guards(flow, name, written))
+        if name not in DERIVED:
+            flow.__dict__[held] = written
     return flow.spark.createDataFrame(rows, "run string, stage string, key string, value double")
 
 
+def run(flow, out_dir: str) -> DataFrame:
+    """Every stage and output of a flow, the forecast also as CSV; returns the run's metrics."""
+    metrics = write_stages(flow, out_dir, FULL_STAGES)
+    write_forecast_csv(flow.spark.read.parquet(f"{out_dir.rstrip('/')}/forecast"), f"{out_dir.rstrip('/')}/forecast_csv")
+    return metrics
+
+
 def write_forecast_csv(fc: DataFrame, out_dir: str) -> None:
-    """The assembled forecast as CSV, ordered only here at the sink."""
-    write_csv(fc.orderBy("tier", "ProductID", "forecast_week").coalesce(1), out_dir)
+    """The assembled forecast as CSV parts that are in order one after the other."""
+    write_csv(assemble.sorted_for_sink(fc), out_dir)
