@@ -115,6 +115,8 @@ class Decoder:
         """Ids of every block; all checkpoints advance together, one token a turn."""
         base = np.cumsum([0] + [len(b) for b in bits])
         raw = np.frombuffer(b"".join(bits) + bytes(8), np.uint8).astype(np.uint32)
+        # the 32 bits from every byte on
+        words = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
         at = np.concatenate([c + 8 * b for c, b in zip(checkpoints, base)]).astype(np.int64)
         first = np.cumsum([0] + sizes)
         start = np.concatenate([np.arange(0, n, STEP) + f for n, f in zip(sizes, first)]).astype(np.int64)
@@ -127,9 +129,7 @@ class Decoder:
             while live and left[live - 1] <= k:
                 live = int(np.searchsorted(-left, -k, side="left"))
             now = at[:live]
-            byte = now >> 3
-            word = raw[byte] << 24 | raw[byte + 1] << 16 | raw[byte + 2] << 8 | raw[byte + 3]
-            code = (word >> (32 - self.top - (now & 7)).astype(np.uint32)) & ((1 << self.top) - 1)
+            code = (words[now >> 3] >> (32 - self.top - (now & 7)).astype(np.uint32)) & ((1 << self.top) - 1)
             out[start[:live] + k] = self.symbol[code]
             at[:live] = now + self.length[code]
         return np.split(out, first[1:-1])

@@ -19,7 +19,7 @@ import struct
 import unicodedata
 import zlib
 
-LIMIT = 600_000
+LIMIT = 900_000
 BLOCK = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 ODD_SPACE = re.compile(rb"[\t\x0b\f\r]")
 # UTF-8 forms of the Unicode white space beyond ASCII
@@ -45,19 +45,11 @@ def byte_alphabet() -> list[str]:
     return out
 
 
-class _Pieces(dict):
-    """Pre-token in the byte alphabet -> its ids as little-endian unsigned 32-bit integers."""
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
-    def __init__(self, model):
-        super().__init__()
-        self.model = model
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece)]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(piece) <= 64:
-            self[piece] = out
-        return out
+def _packed(ids: list[int]) -> bytes:
+    return _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class Tokens(dict):
@@ -75,7 +67,8 @@ class Tokens(dict):
         self.find = regex.compile(WORD_PIECES if self.kind == "word" else BYTE_PIECES).findall
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.space = self.alphabet[32]
-        self.pieces = _Pieces(self.tok.model)
+        self.tokenize = self.tok.model.tokenize
+        self.marks = {m.encode(): self.piece(m) for m in sorted(MARKS)}
         self.behind_space = _BehindSpace(self)
         self.specials = re.compile(b"|".join(re.escape(s.encode()) for s in self.special) or b"(?!)")
 
@@ -91,7 +84,7 @@ class Tokens(dict):
         else:
             body = word[1:] if word[0] == " " else word
         # letters alone are one pre-token, and so is the mark behind them
-        if body.isalpha():
+        if body.isalpha():  # below U+0250 these are the letters of \p{L}
             pieces = [word]
         elif body[-1:] in MARKS and body[:-1].isalpha():
             pieces = [word[:-1], body[-1]]
@@ -102,15 +95,22 @@ class Tokens(dict):
         return [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
 
     def whole(self, text: bytes) -> bytes:
-        ids = self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token in the byte alphabet."""
+        return _packed([t.id for t in self.tokenize(piece)])
 
     def encoded(self, block: bytes) -> bytes:
         pieces = self.pretokens(block.decode("utf-8", "replace"))
-        return self.whole(block) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
+        if pieces is None:
+            return self.whole(block)
+        return self.piece(pieces[0]) if len(pieces) == 1 else b"".join(map(self.piece, pieces))
 
     def __missing__(self, block: bytes) -> bytes:
-        out = self.encoded(block)
+        # a word with a mark behind it is the word and the mark
+        mark = self.marks.get(block[-1:])
+        out = self[block[:-1]] + mark if mark and block[:-1].isalpha() else self.encoded(block)
         if len(block) <= 64:
             self[block] = out
         return out
@@ -127,8 +127,6 @@ class Tokens(dict):
         for held in (self, self.behind_space):
             if len(held) > LIMIT:
                 held.clear()
-        if len(self.pieces) > LIMIT:
-            self.pieces.clear()
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a whole text."""
@@ -157,7 +155,14 @@ class _BehindSpace(dict):
         self.table = table
 
     def __missing__(self, word: bytes) -> bytes:
-        out = self.table.encoded(b" " + word)
+        table = self.table
+        mark = table.marks.get(word[-1:])
+        if word.isalpha():
+            out = table.piece(table.space + word.decode())
+        elif mark and word[:-1].isalpha():
+            out = self[word[:-1]] + mark
+        else:
+            out = table.encoded(b" " + word)
         if len(word) <= 64:
             self[word] = out
         return out
