@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_type, pick
+from .common import _KEPT, id_type, pick, worker_for
 from .tokens import Tokens, tokens
 
 BLOCK_BYTES = 24 << 20
@@ -181,9 +181,11 @@ class Codec:
 
 
 _CODECS: dict[str, Codec] = {}
+_KEPT.append(_CODECS)
 
 
 def codec(path: str) -> Codec:
+    worker_for("tokens")
     if path not in _CODECS:
         _CODECS[path] = Codec(path)
     return _CODECS[path]

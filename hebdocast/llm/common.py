@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# Tables that a Python worker keeps from task to task, and the operator that ran in it last.
+_KEPT: list = []
+_LAST = ""
+
+
+def worker_for(operator: str) -> None:
+    """Called inside tasks: a worker that turns to another operator frees what it kept."""
+    global _LAST
+    if operator != _LAST:
+        for held in _KEPT:
+            held.clear()
+        _LAST = operator
+
+
 # White space between words: space and the five ASCII controls 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 

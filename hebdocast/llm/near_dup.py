@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_type, pick, tasks_for, written
+from .common import discard, id_type, pick, tasks_for, worker_for, written
 from .components import components
 from .words import multipliers, runs, text_words
 
@@ -148,6 +148,7 @@ def open_groups(members: DataFrame, least: int) -> DataFrame:
     bounded set of buckets), ``key, node, root, sig``."""
 
     def run(table):
+        worker_for("words")
         (key, node), order, bounds = _ordered(table, "key", "node")
         root, sig = table.column("root").to_numpy()[order], _matrix(table, "sig", order)
         us, vs = [], []
@@ -194,6 +195,7 @@ def linked(members: DataFrame, least: int, percent: int) -> DataFrame:
     ``block, node, root, hub, sig, items``; of two members one must be a hub."""
 
     def run(table):
+        worker_for("words")
         (block, node), order, bounds = _ordered(table, "block", "node")
         root, sig = table.column("root").to_numpy()[order], _matrix(table, "sig", order)
         hub = np.array(table.column("hub").to_pylist(), bool)[order]

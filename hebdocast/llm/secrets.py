@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, written
+from .common import id_type, worker_for, written
 
 WORDS = 20_000
 SAMPLE = 1_500  # documents whose words surround the examples
@@ -51,6 +51,7 @@ def dictionary(docs: DataFrame, text_col: str, size: int = WORDS) -> list[str]:
     """The most frequent words of three to twelve letters in all documents."""
 
     def gather(batches):
+        worker_for("secrets")
         found: Counter = Counter()
         for batch in batches:
             words: Counter = Counter()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, pick, written
+from .common import _KEPT, id_type, pick, written
 from .tokens import Tokens, tokens
 
 HOT = 65_536
@@ -48,6 +48,7 @@ class _Split(dict):
 
 
 _SPLIT: dict[str, _Split] = {}
+_KEPT.append(_SPLIT)
 
 
 def _split(path: str) -> _Split:

@@ -19,6 +19,8 @@ import struct
 import unicodedata
 import zlib
 
+from .common import _KEPT, worker_for
+
 LIMIT = 900_000
 BLOCK = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+(?![^\x20\x09-\x0D])|[\x20\x09-\x0D]+")
 ODD_SPACE = re.compile(rb"[\t\x0b\f\r]")
@@ -169,10 +171,12 @@ class _BehindSpace(dict):
 
 
 _LOADED: dict[str, Tokens] = {}
+_KEPT.append(_LOADED)
 
 
 def tokens(path: str) -> Tokens:
-    """The worker's table for a tokenizer file; it is kept from task to task."""
+    """The worker's table for a tokenizer file; it is kept from task to task of such operators."""
+    worker_for("tokens")
     if path not in _LOADED:
         _LOADED[path] = Tokens(path)
     return _LOADED[path]

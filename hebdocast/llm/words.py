@@ -6,7 +6,9 @@ import hashlib
 
 import numpy as np
 
-BLOCK = 2 << 20  # bytes hashed at once; a longer text is a block of its own
+from .common import worker_for
+
+BLOCK = 1 << 19  # bytes hashed at once; a longer text is a block of its own
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -80,6 +82,7 @@ def blocks(texts):
 
 def text_words(texts, lower: bool):
     """For every row of an Arrow binary array: ``(row, bytes, starts, ends, hashes)`` of its words."""
+    worker_for("words")
     for first, raw, bounds in blocks(texts):
         starts, ends, h = word_hashes(raw, lower)
         cut = np.searchsorted(starts, bounds)
