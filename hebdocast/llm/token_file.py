@@ -82,16 +82,17 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Codes of ``ids`` one after the other, and the bit offsets of every ``STEP``-th id."""
+    """Codes of ``ids`` (at most 17 bits) one after the other, and the bit offsets of every
+    ``STEP``-th id."""
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
     total = int(ends[-1]) if len(ends) else 0
     n = -(-total // 8)
-    value = codes[ids] << (32 - size - (starts & 7))  # at most 25 bits from the byte's first bit on
+    value = codes[ids] << (32 - size - (starts & 7))
     at = starts >> 3
     out = np.zeros(n + 4)
-    for k in range(4):
+    for k in range(3):  # a code of at most 17 bits from any bit of a byte on lies in three bytes
         out += np.bincount(at + k, weights=(value >> (24 - 8 * k)) & 255, minlength=n + 4)[:n + 4]
     return out[:n].astype(np.uint8).tobytes(), starts[::STEP]
 
@@ -107,7 +108,7 @@ class Decoder:
         span = 1 << (self.top - lengths[order].astype(np.int64))
         assert (codes[order] << (self.top - lengths[order].astype(np.int64)) == np.cumsum(span) - span).all()
         self.symbol = np.zeros(1 << self.top, np.uint32)
-        self.length = np.ones(1 << self.top, np.int64)
+        self.length = np.ones(1 << self.top, np.uint8)
         self.symbol[:span.sum()] = np.repeat(order, span)
         self.length[:span.sum()] = np.repeat(lengths[order], span)
 
@@ -135,9 +136,14 @@ class Decoder:
         return np.split(out, first[1:-1])
 
 
-def plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of whole documents in ascending id order: ``file, block, docs, ids`` (little-endian
-    unsigned 32-bit)."""
+def id_width(tokenizer: str, end_id: int) -> str:
+    """Numbers that hold every id of a tokenizer: 16 or 32 bits, little-endian."""
+    from tokenizers import Tokenizer
+    return "<u2" if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id) <= 1 << 16 else "<u4"
+
+
+def plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: str, id_col: str, text_col: str) -> DataFrame:
+    """Blocks of whole documents in ascending id order: ``file, block, docs, ids`` (of ``width``)."""
     kind, end = id_type(docs, id_col), np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
@@ -150,7 +156,8 @@ def plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text
             return pa.RecordBatch.from_arrays(
                 [pa.array([file], pa.int32()), pa.array([block], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), entries),
-                 pa.array([b"".join(parts)], pa.binary())], ["file", "block", "docs", "ids"])
+                 pa.array([np.frombuffer(b"".join(parts), "<u4").astype(width).tobytes()], pa.binary())],
+                ["file", "block", "docs", "ids"])
 
         for batch in batches:
             key_type = batch.column("doc_id").type
@@ -174,14 +181,14 @@ def plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text
     return ordered.mapInArrow(blocks, f"file int, block bigint, docs array<struct<doc_id:{kind},n_tokens:bigint>>, ids binary")
 
 
-def id_counts(blocks: DataFrame) -> DataFrame:
+def id_counts(blocks: DataFrame, width: str) -> DataFrame:
     """``id, n`` over all blocks."""
 
     def count(batches):
         total = np.zeros(1, np.int64)
         for batch in batches:
             for ids in batch.column("ids"):
-                sums = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"), minlength=len(total))
+                sums = np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=len(total))
                 sums[:len(total)] += total
                 total = sums
         used = np.flatnonzero(total)
@@ -194,8 +201,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
                  id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of every text, each with ``end_id`` behind it, to the folder ``path``."""
     spark = docs.sparkSession
-    blocks = written(plain_blocks(docs, tokenizer, end_id, id_col, text_col), "blocks", compression="zstd")
-    table = id_counts(blocks).collect()  # one row per used id: bounded by the vocabulary
+    if max_bits > MAX_BITS:
+        raise ValueError(f"codes may have {MAX_BITS} bits at most")
+    width = id_width(tokenizer, end_id)
+    blocks = written(plain_blocks(docs, tokenizer, end_id, width, id_col, text_col), "blocks", compression="zstd")
+    table = id_counts(blocks, width).collect()  # one row per used id: bounded by the vocabulary
     counts = np.zeros(max([end_id, *(r["id"] for r in table)]) + 1, np.int64)
     for r in table:
         counts[r["id"]] = r["n"]
@@ -208,7 +218,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
         for batch in batches:
             bits, marks = [], []
             for ids in batch.column("ids"):
-                b, m = pack_bits(np.frombuffer(ids.as_buffer(), "<u4"), codes, lengths)
+                b, m = pack_bits(np.frombuffer(ids.as_buffer(), width), codes, lengths)
                 bits.append(b)
                 marks.append(m)
             yield pa.RecordBatch.from_arrays(
