@@ -123,7 +123,7 @@ class PairIndex:
 class Codec:
     """Words of texts to ids, and ids to text, remembered by word up to a fixed number."""
 
-    LIMIT = 500_000
+    LIMIT = 350_000
 
     def __init__(self, path: str):
         self.table: Tokens = tokens(path)
