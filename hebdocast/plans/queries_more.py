@@ -442,7 +442,14 @@ def describe_features(spark, sf):
 
 
 # --- 2.12 profiling ---------------------------------------------------------------------
-@register("profile_schema")
+_SCHEMA_SQL = "\nUNION ALL\n".join(
+    f"""SELECT CAST({i + 1} AS BIGINT) AS position, '{c}' AS column_name,
+  CASE typeof(any_value({q(c)})) WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
+       WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE typeof(any_value({q(c)})) END AS data_type,
+  count(*) AS n_rows FROM raw""" for i, c in enumerate(REQUIRED_COLUMNS))
+
+
+@register("profile_schema", b(_SCHEMA_SQL, "raw"))
 def profile_schema(spark, sf):
     return profile.schema_profile(flow(spark, sf).raw)
 
