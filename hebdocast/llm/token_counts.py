@@ -64,12 +64,15 @@ def _blocks(table: Tokens, text: bytes) -> list[bytes]:
     return [text] if blocks is None else blocks
 
 
+def _pieces(split: _Split, table: Tokens, block: bytes) -> tuple[str, ...]:
+    if table.kind == "byte" and len(block) > 1 and table.blocks(block) is None:
+        return (SPECIAL + block.decode("utf-8", "replace"),)
+    return split[block]
+
+
 def _add(split: _Split, table: Tokens, blocks: Counter, into: Counter) -> None:
     for block, n in blocks.items():
-        if table.kind == "byte" and len(block) > 1 and table.blocks(block) is None:
-            into[SPECIAL + block.decode("utf-8", "replace")] += n
-            continue
-        for piece in split[block]:
+        for piece in _pieces(split, table, block):
             into[piece] += n
 
 
@@ -129,15 +132,13 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048, hot: int
             self.table, self.split, self.n = table, split, known.value
 
         def __missing__(self, block):
-            parts: Counter = Counter()
-            _add(self.split, self.table, Counter({block: 1}), parts)
             here, rare = 0, []
-            for piece, times in parts.items():
+            for piece in _pieces(self.split, self.table, block):
                 n = self.n.get(piece)
                 if n is None:
-                    rare += [piece] * times
+                    rare.append(piece)
                 else:
-                    here += n * times
+                    here += n
             if rare:
                 self.rare[block] = rare
             self[block] = here
