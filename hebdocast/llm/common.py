@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -71,6 +71,20 @@ def pick(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"))
 
 
+def hashes(id_col: str, text_col: str, *more: str) -> tuple[Column, Column]:
+    """Two hashes that tell rows apart by text and by id, text and the columns ``more``; null text as empty."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    return F.xxhash64(text), F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), text, *[F.col(f"`{c}`") for c in more])
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """As :func:`pick`, with ``k1, k2`` of :func:`hashes`."""
+    k1, k2 = hashes(id_col, text_col)
+    return df.select(F.col(f"`{id_col}`").alias("doc_id"),
+                     F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b"")).alias("text"),
+                     k1.alias("k1"), k2.alias("k2"))
+
+
 def id_type(df: DataFrame, id_col: str) -> str:
     """Type of the id column; an untyped (all null) column counts as bigint."""
     kind = df.schema[id_col].dataType.simpleString()

@@ -19,8 +19,9 @@ have a bucket partner. Counts and minima are aggregated before shuffles and writ
 the hot side of each join can be split. Nothing but counts reaches the driver.
 
 Defined results: a document without words (or null) has an empty set and is linked with nothing; its
-component is itself. Null ids are kept; rows that repeat an id and text get the same result each; a
-component of null ids only has a null id. An empty table gives no rows.
+component is itself. Null ids are kept; a component of null ids only has a null id. Of each component
+exactly one row is kept: of the rows that carry its id the one with the smallest text hash, and of rows
+that repeat an id and text one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_type, pick, tasks_for, worker_for, written
+from .common import discard, hashes, id_type, keyed, pick, tasks_for, worker_for, written
 from .components import components
 from .words import multipliers, runs, text_words
 
@@ -54,7 +55,7 @@ def minima(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame, size: int, n: int, kind: str) -> DataFrame:
-    """``doc_id, n_shingles, digest, sig``; digest and sig are null for an empty set."""
+    """``doc_id, k1, k2, n_shingles, digest, sig``; digest and sig are null for an empty set."""
 
     def run(batches):
         factors, a, b = multipliers(size, "shingle"), multipliers(n, "a"), multipliers(n, "b")
@@ -66,10 +67,11 @@ def signatures(rows: DataFrame, size: int, n: int, kind: str) -> DataFrame:
                 digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest() if len(values) else None)
                 sigs.append(minima(values, a, b) if len(values) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                 pa.array(sigs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "digest", "sig"])
+                [batch.column("doc_id"), batch.column("k1"), batch.column("k2"), pa.array(counts, pa.int64()),
+                 pa.array(digests, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))],
+                ["doc_id", "k1", "k2", "n_shingles", "digest", "sig"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, digest binary, sig array<int>")
+    return rows.mapInArrow(run, f"doc_id {kind}, k1 bigint, k2 bigint, n_shingles bigint, digest binary, sig array<int>")
 
 
 def full_sets(rows: DataFrame, size: int, kind: str) -> DataFrame:
@@ -273,20 +275,19 @@ def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFr
     return written(links.union(of_blocks(written(both, "blocks", tasks))), "links")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS,
-                    rows: int = ROWS, chunk: int = CHUNK, id_col: str = "doc_id",
-                    text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row. Two documents are linked when
-    100 x intersection >= ``percent`` x union of their sets; ``component_id`` is the smallest id that
-    links reach, and ``kept`` marks the document that carries it."""
+def decided(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
+            chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, k1, k2, n_shingles, component_id, kept`` of every row; ``k1, k2`` hash its id and text."""
     kind, n = id_type(docs, id_col), bands * rows
     least = int(np.floor((percent / 100 - MARGIN) * n))
     texts = pick(docs, id_col, text_col)
-    signed = written(signatures(texts, size, n, kind)
+    signed = written(signatures(keyed(docs, id_col, text_col), size, n, kind)
                      .withColumn("row", F.monotonically_increasing_id()), "signed")
     # One class for every distinct set. Equal sets have equal signatures.
     classes = written(signed.filter("digest is not null").groupBy("digest").agg(
-        F.min("row").alias("node"), F.min("doc_id").alias("least_id"), F.first("sig").alias("sig"),
+        F.min("row").alias("node"), F.first("sig").alias("sig"),
+        # the smallest id, nulls last; then the smallest hashes, then the first row
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2", "row")).alias("least"),
         F.min_by("doc_id", "row").alias("doc_id")), "classes")
 
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)),
@@ -334,11 +335,41 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE,
         found = written(components(links), "components")
 
     rooted = classes.join(found.hint("merge"), "node", "left").select(
-        "digest", "least_id", F.coalesce("root", "node").alias("root"))
+        "digest", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
-    smallest = written(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "smallest")
-    named = written(rooted.join(smallest.hint("merge"), "root").select("digest", "component_id"), "named")
-    out = signed.select("doc_id", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    smallest = written(smallest.select("root", F.col("least.doc_id").alias("component_id"),
+                                       F.col("least.row").alias("chosen")), "smallest")
+    named = written(rooted.join(smallest.hint("merge"), "root").select("digest", "component_id", "chosen"), "named")
+    out = signed.select("row", "doc_id", "k1", "k2", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"),
-                      F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"),
+                      (F.col("digest").isNull() | (F.col("row") == F.col("chosen"))).alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row. Two documents are linked when
+    100 x intersection >= ``percent`` x union of their sets; ``component_id`` is the smallest id that
+    links reach, and ``kept`` marks the one row of each component that stays. Options as in
+    :func:`decided`."""
+    return decided(docs, **options).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def without_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with all columns; of each component only the row that is kept."""
+    rows = decided(docs, id_col=id_col, text_col=text_col, **options)
+    # Rows that repeat an id and text have one key: of those that stay, one is taken below.
+    keys = written(rows.groupBy("k1", "k2").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"),
+                                                F.max(F.col("n_shingles") > 0).alias("worded"))
+                   .filter("not kept or worded and n > 1"), "keys")
+    at = docs.withColumns(dict(zip(("_k1", "_k2"), hashes(id_col, text_col))))
+    keys = keys.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "kept")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    out = at.join(keys.hint("shuffle_hash"), ["_k1", "_k2"], "left_anti").select(*columns)
+    twice = keys.filter("kept").drop("kept")
+    if twice.isEmpty():
+        return out
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = at.join(twice, ["_k1", "_k2"]).groupBy("_k1", "_k2").agg(
+        F.min_by(F.struct(*columns), F.struct(F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed))).alias("_row"))
+    return out.union(one.select("_row.*"))

@@ -6,6 +6,7 @@ case, digits as 0, white space as one space, trimmed) and hashed, and a line cou
 distinct documents that hold it. Copies of one document must not make its lines look like
 boilerplate, so documents with the same set of lines count once. Lines of more documents than both
 limits are removed, and a document that keeps less than ``min_left`` of its words is rejected.
+:func:`quality` gives the counters and the verdict of every row, :func:`cleaned` the documents that pass.
 
 Scale: texts are read once, without a shuffle, into a table of counters and line hashes, which is
 what all later steps read. Line counts are grouped by (host, line), so a host with a third of all
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, hashes, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\f\r"
@@ -71,16 +72,18 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(lower, r"[\x20\x09-\x0D]+", " "))
 
 
-def profile(docs: DataFrame, *, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """Counters of every text, the hashes of its distinct normalised lines and the hash of their set."""
-    base = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
+def profile(docs: DataFrame, *, id_col: str, text_col: str, host_col: str, with_keys: bool = False) -> DataFrame:
+    """Counters of every text and the hashes of its distinct normalised lines (and ``k1, k2`` of id, text and host)."""
+    k1, k2 = hashes(id_col, text_col, host_col)
+    keys = [k1.alias("k1"), k2.alias("k2")] if with_keys else []
+    base = docs.select(*keys, F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     parts = base.withColumn("words", words_of(F.col("text"))).withColumn(
         "lines", F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0))
     norm = F.transform("lines", normalised)
 
     return parts.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "host",
+        F.monotonically_increasing_id().alias("row"), "doc_id", "host", *(["k1", "k2"] if with_keys else []),
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.translate("text", SPACES, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -105,6 +108,23 @@ def frequent_lines(profiles: DataFrame, *, min_docs: int, min_share: float) -> D
         F.col("n_docs") > min_share * F.col("host_docs")).select(often.host, "line")
 
 
+def judged(profiles: DataFrame, lost: DataFrame, *, min_words: int, max_repeat_percent: int,
+           min_left: float) -> DataFrame:
+    """``profiles`` with ``base_failed, kept, n_boilerplate_words``; ``lost`` has the last for some rows."""
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    left = F.col("n_words") - F.col("n_boilerplate_words")
+    return (profiles.drop("distinct_lines", "all_lines").join(lost, "row", "left")
+            .withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0).cast("bigint")))
+            .withColumn("base_failed", failed)
+            .withColumn("kept", ~failed & (left >= min_left * F.col("n_words"))))
+
+
+def lost_lines(profiles: DataFrame, often: DataFrame) -> DataFrame:
+    """``row, line, words`` of the lines above the limits, repeated ones too."""
+    lines = profiles.select("row", "host", F.explode("all_lines").alias("x")).select("row", "host", "x.*")
+    return lines.join(often, lines.host.eqNullSafe(often.host) & (lines.line == often.line), "left_semi")
+
+
 def quality(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20,
             min_share: float = 0.05, min_left: float = 0.25, id_col: str = "doc_id",
             text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -112,16 +132,26 @@ def quality(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 5
     n_boilerplate_words`` of every row."""
     profiles = written(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col), "profiles")
     often = frequent_lines(profiles, min_docs=min_docs, min_share=min_share)
-    lines = profiles.select("row", "host", F.explode("all_lines").alias("x")).select("row", "host", "x.*")
-    lost = (lines.join(often, lines.host.eqNullSafe(often.host) & (lines.line == often.line), "left_semi")
-            .groupBy("row").agg(F.sum("words").alias("n_boilerplate_words")))
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    left = F.col("n_words") - F.col("n_boilerplate_words")
-    return (profiles.drop("distinct_lines", "all_lines").join(lost, "row", "left")
-            .withColumn("n_boilerplate_words", F.coalesce("n_boilerplate_words", F.lit(0).cast("bigint")))
-            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                    failed.alias("base_failed"),
-                    (~failed & (left >= min_left * F.col("n_words"))).alias("kept"), "n_boilerplate_words"))
+    lost = lost_lines(profiles, often).groupBy("row").agg(F.sum("words").alias("n_boilerplate_words"))
+    rows = judged(profiles, lost, min_words=min_words, max_repeat_percent=max_repeat_percent, min_left=min_left)
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       "base_failed", "kept", "n_boilerplate_words")
+
+
+def cleaned(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20,
+            min_share: float = 0.05, min_left: float = 0.25, id_col: str = "doc_id",
+            text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """``docs`` with all columns: the rows that :func:`quality` keeps."""
+    profiles = written(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col, with_keys=True), "profiles")
+    often = frequent_lines(profiles, min_docs=min_docs, min_share=min_share)
+    lost = lost_lines(profiles, often).groupBy("row").agg(F.sum("words").alias("n_boilerplate_words"))
+    rows = judged(profiles, lost, min_words=min_words, max_repeat_percent=max_repeat_percent, min_left=min_left)
+    # Rows of one id, text and host have one verdict.
+    gone = rows.filter("not kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
+    gone = written(gone, "gone")
+    discard(profiles)
+    return docs.withColumns(dict(zip(("_k1", "_k2"), hashes(id_col, text_col, host_col)))).join(
+        gone.hint("shuffle_hash"), ["_k1", "_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

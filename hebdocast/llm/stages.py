@@ -6,26 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import near_dup, packing, quality, secrets, substring
-from .common import written
 
 
-def _dropped(docs: DataFrame, decisions: DataFrame, id_col: str) -> DataFrame:
-    """``docs`` without the ids that a decision drops. An id with a kept row is kept."""
-    ids = decisions.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept")
-    gone = written(ids.select(F.col("doc_id").alias("_gone")), "gone")
-    return docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("_gone")), "left_anti")
-
-
-def quality_stage(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def quality_stage(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """The documents that pass the quality rules."""
-    return _dropped(docs, quality.quality(docs, id_col=id_col, **options), id_col)
+    return quality.cleaned(docs, text_col=text_col, **options)
 
 
-def near_dup_stage(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near-duplicates. Rows that repeat an id are one document and stay
-    or go together."""
-    found = near_dup.near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    return _dropped(docs, found, id_col)
+def near_dup_stage(docs: DataFrame, **options) -> DataFrame:
+    """One row of each group of near-duplicates, repeated rows and null ids too."""
+    return near_dup.without_duplicates(docs, **options)
 
 
 def substring_stage(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:

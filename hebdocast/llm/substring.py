@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, id_type, written
+from .common import discard, id_type, keyed, written
 from .words import mix, multipliers, runs, text_words
 
 
@@ -249,10 +249,3 @@ def without_repeats(docs: DataFrame, *, size: int = 35, id_col: str = "doc_id",
     return (docs.withColumn("_k1", F.xxhash64(text)).withColumn("_k2", F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), text))
             .join(cut.hint("shuffle_hash"), ["_k1", "_k2"], "left")
             .withColumn(text_col, F.coalesce("_kept", F.col(f"`{text_col}`"))).select(*[f"`{c}`" for c in docs.columns]))
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, text`` (UTF-8, null as empty) and two hashes of both."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).select(
-        "*", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "doc_id", "text").alias("k2"))

@@ -122,6 +122,28 @@ def test_pipeline_keeps_clean_documents_and_cuts_the_rest(spark, tmp_path):
     assert {r.doc_id for r in out} == set(last)
 
 
+def test_pipeline_keeps_one_row_of_repeated_rows_and_null_ids(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+    rnd = random.Random(18)
+    vocabulary = ["word%s" % "abcdefghijklmnopqrstuvwxyz"[i % 26] * (1 + i // 26) for i in range(200)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    a, b, c, d = (text(120) for _ in range(4))
+    rows = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (None, b, "s"), (None, b, "s"), (None, c, "s"), (None, "too short", "s"),
+            (7, d, "s"), (7, d + " tail", "s"), (None, d, "s"), (8, text(90), "s"), (8, "too short", "s")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+    out = collections.Counter((r.doc_id, r.text) for r in kept.collect())
+    seven = [t for i, t in out if i == 7]
+    assert len(seven) == 1 and seven[0] in (d, d + " tail")
+    assert out == collections.Counter([(1, a), (None, b), (None, c), (7, seven[0]), (8, rows[-2][1])])
+
+
 def test_entry_works_without_the_operators():
     code = """
 import sys
