@@ -6,7 +6,8 @@ case, digits as 0, white space as one space, trimmed) and hashed, and a line cou
 distinct documents that hold it. Copies of one document must not make its lines look like
 boilerplate, so documents with the same set of lines count once. Lines of more documents than both
 limits are removed, and a document that keeps less than ``min_left`` of its words is rejected.
-:func:`quality` gives the counters and the verdict of every row, :func:`cleaned` the documents that pass.
+:func:`quality` gives the counters and the verdict of every row, :func:`cleaned` the documents that pass,
+without those lines.
 
 Scale: texts are read once, without a shuffle, into a table of counters and line hashes, which is
 what all later steps read. Line counts are grouped by (host, line), so a host with a third of all
@@ -141,17 +142,25 @@ def quality(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 5
 def cleaned(docs: DataFrame, *, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20,
             min_share: float = 0.05, min_left: float = 0.25, id_col: str = "doc_id",
             text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` with all columns: the rows that :func:`quality` keeps."""
+    """``docs`` with all columns: the rows that :func:`quality` keeps, their texts without the lines above
+    the limits."""
     profiles = written(profile(docs, id_col=id_col, text_col=text_col, host_col=host_col, with_keys=True), "profiles")
     often = frequent_lines(profiles, min_docs=min_docs, min_share=min_share)
-    lost = lost_lines(profiles, often).groupBy("row").agg(F.sum("words").alias("n_boilerplate_words"))
+    lost = lost_lines(profiles, often).groupBy("row").agg(
+        F.sum("words").alias("n_boilerplate_words"), F.collect_set("line").alias("lines"))
     rows = judged(profiles, lost, min_words=min_words, max_repeat_percent=max_repeat_percent, min_left=min_left)
-    # Rows of one id, text and host have one verdict.
-    gone = rows.filter("not kept").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    gone = written(gone, "gone")
+    # Rows of one id, text and host have one verdict; only rejected rows and those that lose lines are joined.
+    changed = rows.filter("not kept or lines is not null").groupBy("k1", "k2").agg(
+        F.first("kept").alias("_kept"), F.first("lines").alias("_lines"))
+    changed = written(changed.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}), "changed")
     discard(profiles)
-    return docs.withColumns(dict(zip(("_k1", "_k2"), hashes(id_col, text_col, host_col)))).join(
-        gone.hint("shuffle_hash"), ["_k1", "_k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = docs.withColumns(dict(zip(("_k1", "_k2"), hashes(id_col, text_col, host_col)))).join(
+        changed.hint("shuffle_hash"), ["_k1", "_k2"], "left").filter("_kept is null or _kept")
+    text = F.col(f"`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(
+        F.col("_lines"), F.xxhash64(normalised(x)))), "\n")
+    return found.withColumn(text_col, F.when(F.col("_lines").isNull(), text).otherwise(left)).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""

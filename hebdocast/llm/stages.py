@@ -9,8 +9,9 @@ from . import near_dup, packing, quality, secrets, substring
 
 
 def quality_stage(docs: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """The documents that pass the quality rules."""
-    return quality.cleaned(docs, text_col=text_col, **options)
+    """The documents that pass the quality rules, without the lines above the limits; ``n_chars``, if
+    there, is counted anew."""
+    return _counted(quality.cleaned(docs, text_col=text_col, **options), text_col)
 
 
 def near_dup_stage(docs: DataFrame, **options) -> DataFrame:

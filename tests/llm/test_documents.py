@@ -61,6 +61,27 @@ def test_quality_runs_without_python(spark, odd):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+def test_quality_stage_removes_the_lines_above_the_limits(spark):
+    rnd = random.Random(12)
+    own = lambda n: " ".join(f"w{rnd.randrange(5000)}x" for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        first, last = own(40), own(30)
+        rows.append((i, f"{first}\n\nSubscribe  to page {i + 100}\n{last}\nAll rights reserved\n", f"host{i // 30}"))
+        want[i] = f"{first}\n\n{last}\n"
+    rows += [(100, f"All rights reserved\n{own(60)}", "elsewhere"), (None, f"{own(60)}\nAll rights reserved", "host0"),
+             (None, "All rights reserved", "host0")]
+    docs = spark.createDataFrame([(i, t, s, len(t)) for i, t, s in rows], "doc_id bigint, text string, source string, n_chars int")
+    out = stages.quality_stage(docs)
+    assert out.dtypes == docs.dtypes
+    got = {r.doc_id: r for r in out.collect()}
+    want |= {100: rows[60][1], None: rows[61][1].split("\n")[0]}
+    assert {i: r.text for i, r in got.items()} == want and out.count() == len(want)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
 # --- substring dedup -------------------------------------------------------------------------
 def plain_substring(docs, size):
     words = [(i, WORDS.findall(t)) for i, t in docs]
