@@ -5,9 +5,10 @@ path the text lengths and the punctuation of all of its blocks are added up and
 of blocks, link text counted out. The two ratios, each as a share of the page's largest, are fused,
 smoothed along the page with a Gaussian and held against a threshold of the page's spread. Paths
 inside elements that can't be the article (menus, forms, adverts and the like, by element, role, class
-or id) have no part in it. The deepest element with nearly all of the selected text is the article;
-all of its blocks outside such elements are its text, so short paragraphs and headings stay. If that
-element is the whole body, only what is selected stays, with headings and gaps between.
+or id) have no part in it. The deepest element with all of the selected text
+is the article, or the ``article`` or ``main`` around it; all of its blocks outside such elements are its
+text, so short paragraphs and headings stay. If that element is the whole body, what is selected
+stays, with headings and gaps between and all of the deepest element with nearly all of the selected text.
 
 Scale: one page at a time inside the scan, no shuffle; memory follows the longest page.
 
@@ -50,17 +51,32 @@ NAMES = re.compile(
     r"|headers?|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|alerts?|pager|pagination|popup|promos?"
     r"|promoted|promotion|related|recommended|replies|responses|shar(?:e|ing)|side-?bar|sidebars?|signup|login|skip"
     r"|social|sponsor\w*|subscribe|subscription|toolbar|widgets?)(?:$|[^a-z])")
+# Parts of an article, never the whole of it.
+PARTS = frozenset("""p h1 h2 h3 h4 h5 h6 li blockquote ul ol menu dl dt dd table caption tbody thead tfoot tr td th pre
+    section figure figcaption details summary""".split())
 PUNCTUATION = re.compile(r"[.,;:!?…¿¡，。；：！？、]")
 KERNEL = np.exp(-np.arange(-2, 3) ** 2 / 2.0)
 
 
 class Element:
-    __slots__ = ("tag", "up", "path", "outside")
+    __slots__ = ("tag", "up", "path", "barred", "named", "apart")
 
-    def __init__(self, tag: str, up: "Element | None", step: str, outside: bool):
+    def __init__(self, tag: str, up: "Element | None", step: str, barred: bool, named: bool = False, apart: bool = False):
         self.tag, self.up = tag, up
         self.path = (up.path + "/" + step) if up else step
-        self.outside = outside or (up is not None and up.outside)
+        self.barred, self.named, self.apart = barred, named, apart  # by element, role or style; by name
+
+    @property
+    def chain(self):
+        """The element and those around it."""
+        e = self
+        while e is not None:
+            yield e
+            e = e.up
+
+    @property
+    def outside(self) -> bool:
+        return any(e.barred or e.named for e in self.chain)
 
 
 class Block:
@@ -70,25 +86,24 @@ class Block:
         self.element, self.parts, self.link = element, [], 0
 
 
-def _outside(tag: str, attrs: str, up: Element | None) -> tuple[bool, str]:
-    """Whether an element can't be part of the article, and its step in the path."""
+def _outside(tag: str, attrs: str, up: Element | None) -> tuple[bool, bool, bool, str]:
+    """Whether an element can't be part of the article, whether its name speaks against it, and whether
+    that name stands in any case; and its step in the path."""
     values = {}
     if attrs.strip():
         for name, value in ATTR.findall(attrs):
             values.setdefault(name.lower(), value.strip("\"'"))
-    label = " ".join([values.get("class", ""), values.get("id", "")]).lower()
+    classes, own = values.get("class", "").lower(), values.get("id", "").lower()
+    label = classes + " " + own
     step = tag + ("." + ".".join(label.split()) if label.strip() else "")
     if tag in ("html", "body", "main"):
-        return False, step
-    inside = False
-    above = up
-    while above is not None and not inside:
-        inside = above.tag in ("article", "main")
-        above = above.up
+        return False, False, False, step
+    inside = up is not None and any(e.tag in ("article", "main") for e in up.chain)
     style = values.get("style", "").replace(" ", "").lower()
-    return (tag in OUTSIDE or tag == "header" and not inside or values.get("role", "").lower() in ROLES
-            or "hidden" in values or "display:none" in style or "visibility:hidden" in style
-            or bool(label.strip()) and tag not in HEADINGS and bool(NAMES.search(label))), step
+    barred = (tag in OUTSIDE or tag == "header" and not inside or values.get("role", "").lower() in ROLES
+              or "hidden" in values or "display:none" in style or "visibility:hidden" in style)
+    names = label
+    return barred, tag not in HEADINGS and bool(NAMES.search(names)), False, step
 
 
 def blocks_of(page: str) -> list[tuple[Element, str, int]]:
@@ -145,8 +160,8 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
         if tag == "a":
             links += 1
         if tag not in BLOCKS:
-            hidden, step = _outside(tag, m["attrs"], top) if tag not in ("a", "b", "i", "em", "strong") else (False, tag)
-            if hidden and tag not in ("label",):  # an inline advert or button: its text goes
+            barred, named, _, _ = _outside(tag, m["attrs"], top) if tag not in ("a", "b", "i", "em", "strong") else (False,) * 4
+            if (barred or named) and tag not in ("label",):  # an inline advert or button: its text goes
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
@@ -169,8 +184,8 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
                     top = above.up
                     break
                 above = above.up
-        outside, step = _outside(tag, m["attrs"], top)
-        top = Element(tag, top, step, outside)
+        barred, named, apart, step = _outside(tag, m["attrs"], top)
+        top = Element(tag, top, step, barred, named, apart)
         flush(top)
     flush(root)
     return out
@@ -180,7 +195,8 @@ def ratios(blocks: list[tuple[Element, str, int]]) -> np.ndarray:
     """Fused and smoothed text and punctuation ratio of every block's path."""
     paths = {}
     index = np.array([paths.setdefault(e.path, len(paths)) for e, _, _ in blocks])
-    may = np.array([not e.outside for e, _, _ in blocks])
+    out = {e: e.outside for e in {e for e, _, _ in blocks}}
+    may = np.array([not out[e] for e, _, _ in blocks])
     length = np.array([max(0, len(t) - t.count(" ") - link) for _, t, link in blocks], float) * may
     marks = np.array([len(PUNCTUATION.findall(t)) * (link * 2 < len(t)) for _, t, link in blocks], float) * may
     count = np.bincount(index, minlength=len(paths))
@@ -211,31 +227,45 @@ def main_text(page: str, spread: float = 0.5) -> str:
     inside: dict[Element, int] = {}
     depth: dict[Element, int] = {}
     for i in np.flatnonzero(chosen).tolist():
-        chain, e = [], blocks[i][0]
-        while e is not None:
-            chain.append(e)
-            e = e.up
+        chain = list(blocks[i][0].chain)
         for d, e in enumerate(reversed(chain)):
             inside[e] = inside.get(e, 0) + int(size[i])
             depth[e] = d
-    article = max((e for e in inside if inside[e] >= 0.9 * total), key=lambda e: depth[e])
-    while article.tag in ("p", *HEADINGS, "li", "blockquote") and article.up is not None:
-        article = article.up
+    deepest = lambda least: max((e for e in inside if inside[e] >= least), key=lambda e: depth[e])
 
-    def within(e):
-        while e is not None and e is not article:
+    def around(e):
+        """The article or main around an element, or the first element around it that isn't a part of one."""
+        for x in e.chain:
+            if x.tag in ("article", "main"):
+                return x
+        while e.tag in PARTS and e.up is not None:
             e = e.up
-        return e is article
+        return e
+
+    def within(article):
+        return np.array([any(x is article for x in e.chain) for e, _, _ in blocks])
 
-    keep = np.array([not e.outside and within(e) for e, _, _ in blocks])
+    outside = {e: e.outside for e in {e for e, _, _ in blocks}}
+    may = np.array([not outside[e] for e, _, _ in blocks])
+    prose = np.array([link * 2 < len(t) for _, t, link in blocks])
+    core = deepest(total)
+    article = around(core)
     if article.tag in ("", "html", "body"):
         heading = np.array([e.tag in HEADINGS for e, _, _ in blocks])
         before = np.concatenate([chosen[1:], [False]])
-        keep &= chosen | heading & before
         ends = np.flatnonzero(chosen)
         middle = np.zeros(len(blocks), bool)
         middle[ends[0]:ends[-1]] = True
-        keep |= middle & np.array([not e.outside and link * 2 < len(t) for e, t, link in blocks])
+        keep = chosen | heading & before | middle & prose
+        most = around(deepest(0.9 * total))
+        if most.tag in ("", "html", "body"):
+            most = deepest(0.9 * total)
+        if most.tag not in ("", "html", "body"):
+            keep |= within(most)
+    else:
+        # what lies around the selected text: all of an article, else without lists of links
+        keep = within(article) & (prose | (article.tag == "article") | within(core))
+    keep &= may
     return "\n\n".join(blocks[i][1] for i in np.flatnonzero(keep).tolist())
 
 

@@ -35,6 +35,21 @@ def test_small_pages(page, text):
     assert pages.main_text(page) == text
 
 
+LEAD = "The lead of the story, in one sentence, says what follows. "
+
+
+@pytest.mark.parametrize("times", [1, 3, 40])
+@pytest.mark.parametrize("outer", ["article", "main", "div id=content"])
+@pytest.mark.parametrize("inner", ["<div class=body><p>{}</p></div>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>",
+                                   "<table><tr><td>{}</td></tr></table>"])
+def test_lead_stays_beside_a_long_body(outer, inner, times):
+    long = inner.format("</p><p>".join([LONG * times] * 2) if "<p>" in inner else LONG * times)
+    page = f"""<body><nav><a>Menu</a></nav><{outer}><h1>The title</h1><div class=lead>{LEAD}</div>{long}</{outer.split()[0]}>
+      <footer>Copyright</footer>"""
+    text = pages.main_text(page)
+    assert text.startswith(f"The title\n\n{LEAD.strip()}\n\n{LONG.strip()}") and "Menu" not in text and "Copyright" not in text
+
+
 def test_page_table(spark):
     rows = [(1, "u", f"<article><h1>H</h1><p>{LONG}</p></article>", 5), (2, None, None, 5), (None, "v", "", 5), (1, "u", "x", 5)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
