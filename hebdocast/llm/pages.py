@@ -5,7 +5,9 @@ path the text lengths and the punctuation of all of its blocks are added up and
 of blocks, link text counted out. The two ratios, each as a share of the page's largest, are fused,
 smoothed along the page with a Gaussian and held against a threshold of the page's spread. Paths
 inside elements that can't be the article (menus, forms, adverts and the like, by element, role, class
-or id) have no part in it. The deepest element with all of the selected text
+or id) have no part in it; a class or id doesn't count against an element that holds ``main`` or, if its
+name isn't of adverts, comments, related pages or consent, most of the page's text, and classes of states
+(``has-sidebar``, ``comments-open``) don't count at all. The deepest element with all of the selected text
 is the article, or the ``article`` or ``main`` around it; all of its blocks outside such elements are its
 text, so short paragraphs and headings stay. If that element is the whole body, what is selected
 stays, with headings and gaps between and all of the deepest element with nearly all of the selected text.
@@ -51,6 +53,11 @@ NAMES = re.compile(
     r"|headers?|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|alerts?|pager|pagination|popup|promos?"
     r"|promoted|promotion|related|recommended|replies|responses|shar(?:e|ing)|side-?bar|sidebars?|signup|login|skip"
     r"|social|sponsor\w*|subscribe|subscription|toolbar|widgets?)(?:$|[^a-z])")
+HEADERS = re.compile(r"(?:^|[^a-z])(?:headers?|masthead)(?=$|[^a-z])")
+STATES = re.compile(r"(?:has|with|without|no|category|tag)[-_].*|.*[-_](?:open|closed)")
+# Names that stand whatever share of the text their elements hold.
+APART = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|comments?|commentlist|cookies?|consent|disqus|gdpr|related|recommended|replies"
+                   r"|responses)(?:$|[^a-z])")
 # Parts of an article, never the whole of it.
 PARTS = frozenset("""p h1 h2 h3 h4 h5 h6 li blockquote ul ol menu dl dt dd table caption tbody thead tfoot tr td th pre
     section figure figcaption details summary""".split())
@@ -102,8 +109,32 @@ def _outside(tag: str, attrs: str, up: Element | None) -> tuple[bool, bool, bool
     style = values.get("style", "").replace(" ", "").lower()
     barred = (tag in OUTSIDE or tag == "header" and not inside or values.get("role", "").lower() in ROLES
               or "hidden" in values or "display:none" in style or "visibility:hidden" in style)
-    names = label
-    return barred, tag not in HEADINGS and bool(NAMES.search(names)), False, step
+    names = [x for x in classes.split() if not STATES.fullmatch(x)] + own.split()
+    if inside:  # the header of an article is part of it
+        names = [HEADERS.sub(" ", x) for x in names]
+    if tag == "article":  # only whole names count
+        names = [x for x in names if NAMES.fullmatch(x)]
+    names = " ".join(names)
+    return barred, tag not in HEADINGS and bool(NAMES.search(names)), bool(APART.search(names)), step
+
+
+def _overruled(blocks: list[tuple[Element, str, int]]) -> None:
+    """A name doesn't count against an element that holds most of the text of the page, unless an
+    article or main stands beside it."""
+    size, total, free = {}, 0, set()
+    for e, text, link in blocks:
+        chain = list(e.chain)
+        if not any(x.barred or x.named and x.apart for x in chain):
+            own = max(0, len(text) - text.count(" ") - link)
+            total += own
+            for x in chain:
+                if x.named:
+                    size[x] = size.get(x, 0) + own
+            if not any(x.named for x in chain):
+                free.update(x for x in chain if x.tag in ("article", "main"))
+    for e, own in size.items():
+        if 2 * own > total and free <= set(e.chain):
+            e.named = False
 
 
 def blocks_of(page: str) -> list[tuple[Element, str, int]]:
@@ -185,9 +216,13 @@ def blocks_of(page: str) -> list[tuple[Element, str, int]]:
                     break
                 above = above.up
         barred, named, apart, step = _outside(tag, m["attrs"], top)
+        if tag == "main":
+            for e in top.chain:
+                e.named = False
         top = Element(tag, top, step, barred, named, apart)
         flush(top)
     flush(root)
+    _overruled(out)
     return out
 
 

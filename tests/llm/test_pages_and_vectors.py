@@ -50,6 +50,23 @@ def test_lead_stays_beside_a_long_body(outer, inner, times):
     assert text.startswith(f"The title\n\n{LEAD.strip()}\n\n{LONG.strip()}") and "Menu" not in text and "Copyright" not in text
 
 
+@pytest.mark.parametrize("tag", ["article class='post comments-open'", "div id=content class='has-sidebar'", "article class='category-social'",
+                                 "div class='page-header-layout'", "div class='with-widgets tag-promo'"])
+def test_names_of_containers_do_not_hide_the_article(tag):
+    inner = f"<header class='entry-header'><h1>The title</h1></header><p>{LONG * 3}</p><p>{LONG * 2}</p>"
+    comments = f"<section class='comments-area'><p>{LONG}</p></section>"
+    page = f"<body><div class='sidebar'>{LEAD}</div><{tag}><article>{inner}</article></{tag.split()[0]}>{comments}"
+    want = "\n\n".join(["The title", (LONG * 3).strip(), (LONG * 2).strip()])
+    assert pages.main_text(page) == want
+    if tag.startswith("article"):
+        assert pages.main_text(f"<body><{tag}>{inner}</article>{comments}") == want
+
+
+def test_comments_and_adverts_stay_outside_however_long():
+    rest = f"<section class='comments-area'><article class='comment-body'><p>{LONG * 9}</p></article></section><div class='ad'>{LONG * 9}</div>"
+    assert pages.main_text(f"<body><div id=story><h1>Title</h1><p>{LONG}</p></div>{rest}") == f"Title\n\n{LONG.strip()}"
+
+
 def test_page_table(spark):
     rows = [(1, "u", f"<article><h1>H</h1><p>{LONG}</p></article>", 5), (2, None, None, 5), (None, "v", "", 5), (1, "u", "x", 5)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
