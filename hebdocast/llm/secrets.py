@@ -7,7 +7,8 @@ signs around it. The dictionary holds the most frequent words of all documents;
 with MLlib from labelled findings. A table of such findings may be given; without one, findings with
 known labels are written into the words of a bounded sample of documents: keys of public formats in
 the places where keys stand, and look-alikes (digests, commits, UUIDs, addresses, numbers,
-identifiers, placeholders) in theirs.
+identifiers, placeholders, words written together, code) in theirs. A value runs to its delimiter (white
+space, quote, comma or semicolon), however long it is.
 
 Scale: the dictionary is one aggregate, merged in the tasks first; its ``WORDS`` entries of at most 12
 letters and the forest's nodes are all that the tasks are handed. Scanning and redacting are one pass
@@ -42,7 +43,7 @@ PUBLIC_NAMES = ("sha", "sha1", "sha256", "md5", "commit", "checksum", "digest",
                 "id", "version", "isbn", "build")
 PLACEHOLDERS = ("example", "changeme", "your_", "xxxx", "dummy", "sample", "placeholder", "test", "${", "<", "****")
 RUN = re.compile(rb"[A-Za-z0-9+/_\-]{16,}(?:\.[A-Za-z0-9+/_\-]{16,})*={0,2}")
-VALUE = re.compile(rb"(?:%s)[\w\-]{0,20}[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;]{8,200})" %
+VALUE = re.compile(rb"(?:%s)[\w\-]{0,20}[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;]{8,})" %
                    b"|".join(re.escape(n.encode()) for n in SECRET_NAMES), re.I)
 DICTIONARY_WORD = re.compile(rb"[a-z]{3,12}")
 
@@ -84,7 +85,7 @@ def dictionary(docs: DataFrame, text_col: str, size: int = WORDS) -> list[str]:
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
     """Byte spans that may hold a secret, in order, without overlaps."""
-    spans = [m.span() for m in RUN.finditer(text) if not text[m.start():m.end()].isalpha()]
+    spans = [m.span() for m in RUN.finditer(text)]
     spans += [m.span(1) for m in VALUE.finditer(text)]
     spans.sort(key=lambda s: (s[0] - s[1], s[0]))
     kept: list[tuple[int, int]] = []
@@ -103,7 +104,7 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
 
 def coverage(text: str, words: set[str]) -> float:
     """Share of the characters that a greedy cover by dictionary words reaches."""
-    text, at, hit = text.lower()[:400], 0, 0
+    text, at, hit = text.lower(), 0, 0
     while at < len(text):
         size = next((k for k in range(min(12, len(text) - at), 2, -1) if text[at:at + k] in words), 0)
         hit += size
@@ -167,6 +168,23 @@ def examples(text: str, seed: int) -> list[tuple[str, int, int, float]]:
         (f"{some(6)} ", rnd.choice(words).lower() + pick("0123456789", 14), f"@{some(1)}.example.com {some(3)}", 0.0),
         (f"{some(4)} https://{rnd.choice(words).lower()}.example.com/", joined() + pick("0123456789", 4), f" {some(4)}", 0.0),
     ]
+    # long values of names, and runs of letters only: keys, and words written together
+    case = letters + letters.upper()
+    word = lambda: rnd.choice(words)
+    glued = lambda: "".join(word().lower() for _ in range(rnd.randint(3, 8)))
+    camel = lambda: "".join(word().capitalize() for _ in range(rnd.randint(3, 8)))
+    long = lambda: "".join(rnd.choice(("%2B", "%2F", "%3D", "&", "~", "")) + pick(alnum, rnd.randint(4, 24))
+                           for _ in range(rnd.randint(12, 60)))
+    code = lambda: "".join(word() + rnd.choice(("(", ").", "[", "].", "&&", "=", "=>{", "}")) for _ in range(rnd.randint(3, 60)))
+    rows += [
+        (f"{some(6)} {name}{sign}{quote}", long(), f"{quote} {some(5)}", 1.0),
+        (f"{some(6)} {name}{sign}{quote}", pick(case, rnd.randint(20, 64)), f"{quote} {some(5)}", 1.0),
+        (f"{some(8)} ", pick(rnd.choice((case, letters, letters.upper())), rnd.randint(24, 64)), f" {some(5)}", 1.0),
+        (f"{some(8)} ", rnd.choice((glued, camel))(), f" {some(5)}", 0.0),
+        (f"{some(8)} ", rnd.choice((word().lower(), word())) * rnd.randint(2, 12), f" {some(5)}", 0.0),
+        (f"{some(8)} ", rnd.choice(case) * rnd.randint(16, 400), f" {some(5)}", 0.0),
+        (f"{some(6)} {name}{sign}", rnd.choice((glued, camel, code))(), f" {some(5)}", 0.0),
+    ]
     return [(a + v + b, len((a).encode()), len((a + v).encode()), y) for a, v, b, y in rows if len(v.encode()) >= 8]
 
 

@@ -236,6 +236,25 @@ def test_given_findings_train_the_forest(spark):
     assert [r.doc_id for r in secrets.secret_findings(docs, findings, path_col=None).collect()] == [1]
 
 
+def test_long_and_letters_only_secrets_are_replaced_whole(spark):
+    rnd = random.Random(5)
+    pick = lambda n, chars="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789": "".join(rnd.choice(chars) for _ in range(n))
+    long = "%2B".join(pick(12) for _ in range(40))
+    letters = pick(40, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+    rows = [(i, prose(rnd), "src") for i in range(200)]
+    rows += [(500, f'{prose(rnd, 20)} bearer_token = "{long}" {prose(rnd, 20)}', "src"),
+             (501, f"{prose(rnd, 20)} {letters} {prose(rnd, 20)}", "src")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    text = dict((i, t) for i, t, _ in rows)
+    want = text | {500: text[500].replace(long, "[secret]"), 501: text[501].replace(letters, "[secret]")}
+    assert out == want
+
+
+def test_coverage_takes_the_whole_candidate():
+    assert secrets.coverage("word" * 100 + "q7" * 200, {"word"}) == 0.5
+
+
 # --- all of them -----------------------------------------------------------------------------
 def test_empty_tables(empty):
     assert quality.quality(empty).collect() == []
