@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, near_dup, packing, pages, quality, secrets, substring, token_counts, token_file,
-               top_k)
+from . import (bpe, licenses, near_dup, packing, pages, quality, secrets, source_audit, substring, token_counts,
+               token_file, top_k, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,24 @@ def op7_impact_ordered_top_k(spark, sf_dir):
 
 
 ORACLE["op7_impact_ordered_top_k"] = top_k.ORACLE
+
+
+@query
+def op11_norm_of_sum_codes(spark, sf_dir):
+    return vector_codes.digest(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096)
+
+
+ORACLE["op11_norm_of_sum_codes"] = vector_codes.oracle()
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return source_audit.divergence(table(spark, sf_dir, "documents"), min_docs=30, smooth=5, top=50)
+
+
+ORACLE["op13_source_divergence"] = source_audit.ORACLE
+
+
+@query
+def op12_license_scan(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
