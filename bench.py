@@ -72,7 +72,7 @@ def main() -> None:
     g = Flow.from_tables(spark, fit_dir if os.path.isdir(fit_dir) else sf_dir, FIXTURE_PARAMS)
     g.keep("weekly_ext", "featured_full")
     run("hv_fit_validate_forecast_60k", lambda: g.hv_forecast)
-    run("model_comparison_60k", lambda: scoring.score_high_volume(g.hv_validation))
+    run("score_high_volume_60k", lambda: scoring.score_high_volume(g.hv_validation))
     g.close()
     total = round(time.perf_counter() - t0, 3)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")

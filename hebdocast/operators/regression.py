@@ -1,21 +1,20 @@
-"""High-volume tier: seasonal-naive baseline and global boosted trees (MLlib).
+"""High-volume tier: seasonal-naive baseline and global boosted trees (see ``boosting``).
 
 Everything before the fit is DataFrame work on the ProductID clustering of the
 featured panel. The recursive 12-week forecast keeps one row per product as
-state (history array + predictions array); each step derives the lag/rolling
-inputs from the array with higher-order functions, scores with the fitted
-model and appends the clipped prediction. The state carries nothing but the
-model's inputs, and every step is cut with a reliable checkpoint.
+state (its last inputs and a history array) and does all its steps in one pass:
+each step derives the lag and rolling inputs from the history, scores with the fitted
+model and appends the clipped prediction.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as _dt
-import time
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +22,7 @@ from ..config import (CATEGORICAL_MODE_COLUMNS, GBT, GBT_DEEP, HIGH_VOLUME, MODE
                       SEASONAL_NAIVE, Params)
 from ..functions.columns import week_of_month
 from ..functions.quantiles import rank_within_key
-from ..session import cut_lineage
+from . import boosting
 from .features import lag_name
 from .leakage import TARGET_MEAN, model_input_columns
 
@@ -92,95 +91,54 @@ def seasonal_naive_valid(valid: DataFrame) -> DataFrame:
                         F.lit(SEASONAL_NAIVE).alias("model"), pred.alias("y_pred"))
 
 
-# --- model matrix -----------------------------------------------------------------
+# --- boosted trees -----------------------------------------------------------------
 def numeric_inputs(params: Params) -> list[str]:
-    """Numeric model inputs (categoricals enter as codes / product encoding)."""
-    return [c for c in model_input_columns(params) if c not in CATEGORICAL_MODE_COLUMNS]
+    """Numeric model inputs (the product enters as its mean over earlier weeks)."""
+    return [c for c in model_input_columns(params) if c not in CATEGORICAL_MODE_COLUMNS] + [TARGET_MEAN]
 
 
-def nullable_inputs(params: Params) -> list[str]:
-    """Numeric inputs that are unknown in a product's first weeks."""
-    return [c for c in numeric_inputs(params) + [TARGET_MEAN]
-            if c.startswith("Sales_Qty_") or c.endswith("_prev") or c in ("unit_price", TARGET_MEAN)]
+def feature_names(params: Params) -> list[str]:
+    return numeric_inputs(params) + list(CATEGORICAL_MODE_COLUMNS)
 
 
 def category_sizes(dictionary: DataFrame) -> dict[str, int]:
-    """Number of values of each categorical input (one row per column)."""
-    rows = dictionary.groupBy("column_name").agg(F.count(F.lit(1)).alias("n")).collect()
-    found = {r["column_name"]: r["n"] for r in rows}
+    """Number of codes of each categorical input (one row per column)."""
+    rows = dictionary.groupBy("column_name").agg(F.max("code").alias("last")).collect()
+    found = {r["column_name"]: r["last"] + 1 for r in rows}
     return {c: found.get(c, 0) for c in CATEGORICAL_MODE_COLUMNS}
 
 
-def model_matrix(df: DataFrame, params: Params, sizes: dict[str, int]) -> DataFrame:
-    """Adds ``features``: numeric inputs (0 where unknown, with an indicator beside it) and the
-    categories as nominal attributes, the missing or unknown value as a category of its own."""
-    numeric = numeric_inputs(params) + [TARGET_MEAN]
-    cols = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"_x_{c}") for c in numeric]
-    cols += [F.col(c).isNull().cast("double").alias(f"_x_{c}_missing") for c in nullable_inputs(params)]
-    for c in CATEGORICAL_MODE_COLUMNS:
-        nominal = {"ml_attr": {"type": "nominal", "name": c, "num_vals": sizes[c] + 1}}
-        cols.append(F.coalesce(F.col(f"{c}_code").cast("double"), F.lit(float(sizes[c])))
-                    .alias(f"_x_{c}", metadata=nominal))
-    va = VectorAssembler(inputCols=[f"_x_{c}" for c in feature_names(params)], outputCol="features")
-    return va.transform(df.select("*", *cols)).drop(*[f"_x_{c}" for c in feature_names(params)])
+def binning(train: DataFrame, params: Params, sizes: dict[str, int]) -> boosting.Binning:
+    """Bins of the model inputs, cut on the training weeks."""
+    return boosting.fit_binning(train, numeric_inputs(params), sizes, params.gbt_max_bins)
 
 
-def feature_names(params: Params) -> list[str]:
-    return (numeric_inputs(params) + [TARGET_MEAN] + [f"{c}_missing" for c in nullable_inputs(params)]
-            + list(CATEGORICAL_MODE_COLUMNS))
-
-
-def gbt(params: Params, depth: int, rounds: int, sizes: dict[str, int]) -> GBTRegressor:
-    bins = max(params.gbt_max_bins, 1 + max(sizes.values()))  # a nominal input needs a bin per value
-    return GBTRegressor(featuresCol="features", labelCol="Sales_Qty", predictionCol="prediction",
-                        maxDepth=depth, stepSize=params.gbt_step, maxIter=rounds,
-                        minInstancesPerNode=params.gbt_min_instances, maxBins=bins,
-                        seed=params.gbt_seed, lossType="squared")
-
-
-def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
-    """Round of the smallest loss before ``patience`` rounds passed without a better one, and whether
-    that stop was reached."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_with_early_stopping(train_m: DataFrame, params: Params, depth: int, cut, sizes: dict[str, int]):
-    """Number of rounds from the last ``horizon`` training weeks, then a fit on all training weeks.
-
-    The ensemble grows (doubling its rounds) on the earlier training weeks until ``gbt_patience``
-    rounds in a row bring no better loss on the held-back ones, or to ``gbt_max_iter`` rounds. The
-    scoring fold takes no part. Returns (model, rounds, seconds, held-back loss of every round)."""
-    es_start = cut.train_end - _dt.timedelta(days=7 * (params.horizon - 1))
-    early = train_m.where(F.col("WeekStart") < F.lit(es_start))
-    held = train_m.where(F.col("WeekStart") >= F.lit(es_start))
-    t = time.perf_counter()
-    grown = min(params.gbt_first_rounds, params.gbt_max_iter)
-    while True:
-        losses = gbt(params, depth, grown, sizes).fit(early).evaluateEachIteration(held, "squared")
-        rounds, stopped = best_round(losses, params.gbt_patience)
-        if stopped or grown >= params.gbt_max_iter:
-            break
-        grown = min(2 * grown, params.gbt_max_iter)
-    model = gbt(params, depth, rounds, sizes).fit(train_m)
-    return model, rounds, time.perf_counter() - t, losses
-
-
-def refit(full_m: DataFrame, params: Params, depth: int, rounds: int, sizes: dict[str, int]):
-    t = time.perf_counter()
-    model = gbt(params, depth, rounds, sizes).fit(full_m)
-    return model, time.perf_counter() - t
-
-
-def predict_valid(model, valid_m: DataFrame, name: str) -> DataFrame:
-    return (model.transform(valid_m)
-            .select("ProductID", "WeekStart", F.col("Sales_Qty").alias("y_true"),
-                    F.lit(name).alias("model"), F.col("prediction").alias("y_pred")))
+def hv_rules(params: Params) -> dict[str, boosting.Rules]:
+    """The two models: best-first trees of many leaves, and trees grown by level."""
+    shared = dict(step=params.gbt_step, rounds=params.gbt_max_iter, min_rows=params.gbt_min_instances, patience=params.gbt_patience)
+    return {GBT: boosting.Rules(leaves=params.gbt_leaves, **shared),
+            GBT_DEEP: boosting.Rules(depth=params.gbt_deep_depth, l2=params.gbt_deep_l2, **shared)}
+
+
+def early_stopped(params: Params, cut) -> list[boosting.Ensemble]:
+    """Ensembles that fit the training weeks but the last ``horizon`` ones, on which their loss is measured. The
+    scoring fold takes no part."""
+    first, last = boosting.day(_dt.date(1900, 1, 1)), boosting.day(cut.train_end)
+    held = last - 7 * (params.horizon - 1)
+    return [boosting.Ensemble(name, rules, (first, held - 1), (held, last)) for name, rules in hv_rules(params).items()]
+
+
+def with_rounds(early: list[boosting.Ensemble], last_day: _dt.date) -> list[boosting.Ensemble]:
+    """Ensembles of the rounds that early stopping found best, to be fitted on all weeks up to a day."""
+    first = boosting.day(_dt.date(1900, 1, 1))
+    return [boosting.Ensemble(e.name, dataclasses.replace(e.rules, rounds=e.best()[0] if e.losses else 0, patience=None),
+                              (first, boosting.day(last_day))) for e in early]
+
+
+def predict_valid(matrix: DataFrame, ensemble: boosting.Ensemble, cut, features: int) -> DataFrame:
+    days = boosting.day(cut.valid_start), boosting.day(cut.valid_end)
+    return boosting.predictions(matrix, ensemble, days, features).select(
+        "ProductID", "WeekStart", "y_true", F.lit(ensemble.name).alias("model"), "y_pred")
 
 
 # --- recursion state ----------------------------------------------------------
@@ -246,28 +204,57 @@ def step_features(state: DataFrame, week: _dt.date, hol_weeks: list[_dt.date],
     return state.withColumns(cols)
 
 
-def recursive_forecast(model, state: DataFrame, params: Params, origin: _dt.date,
-                       hol_weeks: list[_dt.date], name: str, sizes: dict[str, int],
-                       steps: int | None = None) -> DataFrame:
-    """Predict, clip at 0, append to history, repeat ``horizon`` times. The
-    predictions ride in an array column, so the chain is linear (no step is
-    recomputed) and the output is one ``posexplode`` at the end. The state is one
-    row per product; each step is checkpointed, so plans and lineage stay short."""
-    kept = [c for c in dict.fromkeys([*numeric_inputs(params), TARGET_MEAN,
-                                      *[f"{c}_code" for c in CATEGORICAL_MODE_COLUMNS]]) if c in state.columns]
-    window = state_window(params)
-    st = cut_lineage(state.select("ProductID", "history", *kept, F.array().cast("array<double>").alias("_preds")))
-    for step in range(steps or params.horizon):
-        week = origin + _dt.timedelta(days=7 * step)
-        x = model_matrix(step_features(st, week, hol_weeks, params), params, sizes)
-        p = F.greatest(F.col("prediction"), F.lit(0.0))
-        st = cut_lineage(model.transform(x).select(
-            "ProductID", F.concat(F.slice("history", 2, window - 1), F.array(p)).alias("history"), *kept,
-            F.concat("_preds", F.array(p)).alias("_preds")))
-    return st.select("ProductID", F.posexplode("_preds").alias("_i", "predicted_Sales_Qty")).select(
+def step_inputs(history: np.ndarray, last: dict[str, np.ndarray], week: _dt.date, holiday: bool,
+                params: Params) -> dict[str, np.ndarray]:
+    """As :func:`step_features`, over arrays: ``history`` is products x weeks (NaN: unknown)."""
+    n = len(history)
+    out = dict(last)
+    for k in params.lags:
+        out[lag_name(k)] = history[:, -k]
+    for w in params.windows:
+        part = history[:, -w:]
+        known = ~np.isnan(part)
+        count = known.sum(1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            mean = np.where(known, part, 0.0).sum(1) / count
+            ss = np.where(known, (part - mean[:, None]) ** 2, 0.0).sum(1)
+            out[f"Sales_Qty_rollmean_{w}"] = np.where(count > 0, mean, np.nan)
+            out[f"Sales_Qty_rollstd_{w}"] = np.where(count >= 2, np.sqrt(ss / (count - 1)), np.nan)
+    calendar = {"month": week.month, "week_of_month": (week.day - 1) // 7 + 1, "quarter": (week.month + 2) // 3,
+                "week_of_year": week.isocalendar()[1], "is_year_end": int(week.month in (11, 12)), "is_lk_holiday_week": int(holiday)}
+    return out | {c: np.full(n, float(v)) for c, v in calendar.items()}
+
+
+def recursive_forecast(ensemble: boosting.Ensemble, bins: boosting.Binning, state: DataFrame, params: Params,
+                       origin: _dt.date, hol_weeks: list[_dt.date], steps: int | None = None) -> DataFrame:
+    """Predict, clip at 0, append to history, repeat: all steps of a product in one pass over the state
+    table, on arrays of many products, with the trees as flat arrays in the task."""
+    window, steps = state_window(params), steps or params.horizon
+    weeks = [origin + _dt.timedelta(days=7 * k) for k in range(steps)]
+    holidays = set(hol_weeks)
+    inputs = [F.col(f"`{c}`").cast("double").alias(f"x{i}") if c in state.columns else F.lit(None).cast("double").alias(f"x{i}")
+              for i, c in enumerate([*bins.numeric, *[f"{c}_code" for c in bins.nominal]])]
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            history = batch.column("history").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, window)
+            last = {c: batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(np.float64) for i, c in enumerate(bins.names)}
+            out = np.empty((n, steps))
+            for k, week in enumerate(weeks):
+                x = step_inputs(history, last, week, week in holidays, params)
+                out[:, k] = np.maximum(ensemble.predict(bins.apply([x[c] for c in bins.names])), 0.0)
+                history = np.concatenate([history[:, 1:], out[:, k:k + 1]], 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * steps, pa.int32()), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("ProductID"), lists], names=["ProductID", "preds"])
+
+    rows = state.select(F.col("ProductID").cast("string"), "history", *inputs).mapInArrow(run, "ProductID string, preds array<double>")
+    return rows.select("ProductID", F.posexplode("preds").alias("_i", "predicted_Sales_Qty")).select(
         "ProductID", (F.col("_i") + 1).cast("long").alias("forecast_week"),
         F.date_add(F.lit(origin), (F.col("_i") * 7).cast("int")).alias("WeekStart"),
-        "predicted_Sales_Qty", F.lit(name).alias("model"))
+        "predicted_Sales_Qty", F.lit(ensemble.name).alias("model"))
 
 
 def seasonal_naive_forecast(state: DataFrame, origin: _dt.date, horizon: int) -> DataFrame:
@@ -295,34 +282,3 @@ def forecast_violations(fc: DataFrame, ids: DataFrame, horizon: int,
     neg = (fc.where(F.col("predicted_Sales_Qty") < 0)
            .select("ProductID", "model", F.lit("negative").alias("violation")))
     return per.unionByName(neg)
-
-
-def hv_models(params: Params) -> dict[str, int]:
-    return {GBT: params.gbt_depth, GBT_DEEP: params.gbt_deep_depth}
-
-
-def permutation_importance(model, valid_m: DataFrame, params: Params, seed: int = 42) -> DataFrame:
-    """Increase of validation RMSE when one input is permuted, per input.
-
-    Rows are ranked by a random key (a range-partitioned sort, no row order in one task) and every row
-    takes the inputs of the row ranked after it, the last those of the first: one random cyclic
-    permutation of all rows. Each row is then scored once as it is and once per input with that input
-    exchanged, in one pass."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    names = feature_names(params)
-    x = cut_lineage(valid_m.select("Sales_Qty", vector_to_array("features").alias("x"), F.rand(seed).alias("r")))
-    ranked = rank_within_key(x.select(F.lit("all").alias("k"), "r"), "k", "r")
-    n = x.count()
-    place = ranked.select(F.col("r"), F.col("rank").alias("at"))
-    placed = cut_lineage(x.join(place, "r"))
-    donors = placed.select(((F.col("at") + n - 1) % n).alias("at"), F.col("x").alias("d"))
-    both = placed.join(donors, "at")
-    i = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("i")
-    swapped = F.zip_with("x", F.transform("d", lambda v, j: F.struct(v.alias("v"), j.alias("j"))),
-                         lambda a, b: F.when(b["j"] == F.col("i"), b["v"]).otherwise(a))
-    rows = both.select("Sales_Qty", "x", "d", i).select("Sales_Qty", "i", array_to_vector(swapped).alias("features"))
-    err = (model.transform(rows).groupBy("i")
-           .agg(F.sqrt(F.avg(F.pow(F.col("Sales_Qty") - F.col("prediction"), 2))).alias("rmse")).collect())
-    found = {r["i"]: r["rmse"] for r in err}  # one row per input
-    out = [(c, float(found[k] - found[-1])) for k, c in enumerate(names)] if found else []
-    return valid_m.sparkSession.createDataFrame(out, "feature string, permutation_rmse_increase double")

@@ -224,66 +224,131 @@ class Flow:
         # calendar-sized (holidays x years): a bounded list
         return [r["WeekStart"] for r in self.holiday_weeks.collect()]
 
+    # Boosted trees. Each piece is computed when it is first asked for: validation needs the early-stopped
+    # and the training fit, the forecast the early-stopped fit and the one on the full history.
     @cached_property
-    def hv_fits(self) -> dict:
-        """Fits both boosted-tree models: early stopping inside training weeks,
-        validation predictions, refit on the full history, recursive forecast.
-        Returns per-model results and timings (eager: this is model training)."""
-        return self._fit_models()
+    def hv_binning(self):
+        from ..operators import regression
+        train, _ = regression.split(self.hv_encoded, self.cutoffs)
+        return regression.binning(train, self.params, regression.category_sizes(self.cat_dictionary))
+
+    @cached_property
+    def hv_matrix(self) -> DataFrame:
+        """The stored matrix of bins that all fits and scores of the trees read."""
+        from ..operators import boosting
+        return boosting.matrix(self.hv_encoded, self.hv_binning)
 
-    def _fit_models(self) -> dict:
+    def _grown(self, ensembles: list, label: str) -> None:
         import time
 
+        from ..operators import boosting
+        matrix, bins = self.hv_matrix, self.hv_binning
+        t = time.perf_counter()
+        boosting.grow(matrix, bins, ensembles)
+        self.hv_seconds[label] = (time.perf_counter() - t) / max(len(ensembles), 1)
+
+    @cached_property
+    def hv_seconds(self) -> dict:
+        """Seconds of each kind of fit, an equal share for each of the models that grow in lockstep."""
+        return {}
+
+    @cached_property
+    def hv_early(self) -> dict:
+        """Both models on the earlier training weeks, with the held-back loss of every round."""
         from ..operators import regression
-        from ..session import cut_lineage
-        p, cut = self.params, self.cutoffs
-        sizes = regression.category_sizes(self.cat_dictionary)
-        # tree training scans the matrix once per level: only what the fit reads, lineage cut first
-        matrix = cut_lineage(regression.model_matrix(self.hv_encoded, p, sizes)
-                             .select("ProductID", "WeekStart", "Sales_Qty", "features"))
-        train_m, valid_m = regression.split(matrix, cut)
-        # states at the end of training and of the history, for the recursive score and the forecast
-        train_state = regression.apply_dictionary(
-            regression.recursive_state(self.hv, cut.train_end, regression.state_window(p)),
-            self.cat_dictionary, CATEGORICAL_MODE_COLUMNS)
-        actual = valid_m.select("ProductID", "WeekStart", F.col("Sales_Qty").alias("y_true"))
-        out = {}
-        for name, depth in regression.hv_models(p).items():
-            model, rounds, secs, losses = regression.fit_with_early_stopping(train_m, p, depth, cut, sizes)
-            vpred = cut_lineage(regression.predict_valid(model, valid_m, name))
-            vrec = regression.recursive_forecast(model, train_state, p, cut.valid_start,
-                                                 self.holiday_week_list, name, sizes)
-            vrec = actual.join(vrec, ["ProductID", "WeekStart"]).select(
-                "ProductID", "WeekStart", "y_true", F.lit(f"{name}_recursive").alias("model"),
-                F.col("predicted_Sales_Qty").alias("y_pred"))
-            final, fsecs = regression.refit(matrix, p, depth, rounds, sizes)
-            t = time.perf_counter()
-            fc = cut_lineage(regression.recursive_forecast(
-                final, self.hv_state_encoded, p, cut.origin, self.holiday_week_list, name, sizes))
-            isecs = time.perf_counter() - t
-            out[name] = dict(model=model, final=final, rounds=rounds, train_seconds=secs, losses=losses,
-                             final_train_seconds=fsecs, inference_seconds=isecs,
-                             valid=vpred, valid_recursive=vrec, forecast=fc, valid_m=valid_m)
-        return out
+        early = regression.early_stopped(self.params, self.cutoffs)
+        self._grown(early, "early")
+        return {e.name: e for e in early}
+
+    @cached_property
+    def hv_final(self) -> dict:
+        """Both models with the rounds that early stopping found, on all training weeks and on the full history;
+        the four grow side by side."""
+        from ..operators import regression
+        early, cut = list(self.hv_early.values()), self.cutoffs
+        trained, full = (regression.with_rounds(early, d) for d in (cut.train_end, cut.valid_end))
+        self._grown([*trained, *full], "final")
+        return {"trained": {e.name: e for e in trained}, "full": {e.name: e for e in full}}
+
+    @property
+    def hv_trained(self) -> dict:
+        return self.hv_final["trained"]
+
+    @property
+    def hv_refitted(self) -> dict:
+        return self.hv_final["full"]
+
+    @property
+    def hv_model_names(self) -> list[str]:
+        from ..operators import regression
+        return list(regression.hv_rules(self.params))
+
+    def hv_tree_valid(self, name: str) -> DataFrame:
+        """One-step predictions of the validation fold."""
+        from ..operators import regression
+        return regression.predict_valid(self.hv_matrix, self.hv_trained[name], self.cutoffs, len(self.hv_binning.names))
+
+    @cached_property
+    def hv_train_state_encoded(self) -> DataFrame:
+        """The recursion's state at the end of training."""
+        from ..operators import regression
+        state = regression.recursive_state(self.hv, self.cutoffs.train_end, regression.state_window(self.params))
+        return regression.apply_dictionary(state, self.cat_dictionary, CATEGORICAL_MODE_COLUMNS)
+
+    def hv_tree_valid_recursive(self, name: str) -> DataFrame:
+        """Recursive predictions of the validation fold from the end of training."""
+        from ..operators import regression
+        fc = regression.recursive_forecast(self.hv_trained[name], self.hv_binning, self.hv_train_state_encoded, self.params,
+                                           self.cutoffs.valid_start, self.holiday_week_list)
+        _, valid = regression.split(self.hv, self.cutoffs)
+        return valid.select("ProductID", "WeekStart", F.col("Sales_Qty").alias("y_true")).join(fc, ["ProductID", "WeekStart"]).select(
+            "ProductID", "WeekStart", "y_true", F.lit(f"{name}_recursive").alias("model"), F.col("predicted_Sales_Qty").alias("y_pred"))
+
+    def hv_tree_forecast(self, name: str) -> DataFrame:
+        from ..operators import regression
+        return regression.recursive_forecast(self.hv_refitted[name], self.hv_binning, self.hv_state_encoded, self.params,
+                                             self.cutoffs.origin, self.holiday_week_list)
+
+    def hv_attributions(self, name: str) -> DataFrame:
+        """Additive attribution of every one-step prediction of the validation fold."""
+        from ..operators import attribution, boosting
+        days = boosting.day(self.cutoffs.valid_start), boosting.day(self.cutoffs.valid_end)
+        return attribution.attributions(self.hv_matrix, self.hv_trained[name], days, len(self.hv_binning.names))
+
+    def hv_importance(self, name: str) -> DataFrame:
+        """Gain, permutation and mean absolute attribution of every model input."""
+        from ..operators import attribution, boosting
+        names, model = self.hv_binning.names, self.hv_trained[name]
+        days = boosting.day(self.cutoffs.valid_start), boosting.day(self.cutoffs.valid_end)
+        gain = self.spark.createDataFrame([(name, n, float(v)) for n, v in zip(names, boosting.gain_importance(model, names))],
+                                          "model string, feature string, gain_importance double")
+        permuted = attribution.permutation_errors(self.hv_matrix, model, days, names)
+        values = attribution.mean_absolute(self.hv_attributions(name), names)
+        return gain.join(permuted, "feature", "left").join(values, "feature", "left")
 
     @cached_property
     def hv_validation(self) -> DataFrame:
         """Validation predictions: one-step, and recursive from the end of training."""
         out = self.hv_seasonal_valid
-        for r in self.hv_fits.values():
-            out = out.unionByName(r["valid"]).unionByName(r["valid_recursive"])
+        for name in self.hv_model_names:
+            out = out.unionByName(self.hv_tree_valid(name)).unionByName(self.hv_tree_valid_recursive(name))
         return out
 
     @cached_property
     def hv_forecast(self) -> DataFrame:
         out = self.hv_seasonal_forecast
-        for r in self.hv_fits.values():
-            out = out.unionByName(r["forecast"])
+        for name in self.hv_model_names:
+            out = out.unionByName(self.hv_tree_forecast(name))
         return out
 
     def hv_timings(self) -> DataFrame:
-        rows = [(m, float(r["train_seconds"]), float(r["inference_seconds"]))
-                for n, r in self.hv_fits.items() for m in (n, f"{n}_recursive")]
+        """Seconds of fitting (early stopping and training) and of the 12-week forecast, by model."""
+        self.hv_trained
+        fit = self.hv_seconds["early"] + self.hv_seconds["final"]
+        rows = []
+        for n in self.hv_model_names:
+            secs = self.timed(self.hv_tree_forecast(n))
+            rows += [(m, float(fit), float(secs)) for m in (n, f"{n}_recursive")]
         rows.append((SEASONAL_NAIVE, 0.0, self.timed(self.hv_seasonal_forecast)))
         return self.spark.createDataFrame(
             rows, "model string, train_seconds double, inference_seconds double")

@@ -104,13 +104,13 @@ def hv_seasonal_naive_forecast(spark, sf):
 
 def _gbt_valid(name):
     def fn(spark, sf):
-        return flow(spark, sf).hv_fits[name]["valid"]
+        return flow(spark, sf).hv_tree_valid(name)
     return fn
 
 
 def _gbt_forecast(name):
     def fn(spark, sf):
-        return flow(spark, sf).hv_fits[name]["forecast"]
+        return flow(spark, sf).hv_tree_forecast(name)
     return fn
 
 
@@ -304,24 +304,24 @@ def corr_matrix(spark, sf):
 @register("feature_importance")
 def feature_importance(spark, sf):
     f = flow(spark, sf)
-    names = regression.feature_names(f.params)
-    out = None
-    for model_name, r in f.hv_fits.items():
-        imp = r["model"].featureImportances.toArray()
-        gain = spark.createDataFrame([(model_name, n, float(v)) for n, v in zip(names, imp)],
-                                     "model string, feature string, gain_importance double")
-        perm = regression.permutation_importance(r["model"], r["valid_m"], f.params)
-        part = gain.join(perm, "feature", "left")
-        out = part if out is None else out.unionByName(part)
-    return out
+    gbt, deep = (f.hv_importance(name) for name in f.hv_model_names)
+    return gbt.unionByName(deep)
+
+
+@register("hv_attributions")
+def hv_attributions(spark, sf):
+    """Every one-step validation prediction of the first model as base plus a value for each input."""
+    f = flow(spark, sf)
+    names = F.array(*[F.lit(n) for n in f.hv_binning.names])
+    return f.hv_attributions(f.hv_model_names[0]).select(
+        "ProductID", "WeekStart", "base", "y_pred", F.posexplode("values").alias("_i", "value")).select(
+        "ProductID", "WeekStart", F.element_at(names, F.col("_i") + 1).alias("feature"), "value", "base", "y_pred")
 
 
 @register("loss_curve")
 def loss_curve(spark, sf):
     f = flow(spark, sf)
-    rows = []
-    for model_name, r in f.hv_fits.items():
-        rows += [(model_name, i + 1, float(v) ** 0.5) for i, v in enumerate(r["losses"])]
+    rows = [(name, i + 1, float(v) ** 0.5) for name, e in f.hv_early.items() for i, v in enumerate(e.losses)]
     return spark.createDataFrame(rows, "model string, round long, valid_rmse double")
 
 

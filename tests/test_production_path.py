@@ -12,8 +12,8 @@ from hebdocast.operators import assemble, clean, country, regression, scope, tie
 from hebdocast.plans.flow import Flow
 from hebdocast.plans.run import FULL_STAGES, GuardError, enforce, run, write_stages
 
-FAST = Params(split_product_ids=None, gbt_max_iter=8, gbt_first_rounds=4, gbt_patience=3, gbt_min_instances=5,
-              gbt_depth=3, gbt_deep_depth=4, decomposition_min_weeks=60)
+FAST = Params(split_product_ids=None, gbt_max_iter=8, gbt_patience=3, gbt_min_instances=5,
+              gbt_leaves=8, gbt_deep_depth=4, decomposition_min_weeks=60)
 START = dt.datetime(2021, 1, 4)
 
 
@@ -74,7 +74,7 @@ def test_trees_beat_seasonal_naive_on_a_seasonal_series(spark):
         for i, w in enumerate(weeks(180)):
             rows.append((f"P{p}", w, 100.0 + 10 * p + 40 * math.sin(2 * math.pi * i / 52.18) + (i * 7 + p) % 3))
     weekly_df = make_weekly(spark, rows)
-    flow = Flow(spark, weekly_df, FAST.with_(gbt_max_iter=30, gbt_first_rounds=30, gbt_patience=10, gbt_step=0.3))
+    flow = Flow(spark, weekly_df, FAST.with_(gbt_max_iter=30, gbt_patience=10, gbt_step=0.3))
     flow.__dict__["weekly_ext"] = weekly_df
     scores = {}
     for r in flow.hv_validation.collect():
@@ -83,7 +83,7 @@ def test_trees_beat_seasonal_naive_on_a_seasonal_series(spark):
     rmse = {m: (sum(x * x for x in v) / len(v)) ** 0.5 for m, v in scores.items()}
     for m in ("gbt", "gbt_deep"):
         assert mae[m] < mae["seasonal_naive"] and rmse[m] < rmse["seasonal_naive"]
-        assert len(flow.hv_fits[m]["losses"]) >= flow.hv_fits[m]["rounds"]
+        assert len(flow.hv_early[m].losses) >= len(flow.hv_trained[m].trees) == flow.hv_early[m].best()[0]
     assert flow.hv_forecast.groupBy("ProductID", "model").count().where("count <> 12").count() == 0
 
 
@@ -99,12 +99,6 @@ def test_recursion_of_a_constant_series_stays_constant(spark):
     assert len(got) == 4 * 14 * 3
 
 
-def test_best_round_waits_for_patience():
-    assert regression.best_round([5, 4, 4.5, 4.2, 3.9, 4, 4, 4], 3) == (5, True)
-    assert regression.best_round([5, 4, 4.5, 4.2, 3.9, 4], 3) == (5, False)
-    assert regression.best_round([5, 4, 4.5, 4.2, 4.1, 3.9], 3) == (2, True)
-
-
 def test_seasonal_naive_fallbacks_and_long_horizon(spark):
     h = [None] * 6 + [1.0, 2.0, 3.0, 4.0, 5.0, -6.0]
     st = spark.createDataFrame([("A", h), ("B", [None] * 12)], "ProductID string, history array<double>")
