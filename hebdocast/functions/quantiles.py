@@ -142,3 +142,120 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
             .select(F.col("k").alias(key), "prob",
                     (F.col("v_lo") + (F.col("h") - F.col("lo")) * (F.col("v_hi") - F.col("v_lo")))
                     .alias("quantile")))
+
+
+# --- quantiles of wide tables, by bracketing --------------------------------------------------
+FEW = 50_000  # values of a bracket that the driver may hold
+
+
+def bracketed_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 2_000,
+                        few: int = FEW) -> dict[str, list[float]]:
+    """Exact quantiles (linear interpolation) of many columns; null and NaN don't count, columns without values are left out.
+
+    One wide aggregate of mergeable sketches gives values just below and just above each wanted rank. A pass then counts
+    the rows below, at and between them, which places the rank exactly: at one of those values, or in an open
+    interval of about n/accuracy rows. Intervals of more than ``few`` rows are bracketed again inside;
+    the values of the others are collected. Nothing is exploded, sorted or shuffled but those.
+    """
+    import numpy as np
+    x = df.select(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"x{i}")
+                    for i, c in enumerate(columns)])
+    counts = x.agg(*[F.count(f"x{i}").alias(f"x{i}") for i in range(len(columns))]).first()
+    # a target: column, 0-based rank, open interval that holds it, rows up to its lower end, rows inside
+    ranks = {}
+    for i in range(len(columns)):
+        for p in probs if counts[i] else ():
+            h = p * (counts[i] - 1)
+            ranks[i, p] = (int(np.floor(h)), int(np.ceil(h)), h)
+    targets = {(i, r): (-np.inf, np.inf, 0, counts[i]) for (i, _), (lo, hi, _) in ranks.items() for r in (lo, hi)}
+    values: dict[tuple[int, int], float] = {}
+    while targets:
+        small = {k: t for k, t in targets.items() if t[3] <= few}
+        if small:
+            inside = _values_inside(x, {(i, lo, hi) for (i, _), (lo, hi, _, _) in small.items()})
+            for (i, r), (lo, hi, below, _) in small.items():
+                v, n = inside[i, lo, hi]
+                values[i, r] = float(v[np.searchsorted(np.cumsum(n), r - below, side="right")])
+                del targets[i, r]
+            continue
+        points = _sketched(x, targets, accuracy)
+        found = _cell_counts(x, points)
+        for (i, r), (lo, hi, below, inside) in list(targets.items()):
+            p, n = points[i], found[i]
+            # cells: open interval before point 0, point 0, open interval after it, ...
+            cell = int(np.searchsorted(np.cumsum(n), r, side="right"))
+            if cell % 2:
+                values[i, r] = float(p[cell // 2])
+                del targets[i, r]
+            else:
+                at = cell // 2
+                targets[i, r] = (p[at - 1] if at else -np.inf, p[at] if at < len(p) else np.inf, int(n[:cell].sum()), int(n[cell]))
+    out: dict[str, list[float]] = {}
+    for (i, p), (lo, hi, h) in ranks.items():
+        out.setdefault(columns[i], []).append(values[i, lo] + (h - lo) * (values[i, hi] - values[i, lo]))
+    return out
+
+
+def _sketched(x: DataFrame, targets: dict, accuracy: int) -> dict:
+    """Sorted values near the wanted ranks of each column, from one aggregate of sketches."""
+    import numpy as np
+    wanted: dict[tuple[int, float, float], set[float]] = {}
+    for (i, r), (lo, hi, below, inside) in targets.items():
+        at, room = (r - below + 0.5) / inside, 1.5 / accuracy
+        wanted.setdefault((i, lo, hi), set()).update((max(0.0, at - room), min(1.0, at + room)))
+    aggs = []
+    for k, ((i, lo, hi), shares) in enumerate(wanted.items()):
+        v = F.col(f"x{i}")
+        v = v if lo == -np.inf and hi == np.inf else F.when((v > F.lit(float(lo))) & (v < F.lit(float(hi))), v)
+        aggs.append(F.percentile_approx(v, F.array(*[F.lit(float(s)) for s in sorted(shares)]), accuracy).alias(f"p{k}"))
+    row = x.agg(*aggs).first()
+    points: dict[int, set] = {}
+    for k, (i, lo, hi) in enumerate(wanted):
+        points.setdefault(i, set()).update(row[k])
+    for (i, _), (lo, hi, _, _) in targets.items():  # the intervals' own ends stay points
+        points[i].update(e for e in (lo, hi) if np.isfinite(e))
+    return {i: np.array(sorted(v)) for i, v in points.items()}
+
+
+def _cell_counts(x: DataFrame, points: dict) -> dict:
+    """Rows of each column in the cells of its points: before the first, at it, between it and the next, and so on."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        total = {i: np.zeros(2 * len(p) + 1, np.int64) for i, p in points.items()}
+        for batch in batches:
+            for i, p in points.items():
+                v = batch.column(f"x{i}").drop_null().to_numpy(zero_copy_only=False)
+                cell = np.searchsorted(p, v, side="left") + np.searchsorted(p, v, side="right")
+                total[i] += np.bincount(cell, minlength=2 * len(p) + 1)
+        for i, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), i, np.int32)), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)],
+                                             names=["i", "cell", "n"])
+
+    out = {i: np.zeros(2 * len(p) + 1, np.int64) for i, p in points.items()}
+    for r in x.mapInArrow(run, "i int, cell int, n bigint").groupBy("i", "cell").agg(F.sum("n").alias("n")).collect():
+        out[r["i"]][r["cell"]] = r["n"]
+    return out
+
+
+def _values_inside(x: DataFrame, intervals: set) -> dict:
+    """Distinct values with their counts, ascending, of open intervals (column, low, high) that hold few rows."""
+    import numpy as np
+    import pyarrow as pa
+    order = sorted(intervals)
+
+    def run(batches):
+        for batch in batches:
+            for k, (i, lo, hi) in enumerate(order):
+                v = batch.column(f"x{i}").drop_null().to_numpy(zero_copy_only=False)
+                v, n = np.unique(v[(v > lo) & (v < hi)], return_counts=True)
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k, np.int32)), pa.array(v), pa.array(n)], names=["k", "v", "n"])
+
+    rows = x.mapInArrow(run, "k int, v double, n bigint").groupBy("k", "v").agg(F.sum("n").alias("n")).collect()
+    out = {}
+    for k, key in enumerate(order):
+        mine = sorted((r["v"], r["n"]) for r in rows if r["k"] == k)
+        out[key] = np.array([v for v, _ in mine]), np.array([n for _, n in mine], np.int64)
+    return out

@@ -33,9 +33,6 @@ def _w():
     return Window.partitionBy("ProductID").orderBy("WeekStart")
 
 
-def _running():
-    return _w().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
 PANEL_COLUMNS = (
     "ProductID", "WeekStart", "Sales_Qty", "Sales_USD", "returns_exceeded_sales",
     "transaction_count", *CATEGORICAL_MODE_COLUMNS,
@@ -120,28 +117,45 @@ def holiday_weeks(holidays: DataFrame) -> DataFrame:
             .distinct())
 
 
+PREVIOUS = 1  # rows that last week's copies of same-week features look back
+SAME_WEEK = ("dominant_dow", "pct_weekend_orders", "unit_price")
+RUNNING = ("zero_streak_length", "cumulative_zero_weeks")
+CALENDAR = ("month", "week_of_month", "quarter", "week_of_year", "is_year_end", "is_lk_holiday_week")
+
+
+def panel_reads(params: Params) -> dict[str, tuple[int, int]]:
+    """Rows of its product that each feature reads, as offsets (first, last) to its own row. The features are
+    computed from this table, and the leakage guard follows it."""
+    start = Window.unboundedPreceding
+    reads = {lag_name(k): (-k, -k) for k in params.lags}
+    for w in params.windows:
+        reads[f"Sales_Qty_rollmean_{w}"] = reads[f"Sales_Qty_rollstd_{w}"] = (-w, -1)
+    return reads | dict.fromkeys(RUNNING, (start, 0)) | dict.fromkeys(SAME_WEEK, (0, 0))
+
+
 def add_features(panel: DataFrame, hol_weeks: DataFrame, params: Params,
-                 model_lags: bool = False) -> DataFrame:
+                 model_lags: bool = False, reads: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Lags, rolling stats (previous rows only), calendar, holiday week, zero
     runs and unit price — the published feature set. With ``model_lags`` the
     frame also carries last week's same-week features (``*_prev``) used as
     leak-free model inputs."""
     q = F.col("Sales_Qty")
+    reads = reads or panel_reads(params)
+    frame = lambda name: _w().rowsBetween(*reads[name])
     cols: list[Column | str] = list(panel.columns)
     for k in params.lags:
-        cols.append(F.lag(q, k).over(_w()).alias(lag_name(k)))
+        cols.append(F.lag(q, -reads[lag_name(k)][1]).over(_w()).alias(lag_name(k)))
     for w in params.windows:
-        frame = _w().rowsBetween(-w, -1)
-        cols.append(F.avg(q).over(frame).alias(f"Sales_Qty_rollmean_{w}"))
-        cols.append(F.stddev_samp(q).over(frame).alias(f"Sales_Qty_rollstd_{w}"))
-    last_nonzero = F.max(F.when(q != 0, F.col("WeekStart"))).over(_running())
-    first_week = F.min("WeekStart").over(_running())
+        for name, stat in ((f"Sales_Qty_rollmean_{w}", F.avg), (f"Sales_Qty_rollstd_{w}", F.stddev_samp)):
+            cols.append(stat(q).over(frame(name)).alias(name))
+    last_nonzero = F.max(F.when(q != 0, F.col("WeekStart"))).over(frame("zero_streak_length"))
+    first_week = F.min("WeekStart").over(frame("zero_streak_length"))
     streak = F.when(last_nonzero.isNull(),
                     F.datediff(F.col("WeekStart"), first_week) / 7 + 1) \
         .otherwise(F.datediff(F.col("WeekStart"), last_nonzero) / 7)
     cols += [
         streak.cast("long").alias("zero_streak_length"),
-        F.sum((q == 0).cast("long")).over(_running()).alias("cumulative_zero_weeks"),
+        F.sum((q == 0).cast("long")).over(frame("cumulative_zero_weeks")).alias("cumulative_zero_weeks"),
     ]
     df = panel.select(*cols)
     if "dominant_dow" not in df.columns:
@@ -161,14 +175,7 @@ def add_features(panel: DataFrame, hol_weeks: DataFrame, params: Params,
         F.when(q > 0, safe_div(F.col("Sales_USD"), q)).alias("unit_price"),
     ).drop("_hol")
     if model_lags:
-        df = df.select(
-            "*",
-            F.lag("zero_streak_length", 1).over(_w()).alias("zero_streak_length_prev"),
-            F.lag("cumulative_zero_weeks", 1).over(_w()).alias("cumulative_zero_weeks_prev"),
-            F.lag("dominant_dow", 1).over(_w()).alias("dominant_dow_prev"),
-            F.lag("pct_weekend_orders", 1).over(_w()).alias("pct_weekend_orders_prev"),
-            F.lag("unit_price", 1).over(_w()).alias("unit_price_prev"),
-        )
+        df = df.select("*", *[F.lag(c, PREVIOUS).over(_w()).alias(f"{c}_prev") for c in (*RUNNING, *SAME_WEEK)])
     return df
 
 
@@ -179,13 +186,3 @@ def feature_audit(featured: DataFrame) -> DataFrame:
         F.countDistinct("WeekStart").alias("weeks"),
         F.avg((F.col("Sales_Qty") == 0).cast("double")).alias("zero_sales_share"),
     )
-
-
-def mutate_rows(panel: DataFrame, position: int = 12, delta: float = 999_999.0) -> DataFrame:
-    """Add ``delta`` to the quantity at the given 0-based row of every product
-    with more than ``position`` rows (each product is mutated independently)."""
-    rn = F.row_number().over(_w()) - 1
-    return (panel.withColumn("_rn", rn)
-            .withColumn("Sales_Qty", F.when(F.col("_rn") == position, F.col("Sales_Qty") + delta)
-                        .otherwise(F.col("Sales_Qty")))
-            .withColumn("_mutated", F.col("_rn") == position).drop("_rn"))

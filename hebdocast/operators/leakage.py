@@ -1,29 +1,28 @@
-"""Leakage guard by mutation: a model input of week t must not move when the
-quantity of week t changes.
+"""Leakage guard by provenance: a model input of a week may read nothing of that week or later.
 
-Every product is copied ``reach + 1`` times, ``reach`` being the longest lag or window. Copy c raises
-the weeks c, c + reach + 1, and so on, so every week of every product is raised in one copy and no
-raised week lies within reach of the next: its lags and windows must be those of the unmutated
-run, null-safely. Inputs that run over the whole history (zero counts, streaks, the target mean)
-rightly see earlier raised weeks, so they are compared at the first raised week of each copy. The
-number of passes is fixed, whatever the input."""
+Every row of the panel carries its week as the source of its values. A feature's source is the largest
+source week among the rows that it reads: its frame in ``features.panel_reads``, from which the features
+themselves are computed, and one row back for last week's copies. Every model input of every row must have a
+source below the row's own week. One copy of the panel, all weeks, all inputs; the windows are those of the
+features, on the same clustering by product. Calendar columns read nothing of the panel, and the product's
+categories are its static attributes (see ``features.product_modes``); neither is checked.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CATEGORICAL_MODE_COLUMNS, Params
 from . import features
 
 TARGET_MEAN = "product_mean_qty"  # the product's mean over earlier weeks, its target encoding
+TARGET_MEAN_READS = (Window.unboundedPreceding, -1)
 
 
 def model_input_columns(params: Params) -> list[str]:
     """Model inputs for the configured feature mode (categoricals included)."""
     roll = [f"Sales_Qty_roll{s}_{w}" for w in params.windows for s in ("mean", "std")]
-    cal = ["month", "week_of_month", "quarter", "week_of_year", "is_year_end",
-           "is_lk_holiday_week"]
     lags = [features.lag_name(k) for k in params.lags]
     if params.feature_mode == "contemporaneous":
         same_week = ["dominant_dow", "pct_weekend_orders", "zero_streak_length",
@@ -31,44 +30,31 @@ def model_input_columns(params: Params) -> list[str]:
     else:
         same_week = ["dominant_dow_prev", "pct_weekend_orders_prev", "zero_streak_length_prev",
                      "cumulative_zero_weeks_prev"]
-    return [*CATEGORICAL_MODE_COLUMNS, *lags, *roll, *same_week, *cal]
+    return [*CATEGORICAL_MODE_COLUMNS, *lags, *roll, *same_week, *features.CALENDAR]
 
 
-def running_columns(params: Params) -> list[str]:
-    """Model inputs that run over all earlier weeks."""
-    if params.feature_mode == "contemporaneous":
-        return ["zero_streak_length", "cumulative_zero_weeks", TARGET_MEAN]
-    return ["zero_streak_length_prev", "cumulative_zero_weeks_prev", TARGET_MEAN]
-
-
-def _with_target_mean(df: DataFrame) -> DataFrame:
-    earlier = Window.partitionBy("ProductID").orderBy("WeekStart").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(TARGET_MEAN, F.avg("Sales_Qty").over(earlier))
-
-
-def leakage_violations(flow, delta: float = 999_999.0) -> DataFrame:
-    """(ProductID, WeekStart, column) for every model input that changed."""
-    params = flow.params
-    cols = [c for c in model_input_columns(params) if c not in CATEGORICAL_MODE_COLUMNS] + [TARGET_MEAN]
-    running = running_columns(params)
-    reach = max(*params.lags, *params.windows) + 1
+def source_weeks(panel: DataFrame, params: Params, reads: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """``ProductID, WeekStart`` and, for each feature that reads the panel, the largest source week that it reads
+    (null: none)."""
+    reads = (reads or features.panel_reads(params)) | {TARGET_MEAN: TARGET_MEAN_READS}
     order = Window.partitionBy("ProductID").orderBy("WeekStart")
-    place = F.row_number().over(order) - 1
-    raised = F.col("_place") % reach == F.col("_copy")
-    # copies are products of their own; their ids carry the copy's number
-    copies = (flow.panel_base.withColumn("_place", place)
-              .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(reach - 1))))
-              .withColumn("_id", F.col("ProductID"))
-              .withColumn("ProductID", F.concat_ws("#", "ProductID", "_copy"))
-              .withColumn("Sales_Qty", F.when(raised, F.col("Sales_Qty") + delta).otherwise(F.col("Sales_Qty"))))
-    mutated = _with_target_mean(features.add_features(copies, flow.holiday_weeks, params, model_lags=True)).where(raised)
-    base = _with_target_mean(flow.featured_full).select(
-        F.col("ProductID").alias("_id"), "WeekStart", *[F.col(c).alias(f"_b_{c}") for c in cols])
-    j = mutated.select("_id", "WeekStart", "_place", "_copy", *cols).join(base, ["_id", "WeekStart"])
-    checks = F.array(*[
-        F.struct(F.lit(c).alias("column"),
-                 (~F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-                  & (F.lit(c not in running) | (F.col("_place") == F.col("_copy")))).alias("changed"))
-        for c in cols])
-    return (j.select(F.col("_id").alias("ProductID"), "WeekStart", F.explode(checks).alias("chk"))
-            .where(F.col("chk.changed")).select("ProductID", "WeekStart", "chk.column"))
+    source = lambda frame: F.max("_source").over(order.rowsBetween(*frame))
+    df = panel.select("ProductID", "WeekStart", F.col("WeekStart").alias("_source"))
+    # features of one frame have one source
+    frames = list(dict.fromkeys(reads.values()))
+    df = df.select("*", *[source(f).alias(f"_f{i}") for i, f in enumerate(frames)])
+    direct = {c: F.col(f"_f{frames.index(f)}") for c, f in reads.items()}
+    previous = {f"{c}_prev": F.lag(direct[c], features.PREVIOUS).over(order) for c in (*features.RUNNING, *features.SAME_WEEK)}
+    return df.select("ProductID", "WeekStart", *[x.alias(c) for c, x in (direct | previous).items()])
+
+
+def leakage_violations(flow, reads: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    """(ProductID, WeekStart, column) for every model input that reads its own week or a later one."""
+    return panel_violations(flow.panel_base, flow.params, reads)
+
+
+def panel_violations(panel: DataFrame, params: Params, reads: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+    sources = source_weeks(panel, params, reads)
+    checked = [c for c in [*model_input_columns(params), TARGET_MEAN] if c in sources.columns]
+    leaks: Column = F.array(*[F.when(F.col(c) >= F.col("WeekStart"), F.lit(c)) for c in checked])
+    return sources.select("ProductID", "WeekStart", F.explode(F.array_compact(leaks)).alias("column"))

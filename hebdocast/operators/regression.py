@@ -24,7 +24,7 @@ from ..functions.columns import week_of_month
 from ..functions.quantiles import rank_within_key
 from . import boosting
 from .features import lag_name
-from .leakage import TARGET_MEAN, model_input_columns
+from .leakage import TARGET_MEAN, TARGET_MEAN_READS, model_input_columns
 
 SEASON = 12  # weeks of the seasonal-naive season
 BOOL_COLUMNS = ("is_year_end", "is_lk_holiday_week", "returns_exceeded_sales")
@@ -39,7 +39,7 @@ def hv_frame(featured: DataFrame, tiers: DataFrame) -> DataFrame:
     product's mean quantity over the weeks before each row (its target encoding)."""
     ids = tiers.where(F.col("tier") == HIGH_VOLUME).select("ProductID")
     df = featured.join(ids, "ProductID", "left_semi")
-    earlier = _w().rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _w().rowsBetween(*TARGET_MEAN_READS)
     df = df.withColumn(TARGET_MEAN, F.avg("Sales_Qty").over(earlier))
     for c in BOOL_COLUMNS:
         if c in df.columns:
@@ -64,6 +64,18 @@ def category_dictionary(df: DataFrame, columns=MODEL_CATEGORICAL_COLUMNS) -> Dat
                     F.col("rank").cast("long").alias("code")))
 
 
+def extended_dictionary(former: DataFrame, df: DataFrame, columns=MODEL_CATEGORICAL_COLUMNS) -> DataFrame:
+    """``former`` with its codes as they are, and the values of ``df`` that it lacks behind them: sorted, from the
+    column's next code on. New values are ranked by a range-partitioned sort, whatever their number."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])
+    seen = df.select(F.explode(pairs).alias("p")).select("p.*").where(F.col("value").isNotNull()).distinct()
+    new = rank_within_key(seen.join(former, ["column_name", "value"], "left_anti"), "column_name", "value")
+    ends = former.groupBy("column_name").agg((F.max("code") + 1).alias("_from"))  # a row a column
+    new = new.join(ends, "column_name", "left").select(
+        "column_name", "value", (F.col("rank") + F.coalesce("_from", F.lit(0))).cast("long").alias("code"))
+    return former.select("column_name", "value", "code").unionByName(new)
+
+
 def apply_dictionary(df: DataFrame, dictionary: DataFrame,
                      columns=MODEL_CATEGORICAL_COLUMNS) -> DataFrame:
     """Adds ``<col>_code``; values missing from the dictionary get null. How each slice of the

@@ -20,7 +20,7 @@ from ..config import (CATEGORICAL_MODE_COLUMNS, CROSTON, HIGH_VOLUME, NAIVE, SBA
 from ..operators import clean, features, intermittent, scope, tiers, weekly
 from ..session import tune_session
 from ..sources import adapter, calendar
-from ..sources.tables import read_transactions
+from ..sources.tables import read_checked, read_transactions
 
 
 class Flow:
@@ -28,10 +28,14 @@ class Flow:
     rules of the parameters. The caller owns its lifetime: :meth:`close` frees what it keeps."""
 
     def __init__(self, spark: SparkSession, raw: DataFrame, params: Params = Params(),
-                 holidays: DataFrame | None = None):
+                 holidays: DataFrame | None = None, *, rejects: DataFrame | None = None,
+                 source_path: str | None = None):
         self.spark = spark
         tune_session(spark)
         self.raw = raw
+        self.rejects = rejects  # rows of a text source that its schema doesn't take
+        self.source_path = source_path  # files whose fingerprint stands for the input
+        self.former_dictionary: DataFrame | None = None  # category codes of an earlier run, which stay
         self.params = params
         self._holidays = holidays
         self._kept: list[DataFrame] = []
@@ -39,14 +43,16 @@ class Flow:
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str,
                     params: Params = Params()) -> "Flow":
-        return cls(spark, adapter.raw_transactions(spark, sf_dir), params)
+        return cls(spark, adapter.raw_transactions(spark, sf_dir), params, source_path=sf_dir)
 
     @classmethod
     def from_transactions(cls, spark: SparkSession, path: str, params: Params = Params(), *, fmt: str = "parquet",
                           holidays: DataFrame | None = None) -> "Flow":
         """A flow over the user's own transactions (Parquet, CSV or JSON with the required columns)."""
-        schema = adapter.TRANSACTION_SCHEMA if fmt != "parquet" else None
-        return cls(spark, read_transactions(spark, path, fmt, schema), params, holidays)
+        if fmt == "parquet":
+            return cls(spark, read_transactions(spark, path), params, holidays, source_path=path)
+        good, rejects = read_checked(spark, path, fmt, adapter.TRANSACTION_SCHEMA)
+        return cls(spark, good, params, holidays, rejects=rejects, source_path=path)
 
     def keep(self, *stages: str) -> "Flow":
         """Persist stage outputs shared by several consumers (keeps their
@@ -186,7 +192,9 @@ class Flow:
     @cached_property
     def cat_dictionary(self) -> DataFrame:
         from ..operators import regression
-        return regression.category_dictionary(self.hv)
+        if self.former_dictionary is None:
+            return regression.category_dictionary(self.hv)
+        return regression.extended_dictionary(self.former_dictionary, self.hv)
 
     @cached_property
     def hv_encoded(self) -> DataFrame:

@@ -128,11 +128,11 @@ def hv_forecast_violations(spark, sf):
 
 # --- 2.9 country drill-down -------------------------------------------------------
 @register("country_fanout", b(f"""SELECT CAST(max(n) AS BIGINT) AS max_distinct_countries,
-  count(*) FILTER (WHERE n > {P.country_limit}) AS products_over_limit
+  count(*) FILTER (WHERE n > 2) AS products_over_limit
 FROM (SELECT "ProductID", count(DISTINCT "Country") AS n FROM scoped GROUP BY 1) t""", "scoped"))
 def country_fanout(spark, sf):
     f = flow(spark, sf)
-    return country.country_fanout(f.scoped, f.params.country_limit)
+    return country.country_fanout(f.scoped, 2)
 
 
 @register("country_weekly", b("SELECT * FROM country_weekly", "country_weekly"))

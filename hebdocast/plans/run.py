@@ -1,13 +1,17 @@
-"""The production path: stages written, read back as the next one's input, and guarded.
+"""The production path: stages written, guarded, published and read back as the next one's input.
 
-Each stage is written once (Parquet, overwrite) with a ``DataFrame.observe`` riding on the write, so
-row counts and sums cost no extra pass; what is written replaces the stage inside the flow, so later
-stages read files instead of recomputing. A guard's offending rows stop the run. Observed values and
+Each stage is written once, to a version of its own, with a ``DataFrame.observe`` riding on the write, so
+row counts, sums and sketches of distinct values cost no extra pass. Its guards run on that version; offending rows stop
+the run, and the former version stays the published one (see ``store``). What is published replaces the stage
+inside the flow, so later stages read files instead of recomputing. A run over the same input and parameters
+skips what is published already, so a stopped run goes on where it stopped. Observed values and
 wall times become rows of a ``run_metrics(run, stage, key, value)`` table (stages x keys rows).
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import time
 import uuid
 from collections.abc import Callable, Sequence
@@ -16,15 +20,19 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import NUMERIC_FEATURE_COLUMNS, SPARSE
-from ..operators import assemble, clean, country, intermittent, regression, report, scope, scoring, tiers, weekly
-from ..sources.tables import write_csv, write_parquet
+from ..operators import (assemble, clean, country, intermittent, leakage, profile, regression, report, scope, scoring, tiers,
+                         weekly)
+from ..sources.tables import write_csv
+from .store import Store
 
 # A stage's written form; ``weekly`` and ``featured`` are kept with the columns that later stages need.
 DEFAULT_STAGES = ("prepared", "cleaned", "scoped", "weekly", "featured", "tiers", "sparse_validation",
                   "sparse_forecast")
-FULL_STAGES = DEFAULT_STAGES + ("hv_validation", "hv_forecast", "model_comparison", "forecast", "country_forecast",
+FULL_STAGES = DEFAULT_STAGES + ("dictionary", "hv_validation", "hv_forecast", "model_comparison", "forecast", "country_forecast",
                                 "correlation", "zero_profile", "decomposition")
 HELD = {"weekly": "weekly_ext", "featured": "featured_full"}
+ATTRIBUTES = {"dictionary": "cat_dictionary"}
+FORMAT = 1  # of the stages' contents; a new one makes every stage anew
 
 
 class GuardError(ValueError):
@@ -74,6 +82,8 @@ def guards(flow, stage: str, written: DataFrame) -> dict[str, DataFrame]:
                 "no order date": weekly.week_floor_violations(written)}
     if stage == "weekly":
         return {"weekly table": weekly.weekly_violations(written)}
+    if stage == "featured":
+        return {"leakage": leakage.panel_violations(written, p)}
     if stage == "tiers":
         return {"tiers": tiers.tier_violations(written, flow.weekly_ext)}
     if stage == "sparse_forecast":
@@ -83,7 +93,10 @@ def guards(flow, stage: str, written: DataFrame) -> dict[str, DataFrame]:
     if stage == "forecast":
         return {"assembled forecast": assemble.forecast_violations(written, flow.tiers, p.horizon)}
     if stage == "country_forecast":
-        return {"country forecast": country.country_violations(written, p.horizon)}
+        found = {"country forecast": country.country_violations(written, p.horizon)}
+        if p.country_limit is not None:
+            found["country limit"] = country.country_violations_over_limit(flow.scoped, p.country_limit)
+        return found
     return {}
 
 
@@ -94,36 +107,88 @@ def enforce(found: dict[str, DataFrame]) -> None:
             raise GuardError(f"{name}: " + "; ".join(str(r.asDict()) for r in some))
 
 
+BUCKETED = ("weekly", "featured")  # read by product in every later stage
+SKETCHED = ("ProductID", "Country")  # distinct values of these columns are sketched in every stage that has them
+
+
+def _fingerprint(flow, store: Store, stage: str) -> str | None:
+    """What a stage is made from: the input's files, the parameters and the stage's name. None: not known."""
+    if flow.source_path is None:
+        return None
+    if not hasattr(flow, "_source_fingerprint"):
+        flow._source_fingerprint = store.fingerprint(flow.source_path)
+    holidays = flow._holidays.semanticHash() if flow._holidays is not None else 0
+    return hashlib.sha256(repr((FORMAT, stage, flow._source_fingerprint, holidays, flow.params)).encode()).hexdigest()
+
+
 def write_stages(flow, out_dir: str, stages: Sequence[str] = DEFAULT_STAGES, run_id: str | None = None) -> DataFrame:
+    """Write, guard and publish the stages in order; returns ``run, stage, key, value``. A stage whose published version
+    was made from the same input and parameters is not made again."""
     run_id = run_id or uuid.uuid4().hex[:12]
-    rows = []
+    store, rows = Store(flow.spark, out_dir), []
+    if flow.rejects is not None:
+        stages = ("rejects", *stages)
     for name in stages:
         held = HELD.get(name, name)
-        df: DataFrame = DERIVED[name](flow) if name in DERIVED else getattr(flow, held)
-        obs = Observation(f"{name}_{run_id}")
-        numeric = [f.name for f in df.schema.fields
-                   if f.dataType.simpleString() in ("double", "bigint", "int")]
-        aggs = [F.count(F.lit(1)).alias("rows")]
-        if "Sales_Qty" in numeric:
-            aggs.append(F.sum("Sales_Qty").alias("sum_Sales_Qty"))
-        t = time.perf_counter()
-        path = f"{out_dir.rstrip('/')}/{name}"
-        write_parquet(df.observe(obs, *aggs), path)
-        secs = time.perf_counter() - t
-        for k, v in obs.get.items():
-            rows.append((run_id, name, k, float(v) if v is not None else None))
-        rows.append((run_id, name, "seconds", float(secs)))
-        written = flow.spark.read.schema(df.schema).parquet(path)
-        enforce(guards(flow, name, written))
+        print_ = _fingerprint(flow, store, name)
+        manifest = store.manifest(name)
+        if print_ is not None and manifest is not None and manifest["fingerprint"] == print_:
+            rows.append((run_id, name, "skipped", 1.0))
+        else:
+            if name == "dictionary" and manifest is not None:
+                flow.former_dictionary = store.read(manifest)
+            manifest = _made(flow, store, name, run_id, print_)
+        rows += [(run_id, name, k, v) for k, v in manifest["metrics"].items()]
         if name not in DERIVED:
-            flow.__dict__[held] = written
+            flow.__dict__[ATTRIBUTES.get(held, held)] = store.read(manifest)
     return flow.spark.createDataFrame(rows, "run string, stage string, key string, value double")
 
 
+def _made(flow, store: Store, name: str, run_id: str, print_: str | None) -> dict:
+    """Write a stage to a version of its own, guard it there, and publish it."""
+    held = HELD.get(name, name)
+    df: DataFrame = DERIVED[name](flow) if name in DERIVED else getattr(flow, ATTRIBUTES.get(held, held))
+    obs = Observation(f"{name}_{run_id}")
+    aggs = [F.count(F.lit(1)).alias("rows")]
+    if "Sales_Qty" in df.columns:
+        aggs.append(F.sum(F.col("Sales_Qty").cast("double")).alias("sum_Sales_Qty"))
+    sketched = [c for c in SKETCHED if c in df.columns]
+    aggs += [F.hll_sketch_agg(F.col(c).cast("string"), profile.LG_K).alias(f"sketch {c}") for c in sketched]
+    t = time.perf_counter()
+    path = store.staging(name)
+    try:
+        buckets = int(flow.spark.conf.get("spark.sql.shuffle.partitions")) if name in BUCKETED else 0
+        entry = store.write(df.observe(obs, *aggs), path, buckets, order=("WeekStart",))
+        seconds = time.perf_counter() - t
+        enforce(guards(flow, name, store.read(entry)))
+    except BaseException:
+        store.delete(path)
+        raise
+    seen = obs.get
+    metrics = {k: float(v) if v is not None else None for k, v in seen.items() if not k.startswith("sketch ")} | {"seconds": float(seconds)}
+    sketches = {c: base64.b64encode(bytes(seen[f"sketch {c}"])).decode() for c in sketched if seen[f"sketch {c}"] is not None}
+    manifest = entry | {"stage": name, "run": run_id, "fingerprint": print_, "parameters": repr(flow.params), "metrics": metrics,
+                        "sketches": sketches}
+    store.publish(name, manifest)
+    return manifest
+
+
+def read_stage(spark, out_dir: str, stage: str) -> DataFrame:
+    """A published stage of a folder."""
+    return Store(spark, out_dir).read(stage)
+
+
+def distinct_estimates(spark, out_dirs: Sequence[str], stage: str) -> DataFrame:
+    """``column_name, n_distinct`` over a stage of several folders (such as one a month), from the sketches in their
+    manifests; no row is read."""
+    rows = [(c, bytearray(base64.b64decode(x))) for d in out_dirs for c, x in (Store(spark, d).manifest(stage) or {"sketches": {}})["sketches"].items()]
+    return profile.merged_distinct(spark.createDataFrame(rows, "column_name string, sketch binary"))
+
+
 def run(flow, out_dir: str) -> DataFrame:
     """Every stage and output of a flow, the forecast also as CSV; returns the run's metrics."""
     metrics = write_stages(flow, out_dir, FULL_STAGES)
-    write_forecast_csv(flow.spark.read.parquet(f"{out_dir.rstrip('/')}/forecast"), f"{out_dir.rstrip('/')}/forecast_csv")
+    write_forecast_csv(read_stage(flow.spark, out_dir, "forecast"), f"{out_dir.rstrip('/')}/forecast_csv")
     return metrics
 
 

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -53,6 +54,31 @@ def read_transactions(spark: SparkSession, path: str, fmt: str = "parquet",
     return df
 
 
+def read_checked(spark: SparkSession, path: str, fmt: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """CSV or JSON rows as ``schema`` says, and the rows that can't be read so: ``(good, rejects)``.
+
+    Every field is read as text and cast; a row is a reject if a field has text that its type doesn't take, or if the
+    line itself is malformed (too few or many fields, broken JSON). Empty fields are nulls. ``rejects`` has
+    ``record`` (the line, or the fields as JSON), ``reason`` (the offending columns) and ``file``."""
+    names = [f.name for f in schema.fields]
+    require_columns(spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.json(path), names,
+                    what=f"transactions at {path}")
+    text = T.StructType([T.StructField(n, T.StringType()) for n in names] + [T.StructField("_line", T.StringType())])
+    reader = spark.read.schema(text).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_line")
+    rows = reader.option("header", True).option("enforceSchema", False).csv(path) if fmt == "csv" else reader.json(path)
+    filled = {n: F.when(F.trim(F.col(f"`{n}`")) != "", F.col(f"`{n}`")) for n in names}
+    typed = {f.name: filled[f.name] if isinstance(f.dataType, T.StringType) else F.trim(filled[f.name]).try_cast(f.dataType)
+             for f in schema.fields}
+    bad = F.array_compact(F.array(F.when(F.col("_line").isNotNull(), F.lit("malformed record")),
+                                  *[F.when(filled[n].isNotNull() & typed[n].isNull(), F.lit(n)) for n in names]))
+    judged = rows.select("*", bad.alias("_bad"), F.input_file_name().alias("_file"))
+    good = judged.where(F.size("_bad") == 0).select(*[typed[n].alias(n) for n in names])
+    fields = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))
+    rejects = judged.where(F.size("_bad") > 0).select(F.coalesce("_line", fields).alias("record"),
+                                                      F.array_join("_bad", ", ").alias("reason"), F.col("_file").alias("file"))
+    return good, rejects
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Iterable[str] | None = None) -> None:
     w = df.write.mode("overwrite")
     if partition_by:

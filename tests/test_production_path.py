@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from hebdocast.config import GBT, Params
 from hebdocast.operators import assemble, clean, country, regression, scope, tiers, weekly
 from hebdocast.plans.flow import Flow
-from hebdocast.plans.run import FULL_STAGES, GuardError, enforce, run, write_stages
+from hebdocast.plans.run import (FULL_STAGES, GuardError, distinct_estimates, enforce, read_stage, run,
+                                 write_stages)
+from hebdocast.plans.store import Store
 
 FAST = Params(split_product_ids=None, gbt_max_iter=8, gbt_patience=3, gbt_min_instances=5,
               gbt_leaves=8, gbt_deep_depth=4, decomposition_min_weeks=60)
@@ -47,17 +49,17 @@ def test_file_to_forecast(spark, tmp_path, fmt):
     metrics = run(flow, out) if fmt == "parquet" else write_stages(flow, out, ("prepared", "cleaned", "scoped", "weekly"))
     stages = {r["stage"] for r in metrics.collect()}
     if fmt == "csv":
-        assert spark.read.parquet(f"{out}/weekly").count() == 160 + 15
+        assert read_stage(spark, out, "weekly").count() == 160 + 15 and "rejects" in stages
         return
     assert stages == set(FULL_STAGES)
-    fc = spark.read.parquet(f"{out}/forecast")
+    fc = read_stage(spark, out, "forecast")
     assert {(r["ProductID"], r["n"]) for r in fc.groupBy("ProductID").agg(F.count("*").alias("n")).collect()} == {
         (p, 12) for p in ("HV000-001", "HV000-002", "SP000-001", "SP000-002", "SP000-003")}
     assert spark.read.option("header", True).csv(f"{out}/forecast_csv").count() == fc.count()
-    scores = {r["model"]: r for r in spark.read.parquet(f"{out}/model_comparison").collect()}
+    scores = {r["model"]: r for r in read_stage(spark, out, "model_comparison").collect()}
     assert all(r["train_seconds"] is not None and r["inference_seconds"] is not None for r in scores.values())
     assert {GBT, f"{GBT}_recursive"} <= set(scores)
-    featured = spark.read.parquet(f"{out}/featured")
+    featured = read_stage(spark, out, "featured")
     hit = {r["WeekStart"] for r in featured.where("is_lk_holiday_week").select("WeekStart").distinct().collect()}
     assert hit == {dt.date(2021, 3, 29), dt.date(2022, 4, 11)}
 
@@ -151,3 +153,174 @@ def test_country_of_null_stays_apart(spark):
                                "ProductID string, Country string, `Order Date` timestamp_ntz, `Sales Qty` double, `Sales USD` double")
     got = country.country_weekly(tx).collect()
     assert {r["Country"] for r in got} <= {"DE", None} and len(got) >= 1
+
+
+# --- published stages --------------------------------------------------------------------------
+def written_input(spark, tmp_path, name="in"):
+    path = str(tmp_path / name)
+    transactions(spark, weeks=40).write.parquet(path)
+    return path
+
+
+def break_files(path):
+    """Contents lost, names, sizes and times as they were: only a reader can tell."""
+    import os
+    for root, _, names in os.walk(path):
+        for n in names:
+            f = os.path.join(root, n)
+            s = os.stat(f)
+            with open(f, "r+b") as h:
+                h.write(b"\0" * s.st_size)
+            os.utime(f, ns=(s.st_atime_ns, s.st_mtime_ns))
+
+
+def test_a_second_run_reads_no_source(spark, tmp_path):
+    path, out = written_input(spark, tmp_path), str(tmp_path / "out")
+    first = write_stages(Flow.from_transactions(spark, path, FAST), out).collect()
+    break_files(path)
+    again = write_stages(Flow.from_transactions(spark, spark.read.parquet(f"{out}/cleaned/*").inputFiles()[0], FAST), str(tmp_path / "x"), ()).collect()
+    assert again == []
+    flow = Flow(spark, transactions(spark).limit(0), FAST, source_path=path)
+    second = {(r["stage"], r["key"]): r["value"] for r in write_stages(flow, out).collect()}
+    assert {s for s, k in second if k == "skipped"} == {r["stage"] for r in first}
+    assert all(second[r["stage"], r["key"]] == r["value"] for r in first)
+    assert flow.weekly_ext.count() == second["weekly", "rows"]
+    # other parameters make the stages anew
+    with pytest.raises(Exception):
+        write_stages(Flow(spark, spark.read.schema(transactions(spark).schema).parquet(path), FAST.with_(horizon=8), source_path=path), out)
+
+
+def test_a_failing_guard_leaves_the_former_output(spark, tmp_path):
+    out = str(tmp_path / "out")
+    write_stages(Flow(spark, transactions(spark, 40), FAST), out, ("prepared", "cleaned", "scoped", "weekly"))
+    before = read_stage(spark, out, "prepared").count()
+    lost = transactions(spark, 60).where("Region is null or Region <> 'Total'")  # an artifact row is missing
+    with pytest.raises(GuardError, match="artifact"):
+        write_stages(Flow(spark, lost, FAST), out, ("prepared",))
+    assert read_stage(spark, out, "prepared").count() == before
+    assert len(Store(spark, out).listed(f"{out}/prepared")) == 1
+    write_stages(Flow(spark, transactions(spark, 60), FAST), out, ("prepared",))
+    write_stages(Flow(spark, transactions(spark, 50), FAST), out, ("prepared",))
+    assert len(Store(spark, out).listed(f"{out}/prepared")) == 2  # the current and the former version
+    assert len(Store(spark, out).listed(f"{out}/_manifest/prepared")) == 2
+
+
+def test_guards_of_features_and_countries_run_in_the_path(spark, tmp_path, monkeypatch):
+    from hebdocast.operators import features
+    out = str(tmp_path / "out")
+    flow = Flow(spark, transactions(spark, 40), FAST)
+    reads = features.panel_reads(FAST) | {"Sales_Qty_rollmean_4": (-4, 0)}
+    monkeypatch.setattr(features, "panel_reads", lambda p: reads)
+    with pytest.raises(GuardError, match="leakage.*Sales_Qty_rollmean_4"):
+        write_stages(flow, out, ("featured",))
+    monkeypatch.undo()
+    with pytest.raises(FileNotFoundError):
+        read_stage(spark, out, "featured")
+    two = transactions(spark, 40)
+    more = two.where("Region = 'Europe'").withColumn("Country", F.lit("France")).unionByName(
+        two.where("Region = 'Europe'").withColumn("Country", F.lit("Spain"))).unionByName(two)
+    with pytest.raises(GuardError, match="country limit.*n_countries"):
+        write_stages(Flow(spark, more, FAST), out, ("country_forecast",))
+    write_stages(Flow(spark, more, FAST.with_(country_limit=3)), out, ("country_forecast",))
+    assert read_stage(spark, out, "country_forecast").count() > 0
+
+
+def exchanges_by_product(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("hashpartitioning(ProductID")
+
+
+def test_stored_stages_keep_their_clustering(spark, tmp_path):
+    from hebdocast.operators import features, leakage
+    flow = Flow(spark, transactions(spark, 40), FAST)
+    write_stages(flow, str(tmp_path / "out"), ("weekly", "featured"))
+    tiers_ = flow.tiers.select("ProductID", "tier").hint("merge")
+    windows = features.add_features(flow.panel_base, flow.holiday_weeks, FAST, model_lags=True)
+    assert exchanges_by_product(windows) == 0
+    assert exchanges_by_product(leakage.panel_violations(flow.featured_full, FAST)) == 0
+    assert exchanges_by_product(flow.featured_full.join(tiers_, "ProductID")) == 0
+    plain = spark.createDataFrame(flow.featured_full.collect(), flow.featured_full.schema)
+    assert exchanges_by_product(leakage.panel_violations(plain, FAST)) > 0  # as it would be without buckets
+    assert windows.count() == flow.featured_full.count()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+def test_rejects_are_kept_and_counted(spark, tmp_path, fmt):
+    good = transactions(spark, 20)
+    names = good.columns
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    text = good.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in names])
+    some = text.where("Region = 'Europe'").limit(1)
+    bad = [some.withColumn("Sales Qty", F.lit("12x")), some.withColumn("Order Date", F.lit("2021-13-45")),
+           some.withColumn("Sales USD", F.lit("a lot")).withColumn("Sales KG", F.lit("?"))]
+    for b in bad:
+        text = text.unionByName(b)
+    text = text.coalesce(1)
+    text.write.option("header", True).csv(path) if fmt == "csv" else text.write.json(path)
+    flow = Flow.from_transactions(spark, path, FAST, fmt=fmt)
+    metrics = {(r["stage"], r["key"]): r["value"] for r in write_stages(flow, out, ("prepared",)).collect()}
+    assert metrics["rejects", "rows"] == 3 and metrics["prepared", "rows"] == good.count() - 3
+    rejects = read_stage(spark, out, "rejects").collect()
+    assert sorted(r["reason"] for r in rejects) == ["Order Date", "Sales Qty", "Sales USD, Sales KG"]
+    assert all(r["record"] and r["file"] for r in rejects)
+
+
+def test_malformed_lines_are_rejects(spark, tmp_path):
+    from hebdocast.sources.adapter import TRANSACTION_SCHEMA
+    from hebdocast.sources.tables import MissingColumnsError, read_checked
+    names = TRANSACTION_SCHEMA.names
+    row = ["Europe", "Germany", "1", "C", "B", "R", "S", "HV000-001-A", "2021-01-04", "2021-01-05", "1", "1.0", "2.0", "3.0"]
+    (tmp_path / "x.csv").write_text("\n".join([",".join(names), ",".join(row), ",".join(row[:9]), ",".join([*row, "more"]), ",".join([""] * 14)]) + "\n")
+    good, rejects = read_checked(spark, str(tmp_path / "x.csv"), "csv", TRANSACTION_SCHEMA)
+    assert good.count() == 2 and {r["reason"] for r in rejects.collect()} == {"malformed record"} and rejects.count() == 2
+    (tmp_path / "x.json").write_text("{\"" + "\": 1, \"".join(names) + "\": 1}\n{broken\n")
+    good, rejects = read_checked(spark, str(tmp_path / "x.json"), "json", TRANSACTION_SCHEMA)
+    assert good.count() == 0 or rejects.count() == 1
+    (tmp_path / "y.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(MissingColumnsError):
+        read_checked(spark, str(tmp_path / "y.csv"), "csv", TRANSACTION_SCHEMA)
+
+
+# --- dictionary and sketches --------------------------------------------------------------------
+def test_dictionary_grows_at_its_end(spark):
+    columns = ("Region", "Country")
+    old = spark.createDataFrame([("M", "x"), ("B", "x"), (None, "y")], "Region string, Country string")
+    first = regression.category_dictionary(old, columns)
+    new = spark.createDataFrame([("A", "z"), ("M", "w"), ("Z", None)], "Region string, Country string")
+    codes = lambda d: {(r["column_name"], r["value"]): r["code"] for r in d.collect()}
+    before = codes(first)
+    unseen = regression.apply_dictionary(new, first, columns).select("Region", "Region_code").collect()
+    assert {r["Region"]: r["Region_code"] for r in unseen} == {"A": None, "M": 1, "Z": None}
+    after = codes(regression.extended_dictionary(first, new, columns))
+    assert before.items() <= after.items()
+    assert {k: v for k, v in after.items() if k not in before} == {("Region", "A"): 2, ("Region", "Z"): 3, ("Country", "w"): 2, ("Country", "z"): 3}
+    assert codes(regression.extended_dictionary(regression.extended_dictionary(first, new, columns), old, columns)) == after
+    assert codes(regression.extended_dictionary(first.limit(0), old, columns)) == before
+
+
+def test_a_later_run_extends_the_stored_dictionary(spark, tmp_path):
+    out = str(tmp_path / "out")
+    stages = ("weekly", "featured", "tiers", "dictionary")
+    write_stages(Flow(spark, transactions(spark, 40), FAST), out, stages)
+    before = {(r["column_name"], r["value"]): r["code"] for r in read_stage(spark, out, "dictionary").collect()}
+    tx = transactions(spark, 40)
+    tx = tx.withColumn("Country", F.when(F.col("Product Code").startswith("HV000-001"), "Austria").otherwise(F.col("Country")))
+    write_stages(Flow(spark, tx, FAST), out, stages)
+    after = {(r["column_name"], r["value"]): r["code"] for r in read_stage(spark, out, "dictionary").collect()}
+    assert before.items() <= after.items() and after["Country", "Austria"] == 1 and before["Country", "Germany"] == 0
+
+
+def test_sketches_merge_in_any_order_and_stay_near(spark, tmp_path):
+    from hebdocast.operators import profile
+    df = spark.range(60_000).selectExpr("cast(id as string) as a", "id % 700 as b", "cast(null as string) as c")
+    parts = [profile.distinct_sketches(df.where(f"pmod(hash(a), 3) = {k}"), ["a", "b", "c"]) for k in range(3)]
+    one = {r["column_name"]: r["n_distinct"] for r in profile.merged_distinct(parts[0].unionByName(parts[1]).unionByName(parts[2])).collect()}
+    two = {r["column_name"]: r["n_distinct"] for r in profile.merged_distinct(parts[2].unionByName(parts[0]).unionByName(parts[1])).collect()}
+    error = 3 * 1.04 / 2 ** (profile.LG_K / 2)
+    assert abs(one["a"] / 60_000 - 1) < error and abs(one["b"] / 700 - 1) < error and one["c"] == 0
+    assert all(abs(one[k] - two[k]) <= 0.005 * one[k] for k in one)
+    for k, weeks in enumerate((40, 50)):
+        write_stages(Flow(spark, transactions(spark, weeks), FAST), str(tmp_path / str(k)), ("weekly",))
+    got = {r["column_name"]: r["n_distinct"] for r in distinct_estimates(spark, [str(tmp_path / str(k)) for k in (0, 1)], "weekly").collect()}
+    assert got["ProductID"] == 5 and got["Country"] == 1
