@@ -67,6 +67,47 @@ def test_comments_and_adverts_stay_outside_however_long():
     assert pages.main_text(f"<body><div id=story><h1>Title</h1><p>{LONG}</p></div>{rest}") == f"Title\n\n{LONG.strip()}"
 
 
+def nameless(page):
+    """A given page whose menu, advert, footer and article are plain divs."""
+    page = re.sub(r"<(nav|footer|aside|header|article)[^>]*>", "<div>", page)
+    return re.sub(r"<(div|section) [^>]*>", r"<\1>", re.sub(r"</(nav|footer|aside|header|article)>", "</div>", page))
+
+
+def given_pages(spark):
+    return [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+
+
+def test_path_scores_decide_without_any_names(spark, monkeypatch):
+    given = given_pages(spark)
+    want = [pages.main_text(h) for h in given]
+    share = lambda: sum(pages.main_text(nameless(h)) == w for h, w in zip(given, want)) / len(given)
+    assert share() >= 0.9  # what differs are articles no longer than their adverts
+    long = [(h, w) for h, w in zip(given, want) if len(w) > 1500]
+    assert len(long) > 50 and all(pages.main_text(nameless(h)) == w for h, w in long)
+    monkeypatch.setattr(pages, "ratios", lambda page, may: np.ones(len(page.blocks)) * may)
+    assert share() < 0.1
+    rnd = np.random.default_rng(1)
+    monkeypatch.setattr(pages, "ratios", lambda page, may: rnd.random(len(page.blocks)) * may)
+    assert share() < 0.5
+
+
+def test_what_is_under_the_threshold_goes_whatever_its_name():
+    article = f"<h1>The title</h1><p>{LONG * 4}</p><p>{LONG * 3}</p><p>Short one.</p>"
+    for outer in ("div", "article", "section"):
+        page = f"<body><div>Buy now. Cheap.</div><{outer}>{article}</{outer}><div class=content>Imprint, rights.</div>"
+        assert pages.main_text(page) == "\n\n".join(["The title", (LONG * 4).strip(), (LONG * 3).strip(), "Short one."])
+
+
+@pytest.mark.parametrize("page", ["<div>" * 400_000 + "x", "<a '" * 600_000, "<a ' > '" * 400_000 + ">", "<span class=ad>" * 200_000,
+                                  "<ul>" + "<div>" * 100_000 + "<li>x" * 100_000, "<div>" * 100_000 + "</p>" * 400_000, "<!-- " * 500_000,
+                                  "<![CDATA[" * 200_000, "<" * 3_000_000, "<script>" * 300_000, "<p class='a" * 300_000])
+def test_long_pages_take_linear_time(page):
+    import time
+    t = time.perf_counter()
+    pages.main_text(page)
+    assert time.perf_counter() - t < 20
+
+
 def test_page_table(spark):
     rows = [(1, "u", f"<article><h1>H</h1><p>{LONG}</p></article>", 5), (2, None, None, 5), (None, "v", "", 5), (1, "u", "x", 5)]
     df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int")
@@ -192,4 +233,4 @@ assert not any(q.startswith("op") or q == "pipeline" for q in e.queries()) and l
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
     import __spark_entry__ as e
     names = [n for n in e.queries() if re.match(r"op\d+_|pipeline", n)]
-    assert len(names) == 11
+    assert len(names) == 14
