@@ -4,7 +4,7 @@ Base rules look at one text: its words, symbols, repeated lines and repeated thr
 The method's rule looks across documents: every distinct line of a text is normalised (ASCII lower
 case, digits as 0, white space as one space, trimmed) and hashed, and a line counts, per host, the
 distinct documents that hold it. Copies of one document must not make its lines look like
-boilerplate, so documents with the same set of lines count once. Lines of more documents than both
+boilerplate, so documents with the same set of lines count once, for the line and for its host. Lines of more documents than both
 limits are removed, and a document that keeps less than ``min_left`` of its words is rejected.
 :func:`quality` gives the counters and the verdict of every row, :func:`cleaned` the documents that pass,
 without those lines.
@@ -103,7 +103,9 @@ def frequent_lines(profiles: DataFrame, *, min_docs: int, min_share: float) -> D
         F.first("distinct_lines").alias("distinct_lines"))
     lines = sets.select("host", F.explode("distinct_lines").alias("line"))
     counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
-    hosts = profiles.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    # the same documents, so that copies make neither a line's share larger nor the host's
+    hosts = profiles.select("host", F.xxhash64("distinct_lines").alias("document")).distinct().groupBy("host").agg(
+        F.count(F.lit(1)).alias("host_docs"))
     often = counts.filter(F.col("n_docs") > min_docs)
     return often.join(hosts, often.host.eqNullSafe(hosts.host)).filter(
         F.col("n_docs") > min_share * F.col("host_docs")).select(often.host, "line")
@@ -183,7 +185,7 @@ dl AS (SELECT DISTINCT r, host, h FROM l),
 doc AS (SELECT r, host, string_agg(h, ' ' ORDER BY h) AS lines FROM dl GROUP BY r, host),
 one AS (SELECT min(r) AS r FROM doc GROUP BY host, lines),
 cnt AS (SELECT host, h, count(*) AS n FROM dl JOIN one USING (r) GROUP BY host, h),
-hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
+hosts AS (SELECT d.host, count(DISTINCT coalesce(doc.lines, '')) AS n FROM d LEFT JOIN doc ON d.r = doc.r GROUP BY d.host),
 often AS (SELECT c.host, c.h FROM cnt c JOIN hosts x ON c.host IS NOT DISTINCT FROM x.host
           WHERE c.n > 20 AND c.n > 0.05 * x.n),
 lost AS (SELECT l.r, sum(l.words) AS n FROM l JOIN often o ON l.host IS NOT DISTINCT FROM o.host AND l.h = o.h

@@ -193,6 +193,18 @@ def test_common_items(many):
     assert near_dup.common_items(items, left, right).tolist() == want
 
 
+def test_copies_dont_hide_the_lines_that_the_other_pages_share(spark):
+    rnd = random.Random(12)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    boiler, copy = words(90), "\n".join(words(20) for _ in range(4))
+    rows = [(i, copy, "host") for i in range(900)]
+    rows += [(1000 + i, f"{boiler}\n{words(15)}" if i < 40 else "\n".join(words(20) for _ in range(4)), "host") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = {r.doc_id: (r.n_boilerplate_words, r.kept) for r in quality.quality(docs).collect()}
+    assert all(out[1000 + i] == (90, False) for i in range(40)) and all(out[i] == (0, True) for i in range(900))
+    assert all(out[1000 + i] == (0, True) for i in range(40, 100))
+
+
 # --- secrets ---------------------------------------------------------------------------------
 def prose(rnd, n=300):
     syllables = ["an", "ther", "tion", "re", "ble", "ing", "ou", "sta", "men"]
@@ -227,6 +239,64 @@ def test_secrets_are_found_and_replaced(spark):
     assert out.pop(500) == text.pop(500).replace(key, "[secret]") and out == text
 
 
+# Written by hand, in formats that the forest's examples don't have; the parts are joined here alone.
+FOREIGN = [
+    "SLACK_BOT_TOKEN=xoxb" + "-263594206564-2343594206574-FGqddMF8t08v8N7Oq4i57vs1", "gitlab_token: glpat" + "-zX4k9QmB2vT7yR1cNpLd",
+    'maps_api_key = "AIza' + 'SyD3k9Xw7LqPz0mNvB5tRyU2iOeHgFaCsJk"', "SENDGRID_API_KEY='SG" + ".ngeVfQFYQlKU0ufo8x5d1A.TwL2iGABf9DHoTf09kqeF8tAmbihYzrnopKc1s5cr'",
+    "//registry.npmjs.org/:_authToken=npm" + "_b3Kq8XzW1mPv6TyLr0NdJf5HsGc9EaUo2iQw", "export HF_TOKEN=hf" + "_QmZxKvRtYpWnBsDfGhJkLcVbNmAqWeRtYu",
+    "Authorization: Bearer ya29" + ".a0AfH6SMBx7KqZp3vWnT9yLrD5mJcGs2HfEoUiQaXbVwRtYzNk", "shopify_secret: shpat" + "_f09c3b7a1e5d482690bc7fe13a5d8246",
+    'client_secret = "Vx8~' + 'Q.7kLm2Np9RtS-wXyZ3aBcDeFgHiJ4kL5mN"', "DOCKER_PASSWORD=dckr" + "_pat_8KfZqW3xVn6TyBmRj0LsPdHc2Ga",
+    "db_password: 9f$K!" + "vz2Qm@rT7pL", 'twilio_auth = "SK' + '3b8f1c9e7a2d4560b1f8e3c7d9a2f5b4"', "aws_secret_access_key = wJa9" + "lrXUtnFEMI/K7MDENG/bPxRfiCYzQw8Lk3Vt",
+    'pwd="tR8#' + 'mK2$wZ9!qB"', "api-key: 7Hq2" + "Zk9XvBn4Tm1YpLw6Rc3Jd8Fs5GaUe0Ki", "secret=ey" + "JhbGciOi.eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFt.SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV"]
+HARMLESS = [
+    'integrity sha512 d3b07384d113edec49eaa6238ad5ff00d3b07384d113edec49eaa6238ad5ff00', "commit 9fceb02d0ae598e95dc970b74767f19372d61af8",
+    "uuid: 550e8400-e29b-41d4-a716-446655440000", "see https://docs.example.org/guide/getting-started-with-the-library", "token = your_token_here",
+    'password = "changeme123"', "secret: ${VAULT_SECRET_NAME}", "isbn 978-3-16-148410-0 and 9783161484100123", "----------------------------------------",
+    "the functionNameThatIsVeryLongAndDescriptive was called", "a file at /usr/local/share/applications/defaults/list", "md5: 5d41402abc4b2a76b9719d911017c592",
+    "mail to averylongmailboxname@example.com today", "password: ************", "checksum e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855",
+    "reallyreallyreallyreallylongword of nothing"]
+
+
+def test_forest_on_keys_written_by_hand(spark):
+    """Recall and precision of whole documents, given ones around the keys and their look-alikes."""
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    clean = [r.text for r in given.where("length(text) between 400 and 3000 and lang = 'en'").limit(80).collect()]
+    rows = [(10**6 + i, f"{clean[i][:300]}\n{x}\n{clean[i][300:]}", "src1") for i, x in enumerate(FOREIGN)]
+    rows += [(2 * 10**6 + i, f"{clean[40 + i][:300]}\n{x}\n{clean[40 + i][300:]}", "src1") for i, x in enumerate(HARMLESS)]
+    docs = given.unionByName(spark.createDataFrame(rows, given.schema))
+    planted = {(r.doc_id, m.start(1), 40) for r in given.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    found = {(r.doc_id, r.start, r.length) for r in secrets.secret_findings(docs).collect()}
+    of = lambda low, high: {f[0] for f in found if low <= f[0] < high}
+    hits, false = of(10**6, 2 * 10**6), of(2 * 10**6, 3 * 10**6)
+    assert len(planted) == 13 and len(planted & found) >= 12
+    assert len(hits) >= 0.9 * len(FOREIGN), sorted(set(range(len(FOREIGN))) - {i - 10**6 for i in hits})
+    others = {f for f in found if f[0] < 10**6} - planted
+    right = len(hits) + len(planted & found)
+    assert right / (right + len(false) + len(others)) >= 0.9, (sorted(false), sorted(others))
+
+
+def test_secrets_of_long_texts_ties_and_repeated_rows(spark):
+    rnd = random.Random(21)
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    line = f'{prose(rnd, 20)} token = "{key}" {prose(rnd, 20)}'
+    long = " ".join([prose(rnd, 40_000), line, prose(rnd, 40_000), line])
+    rows = [(i, prose(rnd), "src") for i in range(200)] + [(500, line, "src")] * 3 + [(501, long, "src"), (502, "x" * 300_000, "src")]
+    docs = spark.createDataFrame([(*r, 1, "a") for r in rows], "doc_id bigint, text string, source string, score int, start string")
+    found = collections.Counter((r.doc_id, r.start) for r in secrets.secret_findings(docs).collect() if r.doc_id >= 500)
+    assert found == {(500, line.index(key)): 3, (501, long.index(key)): 1, (501, long.rindex(key)): 1}
+    out = secrets.redacted(docs)
+    assert out.columns == docs.columns and out.where("doc_id = 501 and text like '%04dbebab%'").count() == 0
+    assert out.where("doc_id = 500").count() == 3
+
+
+def test_examples_come_from_whole_texts_and_copies_count_once(spark):
+    rows = [(1, "same text " * 5, "s")] * 500 + [(i, f"{'early ' * 3000}late{chr(97 + i % 26)}", "s") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(7)
+    made = secrets.labelled(docs, sample=1000, id_col="doc_id", text_col="text", path_col="source").collect()
+    texts = [bytes(r.context).decode() for r in made]
+    assert len(made) < 30 * 19 and any("late" in t for t in texts) and sum("same" in t for t in texts) < 40
+
+
 def test_given_findings_train_the_forest(spark):
     rows = [(f'token = "{"a1" * 10}{i:04d}"'.encode(), 9, 33, None, 1.0) for i in range(40)]
     rows += [(f"see file {'b2' * 10}{i:04d} here".encode(), 9, 33, None, 0.0) for i in range(40)]
