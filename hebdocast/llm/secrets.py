@@ -45,11 +45,10 @@ PLACEHOLDERS = ("example", "changeme", "your_", "xxxx", "dummy", "sample", "plac
 RUN = re.compile(rb"[A-Za-z0-9+/_\-]{16,}(?:\.[A-Za-z0-9+/_\-]{16,})*={0,2}")
 VALUE = re.compile(rb"(?:%s)[\w\-]{0,20}[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"',;]{8,})" %
                    b"|".join(re.escape(n.encode()) for n in SECRET_NAMES), re.I)
-DICTIONARY_WORD = re.compile(rb"[a-z]{3,12}")
 
 
 def dictionary(docs: DataFrame, text_col: str, size: int = WORDS) -> list[str]:
-    """The most frequent words of three to twelve letters in all documents."""
+    """The most frequent words of three to twelve letters, of any script, in all documents."""
 
     def gather(batches):
         worker_for("secrets")
@@ -70,12 +69,14 @@ def dictionary(docs: DataFrame, text_col: str, size: int = WORDS) -> list[str]:
 
     def _fold(words, found):
         for word, n in words.items():
-            if DICTIONARY_WORD.fullmatch(word := word.lower()):
-                found[word] += n
+            if 3 <= len(word) <= 48:  # at most four bytes a letter
+                letters = word.decode("utf-8", "ignore").lower()
+                if letters.isalpha() and 3 <= len(letters) <= 12:
+                    found[letters] += n
 
     def _rows(found):
         return pa.RecordBatch.from_arrays(
-            [pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+            [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
     top = (texts.mapInArrow(gather, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -140,7 +141,7 @@ def features(text: bytes, start: int, end: int, path: str | None, words: set[str
 def examples(text: str, seed: int) -> list[tuple[str, int, int, float]]:
     """Findings with known labels among the words of a text: ``(context, start, end, label)``."""
     rnd = random.Random(seed)
-    words = re.findall(r"[^\W\d_]+", text)[:4000] or ["word"]
+    words = re.findall(r"[^\W\d_]+", text) or ["word"]
     some = lambda n: " ".join(rnd.choice(words) for _ in range(n))
     letters = "abcdefghijklmnopqrstuvwxyz"
     alnum = letters + letters.upper() + "0123456789"
@@ -226,11 +227,14 @@ class Forest:
 
 def labelled(docs: DataFrame, *, sample: int, id_col: str, text_col: str, path_col: str | None) -> DataFrame:
     """Examples in the words of the ``sample`` documents with the smallest hashes: ``context, start,
-    end, path, label``."""
+    end, path, label``. The hashes alone are ordered; the largest of them then picks the texts in the scan. Rows
+    that repeat id and text are one document."""
     path = F.col(f"`{path_col}`").cast("string") if path_col else F.lit(None).cast("string")
-    some = (docs.filter(F.col(f"`{text_col}`").isNotNull())
-            .select(F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("seed"), F.substring(f"`{text_col}`", 1, 4000).alias("text"),
-                    path.alias("path")).orderBy("seed").limit(sample))
+    texts = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(
+        F.xxhash64(f"`{id_col}`", f"`{text_col}`").alias("seed"), F.col(f"`{text_col}`").cast("string").alias("text"), path.alias("path"))
+    last = texts.select("seed").orderBy("seed").limit(sample).agg(F.max("seed")).first()[0]  # eight bytes a row
+    some = texts.filter(F.col("seed") <= F.lit(0 if last is None else last)).groupBy("seed").agg(
+        F.first("text").alias("text"), F.first("path").alias("path"))
 
     def write(batches):
         for batch in batches:
