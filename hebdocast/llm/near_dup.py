@@ -9,7 +9,8 @@ sets of similarity 0.75 miss each other with probability 2.5e-7.
 Within buckets, pairs are not listed. First every member is held against the bucket's smallest class
 only; pairs whose signatures agree well are confirmed on the full sets, and components are built. In
 buckets that still hold two components, members of different components whose signatures agree are
-held together as clusters. A cluster is dealt into chunks of ``CHUNK`` members, and each chunk
+held together as clusters. A cluster is dealt into chunks of ``CHUNK`` members (fewer where their sets are large, so a
+chunk's sets stay about ``CHUNK_ITEMS`` runs), and each chunk
 confirms its candidates between different components on full sets inside one task, which returns one
 link a member at most. In larger clusters the members outside the largest component then meet every
 chunk. So every candidate between different components is confirmed or refused on full sets.
@@ -40,6 +41,7 @@ from .words import multipliers, runs, text_words
 SHINGLE, BANDS, ROWS = 5, 40, 4
 MARGIN = 0.19  # five and a half standard errors of a signature's estimate at 0.75
 CHUNK = 512
+CHUNK_ITEMS = 1 << 23  # runs of words that the sets of a chunk hold together, about
 
 
 def shingle_set(h: np.ndarray, size: int, factors: np.ndarray) -> np.ndarray:
@@ -234,11 +236,12 @@ def linked(members: DataFrame, least: int, percent: int) -> DataFrame:
     return members.groupBy("cell").applyInArrow(run, "u bigint, v bigint").distinct()
 
 
-def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFrame, least: int, percent: int,
-             chunk: int) -> DataFrame:
+def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFrame, weights: DataFrame, least: int,
+             percent: int, chunk: int, chunk_items: int) -> DataFrame:
     """``links`` and those that it misses between nodes that ``seeds`` hold together. Such a cluster is
     dealt into chunks that are searched each for itself; then the nodes outside a cluster's largest
-    component, the hubs, are held against all of its chunks."""
+    component, the hubs, are held against all of its chunks. ``weights`` (``node, weight``) are set sizes: chunks
+    and tasks follow both the members and what their sets hold."""
 
     tasks = tasks_for(seeds.count())
 
@@ -246,25 +249,36 @@ def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFr
         return written(clusters.join(parts.hint("merge"), "cluster").join(found.hint("merge"), "node", "left")
                        .withColumn("root", F.coalesce("root", "node")), "placed", tasks)
 
+    def weighed(rows):
+        return rows.join(weights.hint("merge"), "node", "left")
+
+    def shares():
+        return F.greatest(F.ceil(F.count(F.lit(1)) / chunk), F.ceil(F.coalesce(F.sum("weight"), F.lit(0)) / chunk_items))
+
     def of_blocks(rows):
-        cells = max(1, rows.count() // 1000)
+        n, weight = weighed(rows.select("node")).agg(F.count(F.lit(1)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        cells = max(1, n // 1000, weight // chunk_items)
         dealt = rows.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)))
         return linked(dealt.join(nodes.hint("merge"), "node"), least, percent).coalesce(max(12, cells))
 
     clusters = written(components(seeds).withColumnRenamed("root", "cluster").distinct(), "clusters", tasks)
-    parts = written(clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("parts")), "parts", tasks)
+    parts = written(weighed(clusters).groupBy("cluster").agg(shares().alias("parts")), "parts", tasks)
     at = F.pmod(F.xxhash64("node"), F.col("parts"))
     now = placed(found, parts)
     own = now.select(F.xxhash64("cluster", at).alias("block"), "node", "root", F.lit(True).alias("hub"))
     links = written(links.union(of_blocks(own)), "links")
+    discard(now)
     large = written(parts.filter("parts > 1"), "large", tasks)
     if large.isEmpty():
+        discard(clusters, parts, large)
         return links
-    now = placed(written(components(links), "components"), large)
+    joined = written(components(links), "components")
+    now = placed(joined, large)
+    discard(clusters, parts, large, joined)
     sizes = now.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("size"))
     most = written(sizes.groupBy("cluster").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "most", tasks)
     hubs = written(now.join(most.hint("merge"), "cluster").filter("root <> main").drop("main"), "hubs", tasks)
-    turns = written(hubs.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / chunk).alias("turns")), "turns", tasks)
+    turns = written(weighed(hubs).groupBy("cluster").agg(shares().alias("turns")), "turns", tasks)
     block = F.xxhash64("cluster", "at", "turn").alias("block")
     range_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     members = now.join(turns.hint("merge"), "cluster").withColumn("at", at).withColumn("turn", range_of("turns"))
@@ -272,12 +286,16 @@ def searched(seeds: DataFrame, links: DataFrame, found: DataFrame, nodes: DataFr
         "turn", F.pmod(F.xxhash64("node", F.lit(1)), F.col("turns"))).withColumn("at", range_of("parts"))
     both = members.select(block, "node", "root", F.lit(False).alias("hub")).union(
         guests.select(block, "node", "root", F.lit(True).alias("hub")))
-    return written(links.union(of_blocks(written(both, "blocks", tasks))), "links")
+    both = written(both, "blocks", tasks)
+    out = written(links.union(of_blocks(both)), "links")
+    discard(now, most, hubs, turns, both, links)
+    return out
 
 
 def decided(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS,
-            chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, k1, k2, n_shingles, component_id, kept`` of every row; ``k1, k2`` hash its id and text."""
+            chunk: int = CHUNK, chunk_items: int = CHUNK_ITEMS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, k1, k2, n_shingles, component_id, kept`` of every row; ``k1, k2`` hash its id and text. Tables that the result
+    doesn't read are deleted."""
     kind, n = id_type(docs, id_col), bands * rows
     least = int(np.floor((percent / 100 - MARGIN) * n))
     texts = pick(docs, id_col, text_col)
@@ -322,6 +340,7 @@ def decided(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: i
                     .filter("low <> high").select("key"), "split", tasks)
     todo = written(rooted.join(split.hint("merge"), "key", "left_semi"), "todo", tasks)
     discard(rooted, split)
+    discard(buckets, members)
     n_rows = todo.count()
     if n_rows:
         cells = max(1, n_rows // 5_000)
@@ -330,17 +349,22 @@ def decided(docs: DataFrame, *, percent: int = 75, size: int = SHINGLE, bands: i
         seeds = open_groups(small.join(sig.hint("merge"), "node"), least).union(
             todo.filter((F.col("n") > chunk) & (F.col("hub") != F.col("node")))
             .select(F.col("hub").alias("u"), F.col("node").alias("v")))
-        links = searched(written(seeds, "seeds", max(12, cells)), links, found, sig.join(sets.hint("merge"), "node"), least,
-                         percent, chunk)
+        seeds = written(seeds, "seeds", max(12, cells))
+        first = links, found
+        links = searched(seeds, links, found, sig.join(sets.hint("merge"), "node"),
+                         sets.select("node", F.size("items").cast("bigint").alias("weight")), least, percent, chunk, chunk_items)
         found = written(components(links), "components")
+        discard(seeds, first[1])
 
     rooted = classes.join(found.hint("merge"), "node", "left").select(
         "digest", "least", F.coalesce("root", "node").alias("root"))
     rooted = written(rooted, "rooted")
+    discard(classes, wanted, sets, todo, links, found)
     smallest = rooted.groupBy("root").agg(F.min("least").alias("least"))
     smallest = written(smallest.select("root", F.col("least.doc_id").alias("component_id"),
                                        F.col("least.row").alias("chosen")), "smallest")
     named = written(rooted.join(smallest.hint("merge"), "root").select("digest", "component_id", "chosen"), "named")
+    discard(rooted, smallest)
     out = signed.select("row", "doc_id", "k1", "k2", "n_shingles", "digest").join(named.hint("merge"), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "k1", "k2", "n_shingles", component.alias("component_id"),

@@ -143,8 +143,8 @@ def plain_near(docs, percent=75, size=5):
     return collections.Counter((i, len(s), smallest.get(find(k))) for k, ((i, _), s) in enumerate(zip(docs, sets)))
 
 
-@pytest.mark.parametrize("chunk", [3, 512])
-def test_components_equal_plain_search(spark, odd, chunk):
+@pytest.mark.parametrize("chunk, chunk_items", [(3, 1 << 23), (512, 1 << 23), (512, 300)])
+def test_components_equal_plain_search(spark, odd, chunk, chunk_items):
     rnd = random.Random(9)
     vocabulary = ["v%d" % i for i in range(3000)]
     rows = []
@@ -156,7 +156,7 @@ def test_components_equal_plain_search(spark, odd, chunk):
                 copy[rnd.randrange(len(copy))] = rnd.choice(vocabulary)
             rows.append((len(rows) * 7 % 101 + 100, " ".join(copy).upper() if rnd.random() < 0.3 else " ".join(copy)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").unionByName(odd.select("doc_id", "text"))
-    out = near_dup.near_duplicates(docs, chunk=chunk).collect()
+    out = near_dup.near_duplicates(docs, chunk=chunk, chunk_items=chunk_items).collect()
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_near(pairs(docs))
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
