@@ -39,7 +39,13 @@ def _win(part: str, order: str, frame: str = "") -> str:
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
 
+# Stages that several later ones read: computed once in a statement.
+SHARED = ("tx_w", "weekly", "featured", "slong", "hv", "hv_state", "sv_fc")
+
+
 def cte(name: str, deps: tuple[str, ...], body: str) -> None:
+    if name in SHARED:
+        body = body.replace(f"{name} AS (", f"{name} AS MATERIALIZED (", 1)
     CTES[name] = (deps, body)
 
 
@@ -322,9 +328,10 @@ cte("hv_state", ("hv", "hv_last"), """hv_state AS (
 cte("hv_snf", ("hv_state", "cut"), """hv_snf AS (
   SELECT s."ProductID", s.slot AS forecast_week,
          CAST(c.origin + CAST(7 * (s.slot - 1) AS INTEGER) AS DATE) AS "WeekStart",
-         greatest(coalesce(s.value, last.value, 0), 0)::DOUBLE AS "predicted_Sales_Qty",
+         greatest(coalesce(s.value, s.last, 0), 0)::DOUBLE AS "predicted_Sales_Qty",
          'seasonal_naive' AS model
-  FROM hv_state s JOIN hv_state last ON last."ProductID" = s."ProductID" AND last.slot = 12
+  FROM (SELECT *, last_value(value) OVER (PARTITION BY "ProductID" ORDER BY slot
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM hv_state) s
   CROSS JOIN cut c)""")
 
 # --- country drill-down -----------------------------------------------------------

@@ -328,6 +328,26 @@ def leakage_violations(spark, sf):
     return lv(f)
 
 
+_SOURCE_FRAMES = {"Sales_Qty_lag_1": (1, 1), "Sales_Qty_lag_12": (12, 12), "Sales_Qty_rollmean_4": (4, 1),
+                  "Sales_Qty_rollstd_12": (12, 1), "product_mean_qty": (None, 1), "zero_streak_length_prev": (None, 1),
+                  "dominant_dow_prev": (1, 1)}
+_SOURCES_SQL = "\nUNION ALL\n".join(f"""SELECT '{c}' AS feature, count(src) AS n_rows, min("WeekStart" - src)::BIGINT AS nearest_days,
+  max("WeekStart" - src)::BIGINT AS farthest_days FROM (SELECT "WeekStart", max("WeekStart") OVER (PARTITION BY "ProductID" ORDER BY "WeekStart"
+  ROWS BETWEEN {'UNBOUNDED' if a is None else a} PRECEDING AND {z} PRECEDING) AS src FROM featured)""" for c, (a, z) in _SOURCE_FRAMES.items())
+
+
+@register("feature_sources", b(_SOURCES_SQL, "featured"))
+def feature_sources(spark, sf):
+    """How far back the nearest value that a feature reads lies, over all rows."""
+    from ..operators import leakage
+    f = flow(spark, sf)
+    sources = leakage.source_weeks(f.panel_base, f.params)
+    days = {c: F.datediff("WeekStart", c) for c in _SOURCE_FRAMES}
+    one = sources.agg(*[F.struct(F.lit(c).alias("feature"), F.count(c).alias("n_rows"), F.min(d).cast("long").alias("nearest_days"),
+                                 F.max(d).cast("long").alias("farthest_days")).alias(c) for c, d in days.items()])
+    return one.select(F.explode(F.array(*[F.col(c) for c in days])).alias("x")).select("x.*")
+
+
 # --- 2.6 tiers --------------------------------------------------------------
 @register("tiers", b("SELECT * FROM tiers", "tiers"))
 def tiers_q(spark, sf):
