@@ -14,6 +14,7 @@ entries, so memory stays bounded whatever the input's vocabulary.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 import unicodedata
@@ -67,7 +68,7 @@ class Tokens(dict):
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.kind = "word" if self.tok.normalizer is not None else "byte"
         self.find = regex.compile(WORD_PIECES if self.kind == "word" else BYTE_PIECES).findall
-        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.alphabet = "".join(byte_alphabet())
         self.space = self.alphabet[32]
         self.tokenize = self.tok.model.tokenize
         self.marks = {m.encode(): self.piece(m) for m in sorted(MARKS)}
@@ -94,7 +95,7 @@ class Tokens(dict):
             pieces = self.find(word)
         if plain and word.isprintable():
             return pieces if " " not in word else [p.replace(" ", self.space) for p in pieces]
-        return [p.encode().decode("latin-1").translate(self.alphabet) for p in pieces]
+        return [codecs.charmap_decode(p.encode(), "strict", self.alphabet)[0] for p in pieces]
 
     def whole(self, text: bytes) -> bytes:
         return _packed(self.tok.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids)
