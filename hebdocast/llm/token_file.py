@@ -13,8 +13,8 @@ of id and token count, in order), ``bits`` (codes, most significant bit first, p
 ``id, bits``.
 
 Scale: the texts are shuffled once, by ranges of the document id; the uncoded blocks are a table in
-the shared folder that goes when the files are written. Counting shuffles one row per used id and
-task. Nothing but the code table (bounded by the vocabulary) reaches the driver. The
+the shared folder that goes when the files are written. The tasks that encode also count; summing shuffles one
+row per used id and task. Nothing but the code table (bounded by the vocabulary) reaches the driver. The
 tokens before each file come from a running sum over one row a file.
 
 Defined results: a null text is empty and has only the end token; null ids come first; rows that
@@ -87,14 +87,16 @@ def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[
     size = lengths[ids].astype(np.int64)
     ends = np.cumsum(size)
     starts = ends - size
-    total = int(ends[-1]) if len(ends) else 0
-    n = -(-total // 8)
-    value = codes[ids] << (32 - size - (starts & 7))
-    at = starts >> 3
-    out = np.zeros(n + 4)
-    for k in range(3):  # a code of at most 17 bits from any bit of a byte on lies in three bytes
-        out += np.bincount(at + k, weights=(value >> (24 - 8 * k)) & 255, minlength=n + 4)[:n + 4]
-    return out[:n].astype(np.uint8).tobytes(), starts[::STEP]
+    if not len(ids):
+        return b"", starts
+    value = codes[ids].astype(np.uint64) << (64 - size - (starts & 31)).astype(np.uint64)
+    # A code starts in every 32-bit word; the codes that start in one fill disjoint bits of the 64 from it on.
+    first = np.flatnonzero(np.diff(starts >> 5, prepend=-1))
+    sums = np.add.reduceat(value, first)
+    out = np.zeros(len(sums) + 1, ">u4")
+    out[:-1] = sums >> np.uint64(32)
+    out[1:] |= (sums & np.uint64(0xFFFFFFFF)).astype(">u4")
+    return out.tobytes()[:-(-int(ends[-1]) // 8)], starts[::STEP]
 
 
 class Decoder:
@@ -143,58 +145,58 @@ def id_width(tokenizer: str, end_id: int) -> str:
 
 
 def plain_blocks(docs: DataFrame, tokenizer: str, end_id: int, width: str, id_col: str, text_col: str) -> DataFrame:
-    """Blocks of whole documents in ascending id order: ``file, block, docs, ids`` (of ``width``)."""
+    """Blocks of whole documents in ascending id order: ``file, block, docs, ids`` (of ``width``), and on the last block
+    of each file ``counts``: the file's used ids, each with its number."""
     kind, end = id_type(docs, id_col), np.array([end_id], "<u4").tobytes()
 
     def blocks(batches):
         words = tokens(tokenizer)
         file, block = TaskContext.get().partitionId(), 0
         keys, sizes, parts, size = [], [], [], 0
+        total = np.zeros(1, np.int64)
 
-        def row():
+        def row(last):
+            nonlocal total
+            found = np.frombuffer(b"".join(parts), "<u4")
+            sums = np.bincount(found, minlength=len(total))
+            sums[:len(total)] += total
+            total = sums
             entries = pa.StructArray.from_arrays([pa.array(keys, key_type), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
+            used = np.flatnonzero(total) if last else np.zeros(0, np.int64)
+            counts = pa.StructArray.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
             return pa.RecordBatch.from_arrays(
                 [pa.array([file], pa.int32()), pa.array([block], pa.int64()),
                  pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), entries),
-                 pa.array([np.frombuffer(b"".join(parts), "<u4").astype(width).tobytes()], pa.binary())],
-                ["file", "block", "docs", "ids"])
+                 pa.array([found.astype(width).tobytes()], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), counts)],
+                ["file", "block", "docs", "ids", "counts"])
 
         for batch in batches:
             key_type = batch.column("doc_id").type
             for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                if size >= BLOCK_TOKENS:
+                    yield row(False)
+                    block += 1
+                    keys, sizes, parts, size = [], [], [], 0
                 words.trim()
                 ids = words.ids(text.as_py()) + end
                 keys.append(key)
                 sizes.append(len(ids) // 4)
                 parts.append(ids)
                 size += len(ids) // 4
-                if size >= BLOCK_TOKENS:
-                    yield row()
-                    block += 1
-                    keys, sizes, parts, size = [], [], [], 0
         if keys:
-            yield row()
+            yield row(True)
 
     # The hash lets the rows of one much repeated id spread over several ranges.
     keyed = pick(docs, id_col, text_col).withColumn("hash", F.xxhash64("text"))
     ordered = keyed.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash")
-    return ordered.mapInArrow(blocks, f"file int, block bigint, docs array<struct<doc_id:{kind},n_tokens:bigint>>, ids binary")
-
-
-def id_counts(blocks: DataFrame, width: str) -> DataFrame:
-    """``id, n`` over all blocks."""
+    return ordered.mapInArrow(blocks, f"file int, block bigint, docs array<struct<doc_id:{kind},n_tokens:bigint>>, ids binary, "
+                                      "counts array<struct<id:bigint,n:bigint>>")
 
-    def count(batches):
-        total = np.zeros(1, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                sums = np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=len(total))
-                sums[:len(total)] += total
-                total = sums
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
-    return blocks.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+def id_counts(blocks: DataFrame) -> DataFrame:
+    """``id, n`` over all blocks, from the counts that stand on the last block of each file."""
+    return blocks.select(F.inline("counts")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, max_bits: int = MAX_BITS,
@@ -205,7 +207,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
         raise ValueError(f"codes may have {MAX_BITS} bits at most")
     width = id_width(tokenizer, end_id)
     blocks = written(plain_blocks(docs, tokenizer, end_id, width, id_col, text_col), "blocks", compression="zstd")
-    table = id_counts(blocks, width).collect()  # one row per used id: bounded by the vocabulary
+    table = id_counts(blocks).collect()  # one row per used id: bounded by the vocabulary
     counts = np.zeros(max([end_id, *(r["id"] for r in table)]) + 1, np.int64)
     for r in table:
         counts[r["id"]] = r["n"]
@@ -228,7 +230,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int = 2,
     kind = id_type(docs, id_col)
     schema = (f"file int, block bigint, docs array<struct<doc_id:{kind},n_tokens:bigint>>, bits binary, "
               "checkpoints array<bigint>")
-    blocks.mapInArrow(coded, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks.drop("counts").mapInArrow(coded, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     discard(blocks)
 
 
