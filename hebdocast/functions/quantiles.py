@@ -12,10 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 
 
@@ -29,31 +30,11 @@ def stack_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             .where(F.col("value").isNotNull()))
 
 
-def _ranked(long_df: DataFrame, key: str, value: str, partitions: int | None):
-    """(ranked rows k, v, rank — persisted) and (k, n) per key (small)."""
-    spark = long_df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = (long_df.select(F.col(key).alias("k"), F.col(value).alias("v"))
-               .repartitionByRange(n_parts, "k", "v")
-               .sortWithinPartitions("k", "v")
-               .withColumn("_mid", F.monotonically_increasing_id())
-               .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
-               .withColumn("_local", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOCAL_BITS))
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    # one row per (partition, key): bounded by partitions x keys
-    blocks = sorted_.groupBy("_pid", "k").agg(F.count(F.lit(1)).alias("n_block"),
-                                              F.min("_local").alias("first_local"))
-    w = Window.partitionBy("k").orderBy("_pid")
-    blocks = (blocks
-              .withColumn("offset", F.coalesce(F.sum("n_block").over(
-                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("n", F.sum("n_block").over(Window.partitionBy("k")))
-              .persist(StorageLevel.MEMORY_AND_DISK))
-    ranked = (sorted_.join(F.broadcast(blocks.select("_pid", "k", "offset", "first_local")),
-                           ["_pid", "k"])
-              .select("k", "v", (F.col("offset") + F.col("_local") - F.col("first_local"))
-                      .alias("rank")))
-    return ranked, blocks.select("k", "n").distinct()
+def _offsets(blocks: DataFrame, part: str) -> DataFrame:
+    """``blocks`` (a row per partition and key, with ``n_block``) with the rows of the key before each and the key's ``n``."""
+    before = Window.partitionBy("k").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return (blocks.withColumn("offset", F.coalesce(F.sum("n_block").over(before), F.lit(0)))
+            .withColumn("n", F.sum("n_block").over(Window.partitionBy("k"))))
 
 
 def rank_within_key(long_df: DataFrame, key: str = "k", value: str = "v",
@@ -62,11 +43,24 @@ def rank_within_key(long_df: DataFrame, key: str = "k", value: str = "v",
 
     Range partitioning sorts across the cluster; a row's rank is its index in
     its partition plus the sizes of earlier partitions holding the same key
-    (a table of partitions x keys rows, broadcast). No task sees more than its
-    range partition, whatever the key distribution.
+    (a table of at most partitions x keys rows, joined by partition and key). No task sees
+    more than its range partition, whatever the key distribution. The sorted rows are a
+    table in the shared folder, so both readings see the same ranges.
     """
-    ranked, _ = _ranked(long_df, key, value, partitions)
-    return ranked.select(F.col("k").alias(key), F.col("v").alias(value), "rank")
+    spark = long_df.sparkSession
+    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = (long_df.select(F.col(key).alias("k"), F.col(value).alias("v"))
+              .repartitionByRange(n_parts, "k", "v")
+              .sortWithinPartitions("k", "v")
+              .withColumn("_mid", F.monotonically_increasing_id())
+              .select("k", "v", F.shiftright("_mid", _LOCAL_BITS).alias("_pid"),
+                      F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)).alias("_local")))
+    rows = stored(placed, "ranks")
+    blocks = _offsets(rows.groupBy("_pid", "k").agg(F.count(F.lit(1)).alias("n_block"), F.min("_local").alias("first_local")),
+                      "_pid")
+    return (rows.join(blocks.select("_pid", "k", "offset", "first_local"), ["_pid", "k"])
+            .select(F.col("k").alias(key), F.col("v").alias(value),
+                    (F.col("offset") + F.col("_local") - F.col("first_local")).alias("rank")))
 
 
 _CUM_SCHEMA = "k string, v double, w long, pid int, cum long"
@@ -110,31 +104,23 @@ def exact_quantiles(long_df: DataFrame, probs: Sequence[float],
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hist = (long_df.select(F.col(key).cast("string").alias("k"), F.col(value).cast("double").alias("v"))
             .groupBy("k", "v").agg(F.count(F.lit(1)).alias("w")))
-    cum = (hist.repartitionByRange(n_parts, "k", "v").sortWithinPartitions("k", "v")
-           .mapInPandas(_running_weights, _CUM_SCHEMA)
-           .persist(StorageLevel.MEMORY_AND_DISK))
-    blocks = cum.groupBy("pid", "k").agg(F.sum("w").alias("n_block"))
-    w = Window.partitionBy("k").orderBy("pid")
-    blocks = (blocks.withColumn("offset", F.coalesce(F.sum("n_block").over(
-                  w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .withColumn("n", F.sum("n_block").over(Window.partitionBy("k"))))
+    cum = stored(hist.repartitionByRange(n_parts, "k", "v").sortWithinPartitions("k", "v")
+                 .mapInPandas(_running_weights, _CUM_SCHEMA), "quantiles")
+    blocks = _offsets(cum.groupBy("pid", "k").agg(F.sum("w").alias("n_block")), "pid")
     prob_arr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (blocks.select("k", "n").distinct()
                .select("k", "n", F.explode(prob_arr).alias("prob"))
                .withColumn("h", F.col("prob") * (F.col("n") - 1))
                .withColumn("lo", F.floor("h").cast("long"))
                .withColumn("hi", F.ceil("h").cast("long")))
-    wanted = targets.select(F.col("k").alias("wk"), "prob", "h", "lo", "hi",
-                            F.explode(F.array("lo", "hi")).alias("r"))
-    # rank interval of a distinct value: [end - w + 1, end], end = offset + cum - 1
-    ranked = (cum.join(F.broadcast(blocks.select("pid", "k", "offset")), ["pid", "k"])
-              .withColumn("end", F.col("offset") + F.col("cum") - 1)
-              .withColumn("start", F.col("end") - F.col("w") + 1))
-    # keys x probs x 2 rows: bounded, broadcast; equi-join on key plus range test
-    hit = ranked.join(F.broadcast(wanted),
-                      (F.col("k") == F.col("wk")) & (F.col("r") >= F.col("start"))
-                      & (F.col("r") <= F.col("end")))
-    hit = hit.select("k", "prob", "h", "lo", "hi", "r", "v")
+    wanted = targets.select("k", "prob", "h", "lo", "hi", F.explode(F.array("lo", "hi")).alias("r"))
+    # the partition that holds each wanted rank, so that rows meet only the ranks of their own partition
+    located = (wanted.join(blocks.select("pid", "k", "offset", "n_block"), "k")
+               .where((F.col("r") >= F.col("offset")) & (F.col("r") < F.col("offset") + F.col("n_block"))))
+    # rank interval of a distinct value: [offset + cum - w, offset + cum)
+    end = F.col("offset") + F.col("cum")
+    hit = (cum.join(located, ["pid", "k"]).where((F.col("r") >= end - F.col("w")) & (F.col("r") < end))
+           .select("k", "prob", "h", "lo", "hi", "r", "v"))
     return (hit.groupBy("k", "prob")
             .agg(F.max(F.when(F.col("r") == F.col("lo"), F.col("v"))).alias("v_lo"),
                  F.max(F.when(F.col("r") == F.col("hi"), F.col("v"))).alias("v_hi"),

@@ -1,6 +1,8 @@
 """Bracketed quantiles, correlation by products and the leakage guard by provenance."""
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hebdocast.config import CATEGORICAL_MODE_COLUMNS, Params
-from hebdocast.functions.quantiles import bracketed_quantiles
+from hebdocast.functions.quantiles import bracketed_quantiles, rank_within_key
 from hebdocast.operators import features, leakage, report
 
 
@@ -33,6 +35,15 @@ def test_quantiles_equal_numpy(spark, few, accuracy):
         assert np.allclose(q, want, rtol=1e-12, atol=0), c
 
 
+def test_ranks_over_many_ranges_equal_a_sort(spark):
+    rnd = random.Random(3)
+    rows = [("a", v) for v in {f"v{rnd.randrange(10**6):06d}" for _ in range(3000)}] + [("b", v) for v in "qwe"]
+    rnd.shuffle(rows)
+    got = {(r["k"], r["v"]): r["rank"] for r in rank_within_key(spark.createDataFrame(rows, "k string, v string"), partitions=7).collect()}
+    assert got == {(k, v): i for k in "ab" for i, v in enumerate(sorted(v for x, v in rows if x == k))}
+    assert rank_within_key(spark.createDataFrame([], "k string, v string")).collect() == []
+
+
 def test_describe_of_an_empty_table(spark):
     assert report.describe(spark.createDataFrame([], "a double, b double"), ["a", "b"]).collect() == []
 
