@@ -10,7 +10,7 @@ the places where keys stand, and look-alikes (digests, commits, UUIDs, addresses
 identifiers, placeholders, words written together, code) in theirs. A value runs to its delimiter (white
 space, quote, comma or semicolon), however long it is.
 
-Scale: the dictionary is one aggregate, merged in the tasks first; its ``WORDS`` entries of at most 12
+Scale: the dictionary is one aggregate, merged in the tasks first and stored, so that tasks hand on its most frequent words only; its ``WORDS`` entries of at most 12
 letters and the forest's nodes are all that the tasks are handed. Scanning and redacting are one pass
 each, without a shuffle.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, worker_for, written
+from .common import discard, id_type, most_frequent, worker_for, written
 
 WORDS = 20_000
 SAMPLE = 1_500  # documents whose words surround the examples
@@ -79,8 +79,9 @@ def dictionary(docs: DataFrame, text_col: str, size: int = WORDS) -> list[str]:
             [pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     texts = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
-    top = (texts.mapInArrow(gather, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-           .orderBy(F.desc("n"), "word").limit(size).collect())  # at most ``size`` short words
+    counts = written(texts.mapInArrow(gather, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    top = most_frequent(counts, "word", "n", size).collect()  # at most ``size`` short words
+    discard(counts)
     return [r["word"] for r in top]
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _KEPT, id_type, pick, written
+from .common import _KEPT, id_type, most_frequent, pick, written
 from .tokens import Tokens, tokens
 
 HOT = 65_536
@@ -120,7 +120,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 2048, hot: int
     spark = docs.sparkSession
     rows = pick(docs, id_col, text_col)
     dictionary = written(pretoken_dictionary(rows, tokenizer), "pretokens")
-    common = (dictionary.filter(F.length("piece") <= 64).orderBy(F.desc("freq"), "piece").limit(hot)
+    common = (most_frequent(dictionary.filter(F.length("piece") <= 64), "piece", "freq", hot)
               .select("piece", "n").collect())  # at most hot rows of at most 64 characters
     known = spark.sparkContext.broadcast({r["piece"]: r["n"] for r in common})
 

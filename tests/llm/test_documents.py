@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from hebdocast.llm import near_dup, quality, secrets, stages, substring
+from hebdocast.llm import common, near_dup, quality, secrets, stages, substring
 from hebdocast.llm.components import components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -180,6 +180,17 @@ def test_star_steps_find_components(spark):
     assert {r.node: r.root for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("size", [0, 1, 7, 50, 299, 300, 5000])
+def test_most_frequent_equals_a_sort(spark, size):
+    rnd = random.Random(4)
+    rows = [(f"k{i}", rnd.choice((1, 1, 1, 2, 3, 7, 8, 9, 15, 16, 17, rnd.randint(1, 300), 2 ** rnd.randint(1, 62))))
+            for i in range(300)]
+    table = common.written(spark.createDataFrame(rows, "key string, freq bigint").repartition(9), "counts")
+    got = [tuple(r) for r in common.most_frequent(table, "key", "freq", size).collect()]
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:size]
+    assert common.most_frequent(table.limit(0), "key", "freq", size).collect() == []
+
+
 @pytest.mark.parametrize("many", [False, True])
 def test_common_items(many):
     rng = np.random.default_rng(1)
