@@ -169,6 +169,11 @@ cte("holidays", ("cut",), f"""holidays AS (
   SELECT make_date(CAST(y AS BIGINT), m, d) AS day
   FROM (SELECT unnest(range(year(first_week), year(valid_end) + 3)) AS y FROM cut) yy
   CROSS JOIN (VALUES {", ".join(f"({m}, {d})" for m, d in P.holiday_month_days)}) md(m, d))""")
+cte("supplied_days", (), """supplied_days AS (
+  SELECT day FROM (
+    SELECT CAST(o_orderdate AS DATE) AS day, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS n
+    FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1) d
+  QUALIFY n = max(n) OVER (PARTITION BY date_trunc('month', day)))""")
 cte("holiday_weeks", ("holidays",),
     "holiday_weeks AS (SELECT DISTINCT CAST(date_trunc('week', day) AS DATE) AS hw FROM holidays)")
 

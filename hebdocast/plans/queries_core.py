@@ -3,6 +3,7 @@ sparse-tier forecasts."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import CROSTON, FIXTURE_PARAMS, NAIVE, SBA, SPARSE, TSB
@@ -71,6 +72,22 @@ def holiday_dim(spark, sf):
     return flow(spark, sf).holidays
 
 
+@register("featured_supplied_holidays", b("""SELECT "ProductID", "WeekStart",
+       "WeekStart" IN (SELECT CAST(date_trunc('week', day) AS DATE) FROM supplied_days) AS is_lk_holiday_week
+FROM panel""", "panel", "supplied_days"))
+def featured_supplied_holidays(spark, sf):
+    """Holidays from a table instead of rules: the days of each month with the most urgent orders."""
+    f = flow(spark, sf)
+    days = (read_table(spark, sf, "orders", ["o_orderdate", "o_orderpriority"])
+            .where(F.col("o_orderdate").isNotNull())
+            .groupBy(F.col("o_orderdate").cast("date").alias("day"))
+            .agg(F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n"))
+            .withColumn("most", F.max("n").over(Window.partitionBy(F.date_trunc("month", "day"))))
+            .where(F.col("n") == F.col("most")))
+    return (features.add_features(f.panel_base, features.holiday_weeks(days), f.params)
+            .select("ProductID", "WeekStart", "is_lk_holiday_week"))
+
+
 # --- 2.2 cleaning -----------------------------------------------------------
 @register("clean_artifacts", b("""SELECT * EXCLUDE (is_artifact),
   CASE WHEN "Region" = 'Total' THEN 'pivot total row'
