@@ -67,7 +67,9 @@ def discard(*tables: DataFrame) -> None:
 def most_frequent(table: DataFrame, key: str, n: str, size: int) -> DataFrame:
     """The ``size`` rows of a :func:`written` table with the largest positive counts ``n``, ties to the smaller ``key``.
     A first pass counts rows by the length and the four leading bits of ``n`` (at most 500 groups), which tells how
-    large ``n`` must be: all tasks together then hand on hardly more than ``size`` rows, not ``size`` each."""
+    large ``n`` must be: all tasks together then hand on ``size`` rows and those of the
+    last group, not ``size`` each. (Where the last group is large, such as words that occur once, a task still hands on at
+    most ``size``.)"""
     bits = F.bin(F.col(n))
     groups = table.groupBy(F.length(bits).alias("length"), F.substring(bits, 1, 4).alias("lead")).count().collect()
     least, rows = 1, 0
