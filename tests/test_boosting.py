@@ -289,3 +289,22 @@ def test_rmse_is_no_worse_than_level_wise_trees_of_the_ml_library(spark):
     fit = GBTRegressor(labelCol="Sales_Qty", maxDepth=3, stepSize=0.3, maxIter=20, minInstancesPerNode=5, maxBins=128, seed=1).fit(x.where(F.col("WeekStart") < cut))
     theirs = fit.transform(x.where(F.col("WeekStart") >= cut)).agg(F.sqrt(F.avg(F.pow(F.col("Sales_Qty") - F.col("prediction"), 2)))).first()[0]
     assert ours <= theirs * 1.02
+
+
+def test_passes_read_predictions_and_follow_only_counted_nodes(stored_matrix, monkeypatch):
+    blocks, binning = stored_matrix
+    model = boosting.Ensemble("m", boosting.Rules(step=0.3, rounds=boosting.STORE + 3, leaves=5), ALL, HELD)
+    seen, plain = [], boosting._pass
+
+    def spied(state, asks, *rest):
+        seen.append((len(asks[0].since), "products" in state.columns))
+        return plain(state, asks, *rest)
+
+    monkeypatch.setattr(boosting, "_pass", spied)
+    boosting.grow(blocks, binning, [model], 0)
+    assert len(model.trees) == boosting.STORE + 3 and set(seen) == {(0, False)}  # no tree is evaluated again by a pass
+    tree, bins = model.trees[0], np.random.default_rng(1).integers(0, binning.bins, (3, 500)).astype(np.uint8)
+    place, at = tree.places(bins), np.arange(0, 500, 2)
+    leaves = [k for k in range(len(tree.feature)) if tree.feature[k] < 0][:3]
+    for k, rows in zip(leaves, tree.rows_at(bins, leaves, at)):
+        assert rows.tolist() == [i for i in at if place[i] == k]
