@@ -308,3 +308,44 @@ def test_passes_read_predictions_and_follow_only_counted_nodes(stored_matrix, mo
     leaves = [k for k in range(len(tree.feature)) if tree.feature[k] < 0][:3]
     for k, rows in zip(leaves, tree.rows_at(bins, leaves, at)):
         assert rows.tolist() == [i for i in at if place[i] == k]
+
+
+def test_rows_of_a_large_block_end_where_its_path_leads():
+    rng = np.random.default_rng(7)
+    n = 3 * boosting.MANY_ROWS
+    bins = rng.integers(0, 12, (5, n)).astype(np.uint8)
+    tree, open_ = boosting.Tree(), [0]
+    tree.add(0.0, n)
+    for i in range(40):
+        k = open_.pop(0)
+        tree.left[k], tree.right[k] = (tree.add(rng.random(), 1) for _ in range(2))
+        mask = np.zeros(256, bool)
+        mask[:12] = rng.random(12) < 0.5 if i % 2 else (np.arange(12) > 0) & (np.arange(12) < 2 + i % 9)  # scattered, or a range
+        tree.feature[k], tree.mask[k] = int(rng.integers(5)), mask
+        open_ += [tree.left[k], tree.right[k]]
+    tree.depth = 6
+    tree = tree.frozen()
+    node = np.zeros(n, np.int64)
+    for _ in range(8):
+        inner = tree.feature[node] >= 0
+        left = tree.mask[node, bins[np.maximum(tree.feature[node], 0), np.arange(n)]]
+        node = np.where(inner, np.where(left, tree.left[node], tree.right[node]), node)
+    assert (tree.places(bins) == node).all() and (tree.places(bins[:, :50]) == node[:50]).all()
+    at, some = np.arange(0, n, 3), [tree.left[0], open_[2], open_[-1]]
+    rows, place = tree.slots(bins, open_, at)
+    assert set(rows) <= set(at) and (node[rows] == np.array(open_)[place]).all() and len(rows) == len(at)
+    assert [len(r) for r in tree.rows_at(bins, some[1:], at)] == [(node[at] == k).sum() for k in some[1:]]
+
+
+def test_counts_of_a_bin_that_most_rows_share():
+    rng = np.random.default_rng(8)
+    n, nodes, bins = 2 * boosting.MANY_ROWS + 5, 20, 16
+    x = rng.integers(0, bins, (3, n)).astype(np.uint8)
+    x[0, rng.random(n) < 0.95] = 3
+    q, place = rng.integers(-1000, 1000, n).astype(float), rng.integers(0, nodes, n)
+    for slot, count in ((None, 1), (place * bins, nodes)):
+        want = np.zeros((count, 3, bins, 2), np.int64)
+        for k in range(3):
+            np.add.at(want, (0 if slot is None else place, k, x[k], 0), q.astype(int))
+            np.add.at(want, (0 if slot is None else place, k, x[k], 1), 1)
+        assert (boosting._counted(x, q, slot, count, bins) == want).all()
