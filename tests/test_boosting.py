@@ -152,6 +152,45 @@ def test_an_ensemble_grows_on(stored_matrix, in_task_bytes):
     assert same(short, whole) and len(short.trees) == 6 and all((a.value == b.value).all() for a, b in zip(kept, short.trees))
 
 
+@pytest.mark.parametrize("folder", [None, "far://store/counts"])
+def test_tasks_side_by_side_give_the_trees_of_passes_without_a_job_a_pass(spark, stored_matrix, monkeypatch, folder):
+    blocks, binning = stored_matrix
+    rounds = (9, 200) if folder is None else (2, 2)  # a barrier's own exchange takes a second
+    rules = [boosting.Rules(step=0.4, rounds=rounds[1], leaves=6, patience=4), boosting.Rules(step=0.4, rounds=rounds[0], depth=3, patience=200)]
+    make = lambda: [boosting.Ensemble(str(k), r, ALL, HELD) for k, r in enumerate(rules)]
+    by_pass, together = make(), make()
+    boosting.grow(blocks, binning, by_pass, 0)
+    monkeypatch.setattr(boosting, "_pass", None)
+    if folder is not None:
+        monkeypatch.setattr(boosting, "scratch", lambda *_: folder)
+    size = sum(len(r["bins"]) for r in blocks.collect())
+    assert boosting._slots(spark) > 1
+    boosting.grow(blocks, binning, together, size - 1)  # larger than a task holds alone
+    assert all(same(a, b) for a, b in zip(by_pass, together)) and len(together[1].trees) == rounds[0]
+    if folder is not None:
+        return
+    short = make()
+    short[1].rules = boosting.Rules(step=0.4, rounds=1, depth=3, patience=200)
+    boosting.grow(blocks, binning, short[1:], size - 1)
+    short[1].rules = rules[1]
+    boosting.grow(blocks, binning, short[1:], size - 1)  # grows on
+    assert all((s.value == t.value).all() for s, t in zip(by_pass[1].trees, short[1].trees))
+
+
+def test_inputs_counted_at_once_give_the_counts_of_each():
+    rnd = np.random.default_rng(5)
+    widths = [128, 128, 13, 5, 256, 3, 2]
+    n = boosting.MANY_JOINT + 77
+    bins = np.stack([rnd.integers(0, w, n) for w in widths]).astype(np.uint8)
+    q = np.rint(rnd.normal(0, 5e4, n))
+    joint = boosting._Joint([bins[:, :1000], bins[:, 1000:]], widths)
+    assert len(joint.groups) < len(widths) and (joint.bins() == bins).all()
+    assert all(np.prod([widths[k] for k in g]) <= boosting.CELLS for g in joint.groups)
+    for rows in (slice(None), np.flatnonzero(rnd.random(n) < 0.1)):
+        plain = boosting._counted(bins[:, rows], q[rows], None, 1, 256)[0]
+        assert (joint.rows(rows).counted(q[rows], 256) == plain).all()
+
+
 def test_empty_and_constant_targets(spark, stored_matrix):
     blocks, binning = stored_matrix
     nothing = boosting.Ensemble("m", boosting.Rules(step=0.3, rounds=2, leaves=5), (1, 2))
