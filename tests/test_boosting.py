@@ -191,6 +191,23 @@ def test_inputs_counted_at_once_give_the_counts_of_each():
         assert (joint.rows(rows).counted(q[rows], 256) == plain).all()
 
 
+def test_inputs_that_repeat_each_other_share_a_number():
+    rnd = np.random.default_rng(6)
+    n = 5 * boosting.MANY_JOINT + 3
+    week = rnd.integers(0, 350, n)
+    sold = np.where(rnd.random(n) < 0.98, 0, rnd.integers(1, 54, n))  # mostly nothing
+    country = rnd.integers(1, 26, n)
+    bins = np.stack([week % 54, week // 5, 1 + week % 13, country, country // 6, sold, np.roll(sold, 1), rnd.integers(0, 126, n)]).astype(np.uint8)
+    widths = [54, 72, 14, 26, 6, 54, 54, 126]
+    joint = boosting._Joint([bins[:, :70], bins[:, 70:]], widths)
+    assert len(joint.groups) == 2 and (joint.bins() == bins).all()  # four by the product of the widths
+    q = np.rint(rnd.normal(0, 5e4, n))
+    q[::7] = 1 << 20  # too many rows for one number at these sums: they are added up part by part
+    for rows in (None, np.flatnonzero(rnd.random(n) < 0.5), np.flatnonzero(rnd.random(n) < 0.01)):
+        some = slice(None) if rows is None else rows
+        assert (joint.counted(q, 126, rows) == boosting._counted(bins[:, some], q[some], None, 1, 126)[0]).all()
+
+
 def test_empty_and_constant_targets(spark, stored_matrix):
     blocks, binning = stored_matrix
     nothing = boosting.Ensemble("m", boosting.Rules(step=0.3, rounds=2, leaves=5), (1, 2))
