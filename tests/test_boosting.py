@@ -208,6 +208,32 @@ def test_inputs_that_repeat_each_other_share_a_number():
         assert (joint.counted(q, 126, rows) == boosting._counted(bins[:, some], q[some], None, 1, 126)[0]).all()
 
 
+def test_cuts_come_from_summaries_of_each_task(spark, monkeypatch):
+    df = spark.range(0, 40_000, 1, 6).select(
+        F.when(F.col("id") % 5 == 0, (F.hash("id") % 20_000).cast("double")).otherwise(0.0).alias("a"),
+        F.when(F.col("id") % 7 > 0, F.hash("id", F.lit(1)).cast("double")).alias("b"), (F.col("id") % 3).alias("c"),
+        F.lit(None).cast("double").alias("none"), F.lit(float("nan")).alias("nan"))
+    rows = df.toPandas()
+    shares = np.linspace(0, 1, 64)[:-1]
+
+    def exact(x):
+        x = np.sort(x)
+        return x[np.maximum(1, np.ceil(shares * len(x))).astype(int) - 1].tolist() if len(x) else []
+
+    plans = []
+    monkeypatch.setattr(F, "percentile_approx", lambda *a: plans.append(a))
+    got = boosting.fit_binning(df, list(df.columns), {})
+    for name, cuts in zip(df.columns, got.cuts):
+        x = rows[name].dropna().to_numpy(np.float64)
+        assert cuts == tuple(sorted({*exact(x), *exact(x[x != 0])}))
+    assert not plans  # sketches that one task merges
+    monkeypatch.setattr(boosting, "POINTS", 2_000)
+    v, n = boosting._summary(*boosting._distinct([rows["b"].dropna().to_numpy()]), np.array([1.5]), np.array([3]))
+    every = np.sort(np.append(rows["b"].dropna(), [1.5] * 3))
+    assert len(v) <= 2_000 and n.sum() == len(every) and v[-1] == every[-1]
+    assert (v == every[np.cumsum(n) - 1]).all() and n.max() <= 2 * len(every) / 2_000 + 3
+
+
 def test_empty_and_constant_targets(spark, stored_matrix):
     blocks, binning = stored_matrix
     nothing = boosting.Ensemble("m", boosting.Rules(step=0.3, rounds=2, leaves=5), (1, 2))
