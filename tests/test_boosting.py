@@ -234,6 +234,26 @@ def test_cuts_come_from_summaries_of_each_task(spark, monkeypatch):
     assert (v == every[np.cumsum(n) - 1]).all() and n.max() <= 2 * len(every) / 2_000 + 3
 
 
+def test_rows_of_several_blocks_are_attributed_at_once(stored_matrix, monkeypatch):
+    from hebdocast.operators import attribution
+    blocks, binning = stored_matrix
+    model = boosting.Ensemble("m", boosting.Rules(step=0.4, rounds=2, leaves=5), ALL)
+    boosting.grow(blocks, binning, [model])
+    batches = blocks.toArrow().to_batches()
+    rows, whole = sum(b.num_rows for b in batches), attribution.ensemble_values
+    asked = []
+    monkeypatch.setattr(attribution, "ensemble_values", lambda e, bins: asked.append(bins.shape[1]) or whole(e, bins))
+    found = list(attribution.attributed(batches, model, HELD, len(binning.names)))
+    assert rows > 1 and len(asked) == 1 == len(found) and asked[0] == found[0].num_rows
+    monkeypatch.setattr(attribution, "BLOCK_ROWS", 1)
+    single = list(attribution.attributed(batches, model, HELD, len(binning.names)))
+    assert len(single) > 1 and sum(b.num_rows for b in single) == asked[0]
+    for name in ("ProductID", "week"):
+        assert [x for b in single for x in b.column(name).to_pylist()] == found[0].column(name).to_pylist()
+    values = lambda bs: np.concatenate([b.column("values").flatten().to_numpy() for b in bs])
+    assert np.allclose(values(single), values(found), atol=1e-9)
+
+
 def test_empty_and_constant_targets(spark, stored_matrix):
     blocks, binning = stored_matrix
     nothing = boosting.Ensemble("m", boosting.Rules(step=0.3, rounds=2, leaves=5), (1, 2))
