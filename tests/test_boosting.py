@@ -451,3 +451,66 @@ def test_counts_of_a_bin_that_most_rows_share():
             np.add.at(want, (0 if slot is None else place, k, x[k], 0), q.astype(int))
             np.add.at(want, (0 if slot is None else place, k, x[k], 1), 1)
         assert (boosting._counted(x, q, slot, count, bins) == want).all()
+
+
+def test_patterns_of_any_number_of_inputs():
+    rnd = np.random.default_rng(2)
+    for m in (1, 8, 12, 20, 70):
+        one = [rnd.random(500) < 0.5 for _ in range(m)]
+        found, which = attribution._patterns(one)
+        assert (found[which] == np.stack(one, 1)).all() and len(np.unique(found, axis=0)) == len(found)
+
+
+def test_permutations_ask_only_trees_that_read_the_input(stored_matrix, monkeypatch):
+    blocks, binning = stored_matrix
+    model = boosting.Ensemble("m", boosting.Rules(step=0.4, rounds=3, leaves=4), ALL)
+    boosting.grow(blocks, binning, [model])
+    rows = blocks.collect()
+    sse, n = np.zeros(4), 0
+    for r in rows:  # one input after the other, block by block
+        at = [i for i, w in enumerate(r["weeks"]) if ALL[0] <= w <= ALL[1]]
+        bins, y = np.frombuffer(r["bins"], np.uint8).reshape(3, -1)[:, at].copy(), np.frombuffer(r["y"])[at]
+        rnd, n = np.random.default_rng([42, len(at)]), n + len(at)
+        for k in range(3):
+            kept = bins[k].copy()
+            bins[k] = kept[rnd.permutation(len(at))]
+            sse[k] += ((y - model.predict(bins)) ** 2).sum()
+            bins[k] = kept
+        sse[3] += ((y - model.predict(bins)) ** 2).sum()
+    rmse = np.sqrt(sse / n)
+    got = {r["feature"]: r["permutation_rmse_increase"] for r in attribution.permutation_errors(blocks, model, ALL, binning.names).collect()}
+    assert np.allclose([got[c] for c in binning.names], rmse[:3] - rmse[3], atol=1e-9)
+
+
+def test_rows_of_large_trees_are_looked_up_in_pieces(monkeypatch):
+    rnd = np.random.default_rng(4)
+    t = boosting.Tree()
+    for _ in range(511):
+        t.add(0.0, 1)
+    for k in range(255):
+        t.feature[k], t.left[k], t.right[k], t.mask[k] = int(rnd.integers(0, 5)), 2 * k + 1, 2 * k + 2, rnd.random(256) < 0.5
+    t.depth = 8
+    tree, bins = t.frozen(), rnd.integers(0, 256, (5, 10_000)).astype(np.uint8)
+    calls, plain = [], boosting.Tree.goes_left
+    monkeypatch.setattr(boosting.Tree, "goes_left", lambda *a: calls.append(1) or plain(*a))
+    found = tree.places(bins)
+    assert not calls
+    monkeypatch.setattr(boosting, "MANY_NODES", 1000)
+    assert (tree.places(bins) == found).all() and calls
+
+
+def test_late_ensembles_follow_in_the_same_job(spark, stored_matrix, monkeypatch):
+    blocks, binning = stored_matrix
+    rules = boosting.Rules(step=0.4, rounds=60, leaves=6, patience=4)
+    made = lambda: [boosting.Ensemble("early", rules, ALL, HELD), boosting.Ensemble("late", rules, (ALL[0], HELD[1]))]
+    apart, together, in_task = made(), made(), made()
+    boosting.grow(blocks, binning, apart[:1], 0)
+    apart[1].follow(apart[0])
+    boosting.grow(blocks, binning, apart[1:], 0)
+    boosting.grow(blocks, binning, in_task, after={1: 0})
+    monkeypatch.setattr(boosting, "_pass", None)
+    boosting.grow(blocks, binning, together, len(binning.names) * 700 - 1, after={1: 0})
+    assert len(apart[0].trees) - 4 == len(apart[1].trees) > 1
+    assert all(same(a, b) for a, b in zip(apart + apart, together + in_task))
+    parts = boosting._dealt(blocks, 3).rdd.glom().map(lambda rows: sum(len(r["weeks"]) for r in rows)).collect()
+    assert len(parts) == 3 and sum(parts) == 700 and max(parts) - min(parts) <= 100
